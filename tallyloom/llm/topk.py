@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LEAF, TREE = 48, 2048
+LEAF, SMALL, TREE = 128, 32, 2048
 
 
 class CoverTree:
     """A node of level i covers its descendants within 2**i; its children's centres, itself among them, are over
-    2**(i - 1) apart and cover within 2**(i - 1). Below ``LEAF`` descendants a node keeps them as a list.
-    The covering radius kept is the one reached, which is at most 2**i."""
+    2**(i - 1) apart and cover within 2**(i - 1). A node of up to ``LEAF`` descendants keeps them as a list, and
+    children of under ``SMALL`` descendants share one such list under their parent's centre, so that data without
+    clusters cost block products and not steps of a walk. The radius kept is the one reached, at most 2**i."""
 
     def __init__(self, x: np.ndarray):
         self.x, self.norm = x, np.sqrt((x * x).sum(1))
@@ -65,7 +66,18 @@ class CoverTree:
             left = left[~near]
             if len(left):
                 first = int(left[0])
-        self.children[k] = [self._node(c, m, level - 1, square) for c, m in children]
+        small = [m for _, m in children if len(m) < SMALL]
+        self.children[k] = [self._node(c, m, level - 1, square) for c, m in children if len(m) >= SMALL]
+        if small and not self.children[k]:
+            return k
+        if small:
+            rest = np.concatenate(small)
+            away = np.sqrt(np.maximum(square[rest] + square[centre] - 2 * x[rest] @ x[centre], 0))
+            self.children[k].append(len(self.centre))
+            self.centre.append(centre)
+            self.radius.append(float(away.max()) + slack)
+            self.members.append(rest)
+            self.children.append([])
         return k
 
 
@@ -79,11 +91,25 @@ def search(queries: np.ndarray, ids: np.ndarray, trees: list[tuple[CoverTree, np
         qi, ri = q.members[a], data.members[b]
         s = queries[qi] @ data.x[ri].T
         s[ids[qi][:, None] == data_ids[ri][None, :]] = -np.inf
-        all_s = np.concatenate((best[qi], s), 1)
-        all_i = np.concatenate((which[qi], np.broadcast_to(data_ids[ri], s.shape)), 1)
-        order = np.lexsort((np.where(all_s == -np.inf, np.iinfo(np.int64).max, all_i), -all_s), 1)[:, :k]
-        best[qi] = np.take_along_axis(all_s, order, 1)
-        which[qi] = np.where(best[qi] == -np.inf, -1, np.take_along_axis(all_i, order, 1))
+        worst = best[qi, -1]
+        if s.shape[1] > k:
+            worst = np.maximum(worst, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+        row, col = np.nonzero((s >= worst[:, None]) & (s > -np.inf))
+        if not len(row):
+            return
+        touched, row = np.unique(row, return_inverse=True)
+        own = qi[touched]
+        old = best[own] > -np.inf
+        r = np.concatenate((np.nonzero(old)[0], row))
+        v = np.concatenate((best[own][old], s[touched[row], col]))
+        i = np.concatenate((which[own][old], data_ids[ri[col]]))
+        order = np.lexsort((i, -v, r))
+        r, v, i = r[order], v[order], i[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        keep = rank < k
+        best[own], which[own] = -np.inf, -1
+        best[own[r[keep]], rank[keep]] = v[keep]
+        which[own[r[keep]], rank[keep]] = i[keep]
 
     def bound(a: int, b: int, data: CoverTree) -> float:
         c, d = q.centre[a], data.centre[b]
@@ -118,7 +144,7 @@ def _big(queries: np.ndarray, ids: np.ndarray, data: np.ndarray, data_ids: np.nd
     return out
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, data_block: int = 32_768, query_block: int = 2_048) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, data_block: int = 8_192, query_block: int = 2_048) -> DataFrame:
     """query_id, rank, vec_id, score. Both tables have vec_id and embedding (array of numbers)."""
 
     def clean(df: DataFrame) -> DataFrame:
