@@ -24,6 +24,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -31,19 +32,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import slices
+from .text import buffers, slices
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-#: Distinct words whose ids a task remembers at most.
-CACHE = 300_000
+#: Distinct stretches whose ids a task remembers at most.
+CACHE = 600_000
+#: 0: white space; 1: ASCII letters; 2: ASCII punctuation but the apostrophe, which may begin a contraction; 3: others.
+_KIND = np.array(
+    [0 if b in b" \t\n\r\x0b\x0c" else 1 if chr(b).isalpha() and b < 128 else 2 if 33 <= b < 127 and not chr(b).isalnum() and b != 39 else 3
+     for b in range(256)], np.uint8,
+)
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 class WordTokenizer:
-    """Ids of whole texts by way of their distinct words.
+    """Ids of whole texts by way of their distinct stretches.
 
-    The tokenizer never joins pieces across a space or line break, so each
-    stretch between two of them has ids of its own. Those are kept for the
-    most recent words; the others go through the tokenizer in one batch."""
+    The tokenizer ignores case and never joins pieces across white space, nor
+    across an ASCII letter beside ASCII punctuation (apostrophes apart), so each
+    stretch between two such places has ids of its own. They are kept for recent
+    stretches; the others go through the tokenizer in one batch."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,35 +62,46 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.begin, self.used = np.zeros(1 << 20, np.uint32), np.zeros(CACHE * 4, np.int64), 0
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, the end of each text in them)."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        self.number: dict[bytes, int] = {}
+        self.ids, self.begin, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), 0
+
+    def _learn(self, new: list[bytes]) -> None:
+        got = [e.ids for e in self.model.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        n = len(self.number)
+        while n + len(new) + 1 > len(self.begin):
+            self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.begin[n + 1 : n + 1 + len(new)] = self.used + np.cumsum(size)
+        self.number.update(zip(new, range(n, n + len(new))))
+        self.used += len(flat)
+
+    def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, the end of each text in them), from the texts' bytes and offsets."""
+        kind = _KIND[raw]
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[1:-1] = (kind[:-1] + kind[1:] == 3) & (kind[:-1] > 0) & (kind[1:] > 0)
+        cut[at] = True
+        cut[-1] = False
+        first = (kind > 0) & cut[:-1]
+        first[1:] |= (kind[1:] > 0) & (kind[:-1] == 0)
+        in_text = np.diff(np.concatenate(([0], np.cumsum(first)))[at])
+        where = np.flatnonzero(cut)
+        split = np.insert(_LOWER[raw], where, 32).tobytes().split()
         if len(self.number) > CACHE:
             self.clear()
-        number = self.number
-        new = list({w for x in split for w in x} - number.keys())
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            got = [e.ids for e in self.model.encode_batch_fast(part, add_special_tokens=False)]
-            flat = np.fromiter((y for x in got for y in x), np.uint32)
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            while len(number) + len(part) + 1 > len(self.begin):
-                self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
-            self.ids[self.used : self.used + len(flat)] = flat
-            n = len(number)
-            self.begin[n + 1 : n + 1 + len(part)] = self.used + np.cumsum([len(x) for x in got])
-            number.update(zip(part, range(n, n + len(part))))
-            self.used += len(flat)
-        sizes = np.array([len(x) for x in split], np.int64)
-        word = np.fromiter((i for x in split for i in map(number.__getitem__, x)), np.int64, int(sizes.sum()))
+        word = np.fromiter(map(self.number.get, split, repeat(-1)), np.int64, len(split))
+        missing = np.flatnonzero(word < 0).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys(split[i] for i in missing)))
+            word[missing] = [self.number[split[i]] for i in missing]
         count = self.begin[word + 1] - self.begin[word]
         ends = np.cumsum(count)
         out = self.ids[np.arange(ends[-1]) - np.repeat(ends - count - self.begin[word], count)] if len(word) else self.ids[:0]
-        return out, ends[np.cumsum(sizes) - 1]
+        return out, np.concatenate(([0], ends))[np.cumsum(in_text)]
 
 
 @lru_cache(1)
@@ -124,8 +143,7 @@ def lengths(docs: DataFrame, path: str, end_id: int = 2, grain: int = 16) -> Dat
         crc = zlib.crc32
         for batch in slices(batches, "text", 2 << 20):
             model = tokenizer(path)
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            ids, ends = model.encode(texts)
+            ids, ends = model.encode(*buffers(batch.column("text")))
             sizes, checks, begin = [], [], 0
             for end in ends.tolist():
                 data = np.append(ids[begin:end], np.uint32(end_id)).astype("<u4").tobytes()
