@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, license_scan, packing, topk, toxicity
+from . import chat, decontam, langid, license_scan, near_dedup, packing, sentence_dedup, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": langid.op1_language_id,
         "op2_license_scan": license_scan.op2_license_scan,
+        "op3_sentence_dedup": sentence_dedup.op3_sentence_dedup,
         "op4_decontamination": decontam.op4_decontamination,
         "op5_packing": packing.op5_packing,
+        "op6_near_dedup": near_dedup.op6_near_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_chat_format": chat.op9_chat_format,
         "op10_top_k": topk.op10_top_k,
@@ -23,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_sentence_dedup": sentence_dedup.OP3_SQL,
         "op4_decontamination": decontam.OP4_SQL,
         "op9_chat_format": chat.OP9_SQL,
         "op10_top_k": topk.OP10_SQL,

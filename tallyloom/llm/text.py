@@ -129,6 +129,6 @@ def shingles(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     length = np.minimum(n[text], k)
     for j in range(k):
         use = j < length
-        step = mix(w[np.minimum(start + j, len(w) - 1)] + np.uint64(2 * j + 1) * _ODD)
+        step = mix(w[np.minimum(start + j, len(w) - 1)] + np.uint64((2 * j + 1) * int(_ODD) % 2**64))
         out += np.where(use, step, np.uint64(0))
     return mix(out ^ length.astype(np.uint64)), text
