@@ -137,26 +137,25 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Data
     return pairs.join(left, "b").join(right, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id and class (smallest id of its component), from nodes (id) and edges (a, b).
-
-    Each round every node takes the name of the neighbour (or itself) that comes first in a new random order, and
-    the edges follow; that leaves a fraction of the names, on paths as on stars, so rounds grow as the logarithm."""
-    out = nodes.select("id", F.col("id").alias("class"))
-    edges = cut(edges.select("a", "b").where("a <> b"))
+def components(edges: DataFrame) -> DataFrame:
+    """id and class (smallest id of its component) of every id in the edges (a, b).
+
+    Each round every node takes the name that comes first, in a new random order, within two steps of it, and the
+    edges follow. A star is one name after a round and a path a fraction of its names, so rounds grow as the logarithm."""
+    ends = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    out = cut(ends.select("id", F.col("id").alias("class")))
+    edges = edges.select("a", "b").where("a <> b")
     turn = 0
     while not edges.isEmpty():
         turn += 1
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        first = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("o"), F.col(c).alias("to"))  # noqa: B023,E731
-        name = cut(both.groupBy("a").agg(F.least(F.min(first("b")), F.min(first("a")))["to"].alias("to")))
-        out = out.join(name, out["class"] == name["a"], "left").select("id", F.coalesce("to", "class").alias("class"))
+        both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("o"), F.col(c).alias("to"))  # noqa: B023,E731
+        near = both.groupBy("a").agg(F.least(F.min(rank("b")), F.min(rank("a"))).alias("n"))
+        name = cut(both.join(near.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("n")["to"].alias("to")))
+        out = cut(out.join(name, out["class"] == name["a"], "left").select("id", F.coalesce("to", "class").alias("class")))
         x, y = name.select("a", F.col("to").alias("na")), name.select(F.col("a").alias("b"), F.col("to").alias("nb"))
-        edges = cut(edges.join(x, "a").join(y, "b").where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct())
-    if not turn:
-        return out
-    out = cut(out)
-    return out.join(out.groupBy("class").agg(F.min("id").alias("low")), "class").select("id", F.col("low").alias("class"))
+        edges = cut(both.where("a < b").join(x, "a").join(y, "b").where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct())
+    return cut(out.join(out.groupBy("class").agg(F.min("id").alias("low")), "class").select("id", F.col("low").alias("class")))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, rounds: int = 2) -> DataFrame:
@@ -168,13 +167,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands:
     shared = banded.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
     members = cut(banded.join(shared.select("band"), "band"))
     source = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
-    nodes = texts.select("id").distinct()
-    tried = links = None
-    classes = nodes.select("id", F.col("id").alias("class"))
+    tried = links = classes = None
     for turn in range(rounds + 1):
-        mixed = members.join(classes, "id")
-        several = mixed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
-        rest = mixed.join(several.select("band"), "band")
+        if classes is None:
+            rest = members.withColumn("class", F.col("id"))
+        else:
+            mixed = members.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+            several = mixed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
+            rest = cut(mixed.join(several.select("band"), "band"))
         if turn < rounds:
             order = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("o"), F.col("id"), F.col("class"))
             hub = rest.groupBy("band").agg(F.min(order).alias("hub")).select("band", F.col("hub.id").alias("h"), F.col("hub.class").alias("c"))
@@ -190,12 +190,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands:
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         found = verify(pairs, source.join(wanted, "id", "left_semi"), k, threshold)
         links = cut(found if links is None else links.unionByName(found))
-        classes = components(nodes, links)
+        classes = components(links)
+    if classes is None:
+        classes = texts.select("id", F.col("id").alias("class")).limit(0)
     return (
         keyed.select("doc_id", "key")
         .join(texts.select("key", F.col("id").alias("text_id")), "key")
-        .join(classes.select(F.col("id").alias("text_id"), F.col("class").alias("class_id")), "text_id")
-        .select("doc_id", "text_id", "class_id")
+        .join(classes.select(F.col("id").alias("text_id"), F.col("class").alias("class_id")), "text_id", "left")
+        .select("doc_id", "text_id", F.coalesce("class_id", "text_id").alias("class_id"))
     )
 
 

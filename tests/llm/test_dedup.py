@@ -64,10 +64,9 @@ def test_bagminhash_estimates_weighted_jaccard():
 
 def test_components_of_a_path(spark):
     n = 40
-    nodes = spark.range(n + 3)
     edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)] + [(n, n)], "a bigint, b bigint")
-    got = {r.id: r["class"] for r in near_dedup.components(nodes, edges).collect()}
-    assert got == {i: 0 if i < n else i for i in range(n + 3)}
+    got = {r.id: r["class"] for r in near_dedup.components(edges).collect()}
+    assert got == {i: 0 if i < n else i for i in range(n + 1)}
 
 
 def brute_sentences(texts, k=3, least=8):
