@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, license_scan, near_dedup, packing, sentence_dedup, topk, toxicity
+from . import chat, decontam, langid, license_scan, near_dedup, packing, sentence_dedup, suffix_dedup, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": decontam.op4_decontamination,
         "op5_packing": packing.op5_packing,
         "op6_near_dedup": near_dedup.op6_near_dedup,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_chat_format": chat.op9_chat_format,
         "op10_top_k": topk.op10_top_k,
