@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .checkpoint import cut
-from .text import _powers, buffers, mix, prefix_hash, slices
+from .text import _powers, buffers, mix, prefix_hash, range_hash, slices
 
 
 def suffix_array(s: list[int]) -> list[int]:
@@ -58,6 +58,24 @@ def suffix_array(s: list[int]) -> list[int]:
     g = len(symbols) - 1
     while g >= 0:
         done[g] = True
+        if len(members[g]) == 1:
+            (i,) = members[g]
+            p = i - 1
+            while p >= 0 and done[group[p]]:
+                p = previous[p]
+            previous[i] = p
+            if p >= 0 and len(members[h := group[p]]) > 1:  # alone in its group, it stays where it is
+                new = len(members)
+                members[h].discard(p)
+                members.append({p})
+                done.append(False)
+                before.append(h)
+                after.append(after[h])
+                if after[h] >= 0:
+                    before[after[h]] = new
+                after[h] = group[p] = new
+            g = before[g]
+            continue
         times: dict[int, int] = {}
         for i in sorted(members[g]):  # ascending, so that pointers of the same group are there already
             p = i - 1
@@ -123,16 +141,18 @@ def anchors(raw: np.ndarray, at: np.ndarray, width: int, gram: int):
     h = mix((h[gram:] - h[:-gram]) * down[: len(raw) - gram + 1])
     w = width - gram + 1
     low = _slide(h, w, np.minimum)  # of the window that begins at each byte
-    start = np.arange(len(low))
-    text = np.searchsorted(at, start, "right") - 1
-    inside = start + width <= at[text + 1]
-    start, low, text = start[inside], low[inside], text[inside]
-    # windows one after the other that have the same smallest string share an anchor while it is in reach
-    new = np.ones(len(start), bool)
-    new[1:] = (low[1:] != low[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)
+    # windows one after the other that have the same smallest string share an anchor; a text's last bytes begin none
+    new = np.ones(len(low) + 1, bool)
+    new[1:-1] = low[1:] != low[:-1]
+    heads, stops = at[:-1], np.maximum(at[1:] - width + 1, at[:-1])
+    new[heads[heads < len(low)]] = True
+    new[stops[stops < len(low)]] = True
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1
-    return low[first], text[first], start[first], start[last]
+    first, last = first[:-1], first[1:] - 1
+    text = np.searchsorted(at, first, "right") - 1
+    inside = first < stops[text]
+    first, last, text = first[inside], last[inside], text[inside]
+    return low[first], text, first, last
 
 
 def _pack(hashes: np.ndarray) -> bytes:
@@ -193,10 +213,10 @@ def _shared(bucketed: DataFrame, blocks: int) -> DataFrame:
 
 
 def _block_anchors(texts: pa.Table, width: int, gram: int):
-    """raw, offsets, ids and the anchors of a block's documents."""
-    raw, at = buffers(texts.column("text"))
-    ids = texts.column("doc_id").to_numpy()
-    return raw, at, ids, anchors(raw, at, width, gram)
+    """(raw, offsets, ids, anchors) of a block's documents, some MB at a time."""
+    for batch in slices(iter(texts.combine_chunks().to_batches()), "text", 4 << 20):
+        raw, at = buffers(batch.column("text"))
+        yield raw, at, batch.column("doc_id").to_numpy(zero_copy_only=False), anchors(raw, at, width, gram)
 
 
 def _context_keys(raw: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -205,6 +225,15 @@ def _context_keys(raw: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray)
     return mix(((p[b] - p[a]) * down[a] ^ mix((b - a).astype(np.uint64))) + mix(h))
 
 
+def _held(sorted_list: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which x are in sorted_list."""
+    if not len(sorted_list):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(sorted_list, x)
+    at[at == len(sorted_list)] = 0
+    return sorted_list[at] == x
+
+
 def _contexts(docs: DataFrame, shared: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
     """bucket, block, anchor hash, context and its smallest document, each context once a block."""
 
@@ -213,13 +242,18 @@ def _contexts(docs: DataFrame, shared: DataFrame, width: int, gram: int, buckets
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
         rows = []
         if texts.num_rows and found.num_rows:
-            raw, at, ids, (h, text, a, b) = _block_anchors(texts, width, gram)
             fi = np.concatenate([np.frombuffer(x, "<i8") for x in found.column("ids").to_pylist()])
             fh = np.concatenate([_unpack(x) for x in found.column("hashes").to_pylist()])
             mark = np.unique(mix(fh ^ mix(fi.astype(np.uint64))))
-            on = np.isin(mix((h & _LOW48) ^ mix(ids[text].astype(np.uint64))), mark)
-            h, doc, a, b = h[on], ids[text[on]], a[on], b[on] + width
-            keys = _context_keys(raw, h, a, b)
+            parts, base = [], 0
+            for raw, _, ids, (h, text, a, b) in _block_anchors(texts, width, gram):
+                on = _held(mark, mix((h & _LOW48) ^ mix(ids[text].astype(np.uint64))))
+                h, doc, a, b = h[on], ids[text[on]], a[on], b[on] + width
+                keys = _context_keys(raw, h, a, b)
+                parts.append((h, doc, a + base, b + base, keys))
+                base += len(raw)
+            h, doc, a, b, keys = (np.concatenate(x) for x in zip(*parts))
+            raw, _ = buffers(texts.column("text"))
             order = np.lexsort((doc, keys))
             one = order[np.append(True, np.diff(keys[order]) != 0)] if len(order) else order
             h, doc, a, b, keys = h[one], doc[one], a[one], b[one], keys[one]
@@ -247,7 +281,8 @@ def window_lows(contexts: list[bytes], lows: list[int], width: int) -> list[list
         begin.append(len(flat))
         flat += [x + 1 for x in c]
         flat.append(0)
-    owner = np.repeat(np.arange(len(contexts)), [len(c) + 1 for c in contexts])
+    owner = [i for i, c in enumerate(contexts) for _ in range(len(c) + 1)]
+    last_window = [b + len(c) - width for b, c in zip(begin, contexts) for _ in range(len(c) + 1)]
     data = b"".join(c + b"\0" for c in contexts)
     out = [[low] * (len(c) - width + 1) for c, low in zip(contexts, lows)]
     run: list[tuple[int, int]] = []
@@ -260,10 +295,10 @@ def window_lows(contexts: list[bytes], lows: list[int], width: int) -> list[list
                 out[c][i] = low
 
     for p in suffix_array(flat):
+        if p > last_window[p]:
+            continue
         c = owner[p]
         i = p - begin[c]
-        if i + width > len(contexts[c]):
-            continue
         here = data[p : p + width]
         if here != last:
             close()
@@ -273,7 +308,47 @@ def window_lows(contexts: list[bytes], lows: list[int], width: int) -> list[list
     return out
 
 
-def _resolve(contexts: DataFrame, width: int) -> DataFrame:
+def _may_share(raw: bytes, begin: np.ndarray, size: np.ndarray, h: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """Contexts (sorted by anchor) that may share a window with another of their anchor.
+
+    A window has half of what it holds beside the anchor, rounded down, on one side of it in full. Where those bytes
+    are no other context's on either side, the context shares no window and needs no sorting."""
+    half = (width - gram) // 2
+    out = np.zeros(len(h), bool)
+    same = h[1:] == h[:-1]
+    many = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    sides: tuple[list, list] = ([], [])
+    double = np.zeros(0, np.uint64)
+    for lo in range(0, len(many), 50_000):
+        k = many[lo : lo + 50_000]
+        ends = np.cumsum(size[k])
+        start = ends - size[k]
+        b = np.frombuffer(raw, np.uint8)[np.arange(ends[-1]) - np.repeat(start - begin[k], size[k])]
+        p = prefix_hash(b)
+        _, down = _powers(len(b))
+        grams = mix((p[gram:] - p[:-gram]) * down[: len(b) - gram + 1])
+        own = np.repeat(np.arange(len(k)), size[k])[: len(grams)]
+        place = np.arange(len(grams))
+        at = place[(grams == h[k][own]) & (place + gram <= ends[own])]
+        first = np.searchsorted(at, start)
+        once = np.searchsorted(at, ends) - first == 1
+        # where the anchor's bytes stand twice, windows may use either: all contexts of that anchor are sorted
+        double = np.append(double, np.unique(h[k[~once]]))
+        at = at[first[once]]
+        for side, (x, y) in zip(sides, ((at - half, at), (at + gram, at + gram + half))):
+            ok = (x >= start[once]) & (y <= ends[once])
+            mine = k[once][ok]
+            side.append((mine, mix(range_hash(p, x[ok], y[ok]) ^ h[mine])))
+    for side in sides:
+        if side:
+            k, key = (np.concatenate(x) for x in zip(*side))
+            _, back, times = np.unique(key, return_inverse=True, return_counts=True)
+            out[k[times[back] > 1]] = True
+    out[many] |= np.isin(h[many], double)
+    return out
+
+
+def _resolve(contexts: DataFrame, width: int, gram: int) -> DataFrame:
     """block, context keys, windows from and to, and their smallest document."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -291,15 +366,18 @@ def _resolve(contexts: DataFrame, width: int) -> DataFrame:
         group = np.append(np.flatnonzero(np.diff(h[one], prepend=h[one][:1] + np.uint64(1))), len(one))
         n_windows = size[one] - width + 1
         context, start, stop, low = [], [], [], []
-        single = np.diff(group) == 1
-        alone = group[:-1][single]
-        for x, y in zip(group[:-1][~single].tolist(), group[1:][~single].tolist()):
-            own = one[x:y]
+        may = _may_share(raw, begin[one], size[one], h[one], width, gram)
+        alone = np.flatnonzero(~may)
+        for x, y in zip(group[:-1].tolist(), group[1:].tolist()):
+            sharing = np.flatnonzero(may[x:y]) + x
+            if not len(sharing):
+                continue
+            own = one[sharing]
             texts = [raw[begin[i] : begin[i] + size[i]] for i in own.tolist()]
-            for c, found in enumerate(window_lows(texts, lows[own].tolist(), width)):
+            for c, found in zip(sharing.tolist(), window_lows(texts, lows[own].tolist(), width)):
                 edge = [0, *(i for i in range(1, len(found)) if found[i] != found[i - 1]), len(found)]
                 for s, e in zip(edge[:-1], edge[1:]):
-                    context.append(x + c)
+                    context.append(c)
                     start.append(s)
                     stop.append(e)
                     low.append(found[s])
@@ -326,34 +404,38 @@ def _cut(docs: DataFrame, resolved: DataFrame, width: int, gram: int, texts_out:
         n = texts.num_rows
         if not n:
             return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())], names)
-        raw, at, ids, (h, text, a, b) = _block_anchors(texts, width, gram)
-        gone = np.zeros(len(raw) + 1, np.int32)
         if found.num_rows:
             whole = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in found.column(c).to_pylist()])
             fk, fs, fe, fl = whole("keys", "<u8"), whole("starts", "<i2").astype(np.int64), whole("stops", "<i2").astype(np.int64), whole("lows", "<i8")
             order = np.argsort(fk, kind="stable")
             fk, fs, fe, fl = fk[order], fs[order], fe[order], fl[order]
-            keys = _context_keys(raw, h, a, b + width)
-            x, y = np.searchsorted(fk, keys), np.searchsorted(fk, keys, "right")
-            size = y - x
-            ends = np.cumsum(size)
-            take = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - x, size)
-            base, doc = np.repeat(a, size), np.repeat(ids[text], size)
-            lost = fl[take] < doc
-            np.add.at(gone, (base + fs[take])[lost], 1)
-            np.add.at(gone, (base + fe[take] - 1 + width)[lost], -1)
-        drop = np.cumsum(gone)[:-1] > 0
-        begins = drop.copy()
-        begins[1:] &= ~drop[:-1]
-        heads = at[:-1][np.diff(at) > 0]
-        begins[heads] = drop[heads]
-        removed, spans = (np.diff(np.concatenate(([0], np.cumsum(x)))[at]) for x in (drop, begins))
-        kept, sha = [], []
-        for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-            left = raw[i:j][~drop[i:j]].tobytes()
-            sha.append(hashlib.sha256(left).hexdigest())
-            kept.append(left.decode("utf-8", "ignore") if texts_out else None)
-        return pa.table([pa.array(ids, pa.int64()), pa.array(np.diff(at)), pa.array(removed), pa.array(spans), pa.array(sha), pa.array(kept, pa.string())], names)
+        out = []
+        for raw, at, ids, (h, text, a, b) in _block_anchors(texts, width, gram):
+            gone = np.zeros(len(raw) + 1, np.int32)
+            if found.num_rows:
+                keys = _context_keys(raw, h, a, b + width)
+                x, y = np.searchsorted(fk, keys), np.searchsorted(fk, keys, "right")
+                size = y - x
+                ends = np.cumsum(size)
+                take = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - x, size)
+                base, doc = np.repeat(a, size), np.repeat(ids[text], size)
+                lost = fl[take] < doc
+                np.add.at(gone, (base + fs[take])[lost], 1)
+                np.add.at(gone, (base + fe[take] - 1 + width)[lost], -1)
+            drop = np.cumsum(gone)[:-1] > 0
+            begins = drop.copy()
+            begins[1:] &= ~drop[:-1]
+            heads = at[:-1][np.diff(at) > 0]
+            begins[heads] = drop[heads]
+            removed, spans = (np.diff(np.concatenate(([0], np.cumsum(x)))[at]) for x in (drop, begins))
+            kept, sha = [], []
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                left = raw[i:j][~drop[i:j]].tobytes()
+                sha.append(hashlib.sha256(left).hexdigest())
+                kept.append(left.decode("utf-8", "ignore") if texts_out else None)
+            columns = [pa.array(ids, pa.int64()), pa.array(np.diff(at)), pa.array(removed), pa.array(spans), pa.array(sha), pa.array(kept, pa.string())]
+            out.append(pa.table(columns, names))
+        return pa.concat_tables(out)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
@@ -370,7 +452,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 24, block_bytes
     blocks = max(1, int(volume) // block_bytes) | 1
     dealt = known.withColumn("block", F.pmod("doc_id", F.lit(blocks)).cast("int"))
     shared = cut(_shared(_bucketed(known, width, gram, blocks), blocks))
-    resolved = cut(_resolve(_contexts(dealt, shared, width, gram, blocks), width))
+    resolved = cut(_resolve(_contexts(dealt, shared, width, gram, blocks), width, gram))
     out = _cut(dealt, resolved, width, gram, texts_out)
     rest = source.where(F.col("doc_id").isNull())
     zero = F.lit(0).cast("bigint")
