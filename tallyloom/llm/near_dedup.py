@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .checkpoint import cut
 from .text import buffers, mix, shingles, slices
 
+#: Counts are whole; products with a threshold such as 0.8 may lie this little above one.
+SLACK = 1e-6
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,7 +131,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Data
                 at[at == len(x)] = 0
                 same = x[at] == y
                 both = int(np.minimum(u[at[same]], v[same]).sum())
-                keep[i] = both >= threshold * (int(u.sum()) + int(v.sum()) - both)
+                keep[i] = both >= threshold * (int(u.sum()) + int(v.sum()) - both) - SLACK
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     left = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
@@ -158,6 +160,29 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(out.join(out.groupBy("class").agg(F.min("id").alias("low")), "class").select("id", F.col("low").alias("class")))
 
 
+def linkable(ids: DataFrame, texts: DataFrame, k: int, threshold: float, passes: int = 2) -> DataFrame:
+    """id, n (elements) and common (those that another of the texts has too) of the texts (id) that may have a link.
+
+    An overlap is at most ``common`` and a link's at least ``threshold * n``, so the others have none among the texts.
+    What only they shared with the rest no longer counts in the next pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            e, w, first = multisets(*buffers(batch.column("text")), k)
+            owner = np.repeat(batch.column("id").to_numpy(), np.diff(first))
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(e.view(np.int64)), pa.array(w)], ["id", "element", "w"])
+
+    held = cut(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id bigint, element bigint, w bigint"))
+    for _ in range(passes):
+        # elements of one text alone, by the smallest and largest id: counts are combined before the shuffle
+        alone = held.groupBy("element").agg(F.min("id").alias("id"), F.max("id").alias("top"), F.sum("w").alias("w")).where("id = top")
+        size = held.groupBy("id").agg(F.sum("w").alias("n"))
+        able = size.join(alone.groupBy("id").agg(F.sum("w").alias("own")), "id", "left")
+        able = cut(able.select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")).where(F.col("common") >= threshold * F.col("n") - SLACK))
+        held = held.join(able.select("id"), "id", "left_semi")
+    return able
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, rounds: int = 2) -> DataFrame:
     """doc_id, text_id (smallest id with that text) and class_id (smallest id of the class) of every row."""
     keyed = cut(band_keys(docs, k, bands, rows))
@@ -180,8 +205,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands:
             hub = rest.groupBy("band").agg(F.min(order).alias("hub")).select("band", F.col("hub.id").alias("h"), F.col("hub.class").alias("c"))
             pairs = rest.join(hub, "band").where("class <> c").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
         else:
-            other = rest.select("band", F.col("id").alias("h"), F.col("class").alias("c"))
-            pairs = rest.join(other, "band").where("class < c").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
+            able = linkable(rest.select("id").distinct(), source, k, threshold)
+            rest = cut(rest.join(able, "id"))
+            other = rest.select("band", F.col("id").alias("h"), F.col("class").alias("c"), F.col("n").alias("m"), F.col("common").alias("shared"))
+            # no overlap exceeds what either text has in common with any other
+            enough = F.least("common", "shared") * (1 + threshold) >= threshold * (F.col("n") + F.col("m")) - SLACK
+            pairs = rest.join(other, (rest["band"] == other["band"]) & (F.col("class") < F.col("c")) & enough)
+            pairs = pairs.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
         pairs = pairs.distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():

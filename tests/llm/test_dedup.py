@@ -27,7 +27,7 @@ def brute_classes(texts, threshold=0.8):
         for j in range(i):
             both = sum((bags[i] & bags[j]).values())
             union = sum(bags[i].values()) + sum(bags[j].values()) - both
-            if (texts[i] or "") == (texts[j] or "") or union and both / union >= threshold and both:
+            if (texts[i] or "") == (texts[j] or "") or union and 1000 * both >= round(1000 * threshold) * union and both:
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return [root(i) for i in range(len(texts))]
@@ -46,6 +46,7 @@ def test_near_duplicate_classes_match_brute_force(spark):
             texts.append(" ".join(own))
     chain = [f"c{i}" for i in range(200)]  # each step is a link, the ends are not
     texts += [" ".join(chain[i * 12 : i * 12 + 130]) for i in range(6)]
+    texts += [" ".join(f"e{i}" for i in range(4 + n)) for n in (28, 35)]  # 28 of 35: exactly at the threshold
     texts += ["a b c d e f g " * 30, "a b c d e f g " * 26, "a b c d e f g " * 10, *ODD_TEXTS]
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
