@@ -14,7 +14,7 @@ candidates, and a pair is a link if the exact multiset similarity is at least
 
 Classes are the connected components of all such links, found without listing a
 group's pairs: equal texts are merged first; then each band's texts are compared
-with one text of the band, several times with different ones, and what is
+with one text of the band (``rounds`` times, with different ones), and what is
 linked becomes one component. Only texts of one band that are still in different
 components are then compared with each other, so that no link between them is
 lost. Joins on bands and ids are plain equi-joins that Spark can split.
@@ -183,7 +183,7 @@ def linkable(ids: DataFrame, texts: DataFrame, k: int, threshold: float, passes:
     return able
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, rounds: int = 1) -> DataFrame:
     """doc_id, text_id (smallest id with that text) and class_id (smallest id of the class) of every row."""
     keyed = cut(band_keys(docs, k, bands, rows))
     texts = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands")))
@@ -191,7 +191,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands:
     # bands of one text alone go at once
     shared = banded.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
     members = cut(banded.join(shared.select("band"), "band"))
+    # the texts that share a band; later joins move only these
     source = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
+    source = cut(source.join(members.select("id").distinct(), "id", "left_semi"))
     tried = links = classes = None
     for turn in range(rounds + 1):
         if classes is None:
@@ -206,11 +208,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands:
             pairs = rest.join(hub, "band").where("class <> c").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
         else:
             able = linkable(rest.select("id").distinct(), source, k, threshold)
-            rest = cut(rest.join(able, "id"))
-            other = rest.select("band", F.col("id").alias("h"), F.col("class").alias("c"), F.col("n").alias("m"), F.col("common").alias("shared"))
+            rest = cut(rest.join(able, "id").join(texts.select("id", "bands"), "id"))
+            other = rest.select(F.col("band").alias("same"), F.col("id").alias("h"), F.col("class").alias("c"), F.col("n").alias("m"), F.col("common").alias("shared"), F.col("bands").alias("others"))
             # no overlap exceeds what either text has in common with any other
             enough = F.least("common", "shared") * (1 + threshold) >= threshold * (F.col("n") + F.col("m")) - SLACK
-            pairs = rest.join(other, (rest["band"] == other["band"]) & (F.col("class") < F.col("c")) & enough)
+            first = F.element_at(F.array_intersect("bands", "others"), 1) == F.col("band")  # a pair meets in one of its bands
+            pairs = rest.join(other, (F.col("band") == F.col("same")) & (F.col("class") < F.col("c")) & enough & first)
             pairs = pairs.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
         pairs = pairs.distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
