@@ -172,7 +172,7 @@ def _bucketed(docs: DataFrame, width: int, gram: int, buckets: int) -> DataFrame
     """bucket, packed hashes, ids of the documents and how many hashes each has: a row per bucket and batch."""
 
     def run(batches):
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             h, text, _, _ = anchors(*buffers(batch.column("text")), width, gram)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             bucket = (h >> np.uint64(48)).astype(np.int64) * buckets >> 16
@@ -214,7 +214,7 @@ def _shared(bucketed: DataFrame, blocks: int) -> DataFrame:
 
 def _block_anchors(texts: pa.Table, width: int, gram: int):
     """(raw, offsets, ids, anchors) of a block's documents, some MB at a time."""
-    for batch in slices(iter(texts.combine_chunks().to_batches()), "text", 4 << 20):
+    for batch in slices(iter(texts.combine_chunks().to_batches()), "text", 1 << 20):
         raw, at = buffers(batch.column("text"))
         yield raw, at, batch.column("doc_id").to_numpy(zero_copy_only=False), anchors(raw, at, width, gram)
 
@@ -442,7 +442,7 @@ def _cut(docs: DataFrame, resolved: DataFrame, width: int, gram: int, texts_out:
     return docs.groupBy("block").cogroup(resolved.groupBy("block")).applyInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 24, block_bytes: int = 24 << 20, texts_out: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 24, block_bytes: int = 16 << 20, texts_out: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the remaining text, of every document.
 
     kept leaves out bytes that a cut inside a character makes invalid; the digest is of all remaining bytes."""
