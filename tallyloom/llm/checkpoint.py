@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,3 +21,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle and checkpoint files of finished phases: it does so once their handles are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

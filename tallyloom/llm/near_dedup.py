@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .checkpoint import cut
+from .checkpoint import cut, release
 from .text import buffers, mix, shingles, slices
 
 #: Counts are whole; products with a threshold such as 0.8 may lie this little above one.
@@ -160,6 +160,17 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(out.join(out.groupBy("class").agg(F.min("id").alias("low")), "class").select("id", F.col("low").alias("class")))
 
 
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes (id, class) after more links (a, b), which join whole classes."""
+    name = classes.select(F.col("id").alias("_id"), "class")
+    x, y = name.select(F.col("_id").alias("a"), F.col("class").alias("ca")), name.select(F.col("_id").alias("b"), F.col("class").alias("cb"))
+    named = links.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(cut(named.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    lone = joined.join(classes.select("id"), "id", "left_anti").select("id", F.col("id").alias("class"))
+    new = joined.select(F.col("id").alias("class"), F.col("class").alias("to"))
+    return cut(classes.unionByName(lone).join(new, "class", "left").select("id", F.coalesce("to", "class").alias("class")))
+
+
 def linkable(ids: DataFrame, texts: DataFrame, k: int, threshold: float, passes: int = 2) -> DataFrame:
     """id, n (elements) and common (those that another of the texts has too) of the texts (id) that may have a link.
 
@@ -194,7 +205,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands:
     # the texts that share a band; later joins move only these
     source = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
     source = cut(source.join(members.select("id").distinct(), "id", "left_semi"))
-    tried = links = classes = None
+    release(docs.sparkSession)
+    tried = classes = None
     for turn in range(rounds + 1):
         if classes is None:
             rest = members.withColumn("class", F.col("id"))
@@ -222,8 +234,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands:
         tried = pairs if tried is None else tried.unionByName(pairs)
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         found = verify(pairs, source.join(wanted, "id", "left_semi"), k, threshold)
-        links = cut(found if links is None else links.unionByName(found))
-        classes = components(links)
+        classes = components(found) if classes is None else _merged(classes, found)
+        release(docs.sparkSession)
     if classes is None:
         classes = texts.select("id", F.col("id").alias("class")).limit(0)
     return (
