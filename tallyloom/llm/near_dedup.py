@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands:
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        found = verify(pairs, source.join(wanted, "id", "left_semi"), k, threshold)
+        found = cut(verify(pairs, source.join(wanted, "id", "left_semi"), k, threshold))
         classes = components(found) if classes is None else _merged(classes, found)
         release(docs.sparkSession)
     if classes is None:
