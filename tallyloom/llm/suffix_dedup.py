@@ -2,12 +2,12 @@
 
 1. Every text gives anchors: positions whose hashed ``gram``-byte string is the
    smallest of some window. Equal windows have their anchor at the same place,
-   so two documents can share a window only if they share its anchor. Packed
-   anchor hashes are shuffled and those of two documents or more sent back.
-2. For these, a document gives the anchor's context: the stretch that holds all
-   windows whose smallest string it is. Equal contexts are merged, with the
-   smallest document id, before the shuffle; so a passage that many documents
-   share travels once a block of documents.
+   so two documents can share a window only if they share its anchor. An
+   anchor's context is the stretch that holds all windows whose smallest string
+   it is. Packed hashes of anchors, contexts and their middle parts are shuffled.
+2. A context that no other of its anchor can share a window with, since none of
+   its middle parts (``SPLITS``) is another's, gives its copies the smallest id
+   that holds it. The bytes of the others are sent, once a block of documents.
 3. Contexts of one anchor are suffix-sorted together. Runs of suffixes that agree
    in ``width`` bytes are equal windows; each gets the smallest id of its run.
 4. Back at the documents, windows with a smaller id than their document's are cut.
@@ -132,10 +132,12 @@ def _slide(a: np.ndarray, w: int, f) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, at: np.ndarray, width: int, gram: int):
-    """(hash, text, first window, last window) of every anchor; windows are start positions in the buffer."""
+    """(hash, text, first window, last window, place) of every anchor; all but the hash are positions in the buffer.
+
+    The place is -1 if the anchor's bytes stand twice in its context."""
     empty = np.zeros(0, np.int64)
     if len(raw) < width:
-        return empty.astype(np.uint64), empty, empty, empty
+        return empty.astype(np.uint64), empty, empty, empty, empty
     h = prefix_hash(raw)
     _, down = _powers(len(raw))
     h = mix((h[gram:] - h[:-gram]) * down[: len(raw) - gram + 1])
@@ -152,64 +154,137 @@ def anchors(raw: np.ndarray, at: np.ndarray, width: int, gram: int):
     text = np.searchsorted(at, first, "right") - 1
     inside = first < stops[text]
     first, last, text = first[inside], last[inside], text[inside]
-    return low[first], text, first, last
+    # a string is the smallest of a window if it is as small as the greatest of its windows' smallest
+    edge = np.zeros(w - 1, np.uint64)
+    smallest = np.flatnonzero(_slide(np.concatenate((edge, low, edge)), w, np.maximum) == h)
+    begin, stop = np.searchsorted(smallest, first), np.searchsorted(smallest, last + w)
+    own = np.repeat(np.arange(len(first)), stop - begin)
+    place = smallest[np.arange(len(own)) - np.repeat(np.cumsum(stop - begin) - stop, stop - begin)]
+    on = h[place] == low[first[own]]
+    own, place = own[on], place[on]
+    one = np.full(len(first), -1)
+    one[own] = place
+    one[np.bincount(own, minlength=len(first)) > 1] = -1
+    return low[first], text, first, last, one
+
+
+#: Middle parts compared before bytes are sent; windows differ in where they hold the anchor, and each part is common to
+#: a quarter of them.
+SPLITS = 4
+_PART = 3  # bytes a part's hash
+_NONE, _TWICE = 0, (1 << 8 * _PART) - 1  # no such window; the anchor stands twice
+
+
+def parts(p: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """Hashes of the bytes that all windows of a context with the anchor in the same quarter hold; contexts by SPLITS.
+
+    p is the buffer's prefix hash. Contexts with an equal window have an equal part."""
+    span = width - gram
+    edge = np.linspace(0, span + 1, SPLITS + 1).astype(int).tolist()
+    out = np.full((len(first), SPLITS), _NONE, np.int64)
+    for i, (x, y) in enumerate(zip(edge[:-1], edge[1:])):  # windows with x to y - 1 bytes before the anchor
+        on = np.flatnonzero((place >= 0) & (place - first >= x) & (place - last < y))
+        h = range_hash(p, place[on] - x, place[on] + gram + span - (y - 1))
+        out[on, i] = 1 + (h % np.uint64(_TWICE - 1)).astype(np.int64)
+    out[place < 0] = _TWICE
+    return out
 
 
-def _pack(hashes: np.ndarray) -> bytes:
-    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _pack(x: np.ndarray, n: int) -> bytes:
+    """The low n bytes of each."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def _unpack(data: list[bytes], n: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(data), np.uint8).reshape(-1, n)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :n] = raw
     return out.view(np.uint64).reshape(-1)
 
 
-_LOW48 = np.uint64((1 << 48) - 1)
-
-
 def _bucketed(docs: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
-    """bucket, packed hashes, ids of the documents and how many hashes each has: a row per bucket and batch."""
+    """bucket, packed hashes of anchors, contexts and parts, ids of the documents and how many each has: a row per bucket and batch."""
 
     def run(batches):
-        for batch in slices(batches, "text", 1 << 20):
-            h, text, _, _ = anchors(*buffers(batch.column("text")), width, gram)
+        for batch in slices(batches, "text", 2 << 20):
+            raw, at = buffers(batch.column("text"))
+            h, text, first, last, place = anchors(raw, at, width, gram)
+            p = prefix_hash(raw)
+            keys = _context_keys(p, h, first, last + width)
+            part = parts(p, first, last, place, width, gram)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             bucket = (h >> np.uint64(48)).astype(np.int64) * buckets >> 16
-            order = np.lexsort((h, text, bucket))
-            h, text, bucket = h[order], text[order], bucket[order]
+            order = np.argsort(bucket, kind="stable")  # texts stay in order
+            h, text, bucket, keys, part = h[order], text[order], bucket[order], keys[order], part[order]
             rows = []
             edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(h))
             for a, b in zip(edges[:-1], edges[1:]):
                 t, n = np.unique(text[a:b], return_counts=True)
-                rows.append((int(bucket[a]), _pack(h[a:b]), ids[t].astype("<i8").tobytes(), n.astype("<i4").tobytes()))
-            cols = list(zip(*rows)) or [()] * 4
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "hashes", "ids", "counts"])
+                packed = _pack(h[a:b], 6), keys[a:b].tobytes(), _pack(part[a:b].reshape(-1), _PART)
+                rows.append((int(bucket[a]), *packed, ids[t].astype("<i8").tobytes(), n.astype("<i4").tobytes()))
+            cols = list(zip(*rows)) or [()] * 6
+            names = ["bucket", "hashes", "keys", "parts", "ids", "counts"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(cols)], names)
+
+    return docs.mapInArrow(run, "bucket int, hashes binary, keys binary, parts binary, ids binary, counts binary")
+
+
+def may_share(anchor: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Contexts (sorted by anchor number) that may share a window with another of their anchor."""
+    out = np.zeros(len(anchor), bool)
+    size = np.bincount(anchor) if len(anchor) else np.zeros(0, np.int64)
+    many = np.flatnonzero(size[anchor] > 1)
+    for i in range(SPLITS):
+        own = many[part[many, i] != _NONE]
+        _, back, times = np.unique(anchor[own] << 8 * _PART | part[own, i], return_inverse=True, return_counts=True)
+        out[own[times[back] > 1]] = True
+    # windows may use either place of an anchor that stands twice: all contexts of it are sorted
+    twice = np.zeros(len(size), bool)
+    twice[anchor[part[:, 0] == _TWICE]] = True
+    out[many] |= twice[anchor[many]]
+    return out
+
 
-    return docs.mapInArrow(run, "bucket int, hashes binary, ids binary, counts binary")
+def _split(blocks: np.ndarray):
+    """(block, places) of every block."""
+    order = np.argsort(blocks, kind="stable")
+    edges = np.append(np.flatnonzero(np.diff(blocks[order], prepend=-1)), len(blocks))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield int(blocks[order[a]]), order[a:b]
 
 
 def _shared(bucketed: DataFrame, blocks: int) -> DataFrame:
-    """block, ids, packed hashes: anchors that stand in two documents or more."""
+    """block, wanted (contexts whose bytes are needed) and keys and lows of contexts that are settled.
+
+    Settled contexts go only to blocks where a later document than the smallest holds them."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.concatenate([_unpack(x) for x in pdf["hashes"]])
+        h, keys = _unpack(pdf["hashes"], 6), np.frombuffer(b"".join(pdf["keys"]), "<u8")
         ids = np.concatenate([np.repeat(np.frombuffer(i, "<i8"), np.frombuffer(n, "<i4")) for i, n in zip(pdf["ids"], pdf["counts"])])
         order = np.argsort(h, kind="stable")
-        h, ids = h[order], ids[order]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        first = np.flatnonzero(np.append(True, np.diff(h[order]) != 0))
         size = np.diff(np.append(first, len(h)))
-        many = np.repeat(np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first), size)
-        h, ids = h[many], ids[many]
-        block = ids % blocks
-        order = np.argsort(block, kind="stable")
-        h, ids, block = h[order], ids[order], block[order]
-        edges = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(h))
-        rows = [(int(block[a]), ids[a:b].astype("<i8").tobytes(), _pack(h[a:b])) for a, b in zip(edges[:-1], edges[1:])]
-        return pd.DataFrame(rows, columns=["block", "ids", "hashes"])
-
-    return bucketed.groupBy("bucket").applyInPandas(run, "block int, ids binary, hashes binary")
+        many = np.minimum.reduceat(ids[order], first) != np.maximum.reduceat(ids[order], first)
+        order, anchor = order[np.repeat(many, size)], np.repeat(np.cumsum(many) - 1, size)[np.repeat(many, size)]
+        keys, ids = keys[order], ids[order]
+        part = _unpack(pdf["parts"], _PART).astype(np.int64).reshape(-1, SPLITS)[order]
+        order = np.lexsort((ids, keys, anchor))
+        anchor, keys, ids, part = anchor[order], keys[order], ids[order], part[order]
+        head = np.ones(len(keys), bool)
+        head[1:] = (anchor[1:] != anchor[:-1]) | (keys[1:] != keys[:-1])
+        one, context = np.flatnonzero(head), np.cumsum(head) - 1
+        may = may_share(anchor[one], part[one])[context]
+        low = ids[one][context]
+        rows: dict[int, list[bytes]] = {}
+        for block, k in _split((ids % blocks)[may]):
+            rows.setdefault(block, [b""] * 3)[0] = np.unique(keys[may][k]).tobytes()
+        later = ~may & (ids > low)
+        for block, k in _split((ids % blocks)[later]):
+            own, at = np.unique(keys[later][k], return_index=True)
+            rows.setdefault(block, [b""] * 3)[1:] = own.tobytes(), low[later][k][at].astype("<i8").tobytes()
+        return pd.DataFrame([(b, *x) for b, x in rows.items()], columns=["block", "wanted", "keys", "lows"])
+
+    return bucketed.groupBy("bucket").applyInPandas(run, "block int, wanted binary, keys binary, lows binary")
 
 
 def _block_anchors(texts: pa.Table, width: int, gram: int):
@@ -219,9 +294,9 @@ def _block_anchors(texts: pa.Table, width: int, gram: int):
         yield raw, at, batch.column("doc_id").to_numpy(zero_copy_only=False), anchors(raw, at, width, gram)
 
 
-def _context_keys(raw: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    p = prefix_hash(raw)
-    _, down = _powers(len(raw))
+def _context_keys(p: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the contexts from a to b and their anchors; p is the buffer's prefix hash."""
+    _, down = _powers(len(p) - 1)
     return mix(((p[b] - p[a]) * down[a] ^ mix((b - a).astype(np.uint64))) + mix(h))
 
 
@@ -234,7 +309,7 @@ def _held(sorted_list: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_list[at] == x
 
 
-def _contexts(docs: DataFrame, shared: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
+def _contexts(docs: DataFrame, wanted: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
     """bucket, block, anchor hash, context and its smallest document, each context once a block."""
 
     def run(key, texts: pa.Table, found: pa.Table) -> pa.Table:
@@ -242,17 +317,15 @@ def _contexts(docs: DataFrame, shared: DataFrame, width: int, gram: int, buckets
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
         rows = []
         if texts.num_rows and found.num_rows:
-            fi = np.concatenate([np.frombuffer(x, "<i8") for x in found.column("ids").to_pylist()])
-            fh = np.concatenate([_unpack(x) for x in found.column("hashes").to_pylist()])
-            mark = np.unique(mix(fh ^ mix(fi.astype(np.uint64))))
-            parts, base = [], 0
-            for raw, _, ids, (h, text, a, b) in _block_anchors(texts, width, gram):
-                on = _held(mark, mix((h & _LOW48) ^ mix(ids[text].astype(np.uint64))))
-                h, doc, a, b = h[on], ids[text[on]], a[on], b[on] + width
-                keys = _context_keys(raw, h, a, b)
-                parts.append((h, doc, a + base, b + base, keys))
+            wanted = np.unique(np.frombuffer(b"".join(found.column("wanted").to_pylist()), "<u8"))
+            pieces, base = [], 0
+            for raw, _, ids, (h, text, a, b, _) in _block_anchors(texts, width, gram):
+                b = b + width
+                keys = _context_keys(prefix_hash(raw), h, a, b)
+                on = _held(wanted, keys)
+                pieces.append((h[on], ids[text[on]], a[on] + base, b[on] + base, keys[on]))
                 base += len(raw)
-            h, doc, a, b, keys = (np.concatenate(x) for x in zip(*parts))
+            h, doc, a, b, keys = (np.concatenate(x) for x in zip(*pieces))
             raw, _ = buffers(texts.column("text"))
             order = np.lexsort((doc, keys))
             one = order[np.append(True, np.diff(keys[order]) != 0)] if len(order) else order
@@ -270,7 +343,7 @@ def _contexts(docs: DataFrame, shared: DataFrame, width: int, gram: int, buckets
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     schema = "bucket int, block int, anchors binary, sizes binary, contexts binary, keys binary, lows binary"
-    return docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(run, schema)
+    return docs.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, schema)
 
 
 def window_lows(contexts: list[bytes], lows: list[int], width: int) -> list[list[int]]:
@@ -308,47 +381,7 @@ def window_lows(contexts: list[bytes], lows: list[int], width: int) -> list[list
     return out
 
 
-def _may_share(raw: bytes, begin: np.ndarray, size: np.ndarray, h: np.ndarray, width: int, gram: int) -> np.ndarray:
-    """Contexts (sorted by anchor) that may share a window with another of their anchor.
-
-    A window has half of what it holds beside the anchor, rounded down, on one side of it in full. Where those bytes
-    are no other context's on either side, the context shares no window and needs no sorting."""
-    half = (width - gram) // 2
-    out = np.zeros(len(h), bool)
-    same = h[1:] == h[:-1]
-    many = np.flatnonzero(np.append(same, False) | np.append(False, same))
-    sides: tuple[list, list] = ([], [])
-    double = np.zeros(0, np.uint64)
-    for lo in range(0, len(many), 50_000):
-        k = many[lo : lo + 50_000]
-        ends = np.cumsum(size[k])
-        start = ends - size[k]
-        b = np.frombuffer(raw, np.uint8)[np.arange(ends[-1]) - np.repeat(start - begin[k], size[k])]
-        p = prefix_hash(b)
-        _, down = _powers(len(b))
-        grams = mix((p[gram:] - p[:-gram]) * down[: len(b) - gram + 1])
-        own = np.repeat(np.arange(len(k)), size[k])[: len(grams)]
-        place = np.arange(len(grams))
-        at = place[(grams == h[k][own]) & (place + gram <= ends[own])]
-        first = np.searchsorted(at, start)
-        once = np.searchsorted(at, ends) - first == 1
-        # where the anchor's bytes stand twice, windows may use either: all contexts of that anchor are sorted
-        double = np.append(double, np.unique(h[k[~once]]))
-        at = at[first[once]]
-        for side, (x, y) in zip(sides, ((at - half, at), (at + gram, at + gram + half))):
-            ok = (x >= start[once]) & (y <= ends[once])
-            mine = k[once][ok]
-            side.append((mine, mix(range_hash(p, x[ok], y[ok]) ^ h[mine])))
-    for side in sides:
-        if side:
-            k, key = (np.concatenate(x) for x in zip(*side))
-            _, back, times = np.unique(key, return_inverse=True, return_counts=True)
-            out[k[times[back] > 1]] = True
-    out[many] |= np.isin(h[many], double)
-    return out
-
-
-def _resolve(contexts: DataFrame, width: int, gram: int) -> DataFrame:
+def _resolve(contexts: DataFrame, width: int) -> DataFrame:
     """block, context keys, windows from and to, and their smallest document."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -364,27 +397,18 @@ def _resolve(contexts: DataFrame, width: int, gram: int) -> DataFrame:
         context_of = np.empty(len(order), np.int64)
         context_of[order] = np.cumsum(head) - 1
         group = np.append(np.flatnonzero(np.diff(h[one], prepend=h[one][:1] + np.uint64(1))), len(one))
-        n_windows = size[one] - width + 1
         context, start, stop, low = [], [], [], []
-        may = _may_share(raw, begin[one], size[one], h[one], width, gram)
-        alone = np.flatnonzero(~may)
         for x, y in zip(group[:-1].tolist(), group[1:].tolist()):
-            sharing = np.flatnonzero(may[x:y]) + x
-            if not len(sharing):
-                continue
-            own = one[sharing]
+            own = one[x:y]
             texts = [raw[begin[i] : begin[i] + size[i]] for i in own.tolist()]
-            for c, found in zip(sharing.tolist(), window_lows(texts, lows[own].tolist(), width)):
+            for c, found in zip(range(x, y), window_lows(texts, lows[own].tolist(), width)):
                 edge = [0, *(i for i in range(1, len(found)) if found[i] != found[i - 1]), len(found)]
                 for s, e in zip(edge[:-1], edge[1:]):
                     context.append(c)
                     start.append(s)
                     stop.append(e)
                     low.append(found[s])
-        context = np.concatenate((alone, np.array(context, np.int64)))
-        start = np.concatenate((np.zeros(len(alone), np.int64), np.array(start, np.int64)))
-        stop = np.concatenate((n_windows[alone], np.array(stop, np.int64)))
-        low = np.concatenate((lows[one][alone], np.array(low, np.int64)))
+        context, start, stop, low = (np.array(x, np.int64) for x in (context, start, stop, low))
         # back to every block that sent the context
         by = np.argsort(context, kind="stable")
         context, start, stop, low = context[by], start[by], stop[by], low[by]
@@ -405,23 +429,23 @@ def _cut(docs: DataFrame, resolved: DataFrame, width: int, gram: int, texts_out:
         if not n:
             return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())], names)
         if found.num_rows:
-            whole = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in found.column(c).to_pylist()])
-            fk, fs, fe, fl = whole("keys", "<u8"), whole("starts", "<i2").astype(np.int64), whole("stops", "<i2").astype(np.int64), whole("lows", "<i8")
+            column = lambda c, t: np.frombuffer(b"".join(found.column(c).to_pylist()), t)
+            fk, fs, fe, fl = column("keys", "<u8"), column("starts", "<i2").astype(np.int64), column("stops", "<i2").astype(np.int64), column("lows", "<i8")
             order = np.argsort(fk, kind="stable")
             fk, fs, fe, fl = fk[order], fs[order], fe[order], fl[order]
         out = []
-        for raw, at, ids, (h, text, a, b) in _block_anchors(texts, width, gram):
+        for raw, at, ids, (h, text, a, b, _) in _block_anchors(texts, width, gram):
             gone = np.zeros(len(raw) + 1, np.int32)
             if found.num_rows:
-                keys = _context_keys(raw, h, a, b + width)
+                keys = _context_keys(prefix_hash(raw), h, a, b + width)
                 x, y = np.searchsorted(fk, keys), np.searchsorted(fk, keys, "right")
                 size = y - x
                 ends = np.cumsum(size)
                 take = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - x, size)
-                base, doc = np.repeat(a, size), np.repeat(ids[text], size)
+                base, doc, whole = np.repeat(a, size), np.repeat(ids[text], size), np.repeat(b - a + 1, size)
                 lost = fl[take] < doc
                 np.add.at(gone, (base + fs[take])[lost], 1)
-                np.add.at(gone, (base + fe[take] - 1 + width)[lost], -1)
+                np.add.at(gone, (base + np.where(fe[take] < 0, whole, fe[take]) - 1 + width)[lost], -1)
             drop = np.cumsum(gone)[:-1] > 0
             begins = drop.copy()
             begins[1:] &= ~drop[:-1]
@@ -453,9 +477,14 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 24, block_bytes
     dealt = known.withColumn("block", F.pmod("doc_id", F.lit(blocks)).cast("int"))
     shared = cut(_shared(_bucketed(known, width, gram, blocks), blocks))
     release(docs.sparkSession)
-    resolved = cut(_resolve(_contexts(dealt, shared, width, gram, blocks), width, gram))
+    wanted = shared.where(F.octet_length("wanted") > 0).select("block", "wanted")
+    resolved = cut(_resolve(_contexts(dealt, wanted, width, gram, blocks), width))
     release(docs.sparkSession)
-    out = _cut(dealt, resolved, width, gram, texts_out)
+    # of a settled context all windows have one smallest document: stop -1
+    n = (F.octet_length("keys") / 8).cast("int")
+    ends = [F.unhex(F.repeat(F.lit(x), n)).alias(c) for c, x in (("starts", "0000"), ("stops", "FFFF"))]
+    settled = shared.where(F.octet_length("keys") > 0).select("block", "keys", *ends, "lows")
+    out = _cut(dealt, resolved.unionByName(settled), width, gram, texts_out)
     rest = source.where(F.col("doc_id").isNull())
     zero = F.lit(0).cast("bigint")
     return out.unionByName(
