@@ -29,6 +29,7 @@ without doc_id are kept whole and give nothing to others; texts shorter than
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,7 @@ from .checkpoint import cut, release
 from .text import _powers, buffers, mix, prefix_hash, range_hash, slices
 
 
-def suffix_array(s: list[int]) -> list[int]:
+def suffix_array(s: Sequence) -> list[int]:
     """Start positions of all suffixes in lexicographic order.
 
     Each suffix is looked at once in its group and moved once for each time its prefix grows. Groups form a linked list in order of their Lyndon prefixes, first of one symbol each."""
@@ -131,18 +132,18 @@ def _slide(a: np.ndarray, w: int, f) -> np.ndarray:
     return f(a[: len(a) - (w - s)], a[w - s :]) if w > s else a
 
 
-def anchors(raw: np.ndarray, at: np.ndarray, width: int, gram: int):
-    """(hash, text, first window, last window, place) of every anchor; all but the hash are positions in the buffer.
+def _grams(p: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the gram bytes at every place; p is the buffer's prefix hash."""
+    _, down = _powers(len(p) - 1)
+    return mix((p[gram:] - p[:-gram]) * down[: len(p) - gram])
+
 
-    The place is -1 if the anchor's bytes stand twice in its context."""
+def anchors(p: np.ndarray, at: np.ndarray, width: int, gram: int):
+    """(hash, text, first window, last window) of every anchor; windows are start positions in the buffer."""
     empty = np.zeros(0, np.int64)
-    if len(raw) < width:
-        return empty.astype(np.uint64), empty, empty, empty, empty
-    h = prefix_hash(raw)
-    _, down = _powers(len(raw))
-    h = mix((h[gram:] - h[:-gram]) * down[: len(raw) - gram + 1])
-    w = width - gram + 1
-    low = _slide(h, w, np.minimum)  # of the window that begins at each byte
+    if len(p) <= width:
+        return empty.astype(np.uint64), empty, empty, empty
+    low = _slide(_grams(p, gram), width - gram + 1, np.minimum)  # of the window that begins at each byte
     # windows one after the other that have the same smallest string share an anchor; a text's last bytes begin none
     new = np.ones(len(low) + 1, bool)
     new[1:-1] = low[1:] != low[:-1]
@@ -154,18 +155,28 @@ def anchors(raw: np.ndarray, at: np.ndarray, width: int, gram: int):
     text = np.searchsorted(at, first, "right") - 1
     inside = first < stops[text]
     first, last, text = first[inside], last[inside], text[inside]
-    # a string is the smallest of a window if it is as small as the greatest of its windows' smallest
-    edge = np.zeros(w - 1, np.uint64)
-    smallest = np.flatnonzero(_slide(np.concatenate((edge, low, edge)), w, np.maximum) == h)
-    begin, stop = np.searchsorted(smallest, first), np.searchsorted(smallest, last + w)
-    own = np.repeat(np.arange(len(first)), stop - begin)
-    place = smallest[np.arange(len(own)) - np.repeat(np.cumsum(stop - begin) - stop, stop - begin)]
-    on = h[place] == low[first[own]]
-    own, place = own[on], place[on]
-    one = np.full(len(first), -1)
-    one[own] = place
-    one[np.bincount(own, minlength=len(first)) > 1] = -1
-    return low[first], text, first, last, one
+    return low[first], text, first, last
+
+
+def places(p: np.ndarray, h: np.ndarray, first: np.ndarray, last: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """Where each anchor stands in its context; -1 if twice."""
+    out = np.full(len(h), -1)
+    if not len(h):
+        return out
+    grams = _grams(p, gram)
+    times = np.zeros(len(h), np.int64)
+    w = width - gram + 1
+    times[last - first >= w] = 2  # one place lies in w windows at most
+    order = np.argsort(first - last, kind="stable")
+    order = order[times[order] == 0]  # the longest first
+    short, begin, h = (first - last)[order], first[order], h[order]
+    for i in range(2 * w - 1):
+        n = int(np.searchsorted(short, w - 1 - i, "right"))
+        on = order[:n][grams[begin[:n] + i] == h[:n]]
+        out[on] = first[on] + i
+        times[on] += 1
+    out[times > 1] = -1
+    return out
 
 
 #: Middle parts compared before bytes are sent; windows differ in where they hold the anchor, and each part is common to
@@ -192,7 +203,7 @@ def parts(p: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray,
 
 def _pack(x: np.ndarray, n: int) -> bytes:
     """The low n bytes of each."""
-    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize)[:, :n]).tobytes()
 
 
 def _unpack(data: list[bytes], n: int) -> np.ndarray:
@@ -206,13 +217,18 @@ def _bucketed(docs: DataFrame, width: int, gram: int, buckets: int) -> DataFrame
     """bucket, packed hashes of anchors, contexts and parts, ids of the documents and how many each has: a row per bucket and batch."""
 
     def run(batches):
-        for batch in slices(batches, "text", 2 << 20):
-            raw, at = buffers(batch.column("text"))
-            h, text, first, last, place = anchors(raw, at, width, gram)
-            p = prefix_hash(raw)
-            keys = _context_keys(p, h, first, last + width)
-            part = parts(p, first, last, place, width, gram)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        for batch in slices(batches, "text", 4 << 20):
+            ids, n, found = batch.column("doc_id").to_numpy(zero_copy_only=False), 0, []
+            for piece in slices(iter([batch]), "text", 1 << 18):  # small enough for the processor's cache
+                raw, at = buffers(piece.column("text"))
+                p = prefix_hash(raw)
+                h, text, first, last = anchors(p, at, width, gram)
+                part = parts(p, first, last, places(p, h, first, last, width, gram), width, gram)
+                found.append((h, text + n, _context_keys(p, h, first, last + width), part.astype(np.int32)))
+                n += piece.num_rows
+            if not found:
+                continue
+            h, text, keys, part = (np.concatenate(x) for x in zip(*found))
             bucket = (h >> np.uint64(48)).astype(np.int64) * buckets >> 16
             order = np.argsort(bucket, kind="stable")  # texts stay in order
             h, text, bucket, keys, part = h[order], text[order], bucket[order], keys[order], part[order]
@@ -288,10 +304,11 @@ def _shared(bucketed: DataFrame, blocks: int) -> DataFrame:
 
 
 def _block_anchors(texts: pa.Table, width: int, gram: int):
-    """(raw, offsets, ids, anchors) of a block's documents, some MB at a time."""
-    for batch in slices(iter(texts.combine_chunks().to_batches()), "text", 1 << 20):
+    """(raw, offsets, prefix hash, ids, anchors) of a block's documents, some MB at a time."""
+    for batch in slices(iter(texts.combine_chunks().to_batches()), "text", 1 << 18):
         raw, at = buffers(batch.column("text"))
-        yield raw, at, batch.column("doc_id").to_numpy(zero_copy_only=False), anchors(raw, at, width, gram)
+        p = prefix_hash(raw)
+        yield raw, at, p, batch.column("doc_id").to_numpy(zero_copy_only=False), anchors(p, at, width, gram)
 
 
 def _context_keys(p: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -313,23 +330,24 @@ def _contexts(docs: DataFrame, wanted: DataFrame, width: int, gram: int, buckets
     """bucket, block, anchor hash, context and its smallest document, each context once a block."""
 
     def run(key, texts: pa.Table, found: pa.Table) -> pa.Table:
-        names = ["bucket", "block", "anchors", "sizes", "contexts", "keys", "lows"]
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+        names = ["bucket", "block", "anchors", "sizes", "contexts", "keys", "lows", "places"]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
         rows = []
         if texts.num_rows and found.num_rows:
             wanted = np.unique(np.frombuffer(b"".join(found.column("wanted").to_pylist()), "<u8"))
             pieces, base = [], 0
-            for raw, _, ids, (h, text, a, b, _) in _block_anchors(texts, width, gram):
-                b = b + width
-                keys = _context_keys(prefix_hash(raw), h, a, b)
+            for raw, _, p, ids, (h, text, a, b) in _block_anchors(texts, width, gram):
+                keys = _context_keys(p, h, a, b + width)
                 on = _held(wanted, keys)
-                pieces.append((h[on], ids[text[on]], a[on] + base, b[on] + base, keys[on]))
+                h, a, b = h[on], a[on], b[on]
+                place = places(p, h, a, b, width, gram)
+                pieces.append((h, ids[text[on]], a + base, b + width + base, keys[on], np.where(place < 0, -1, place - a)))
                 base += len(raw)
-            h, doc, a, b, keys = (np.concatenate(x) for x in zip(*pieces))
+            h, doc, a, b, keys, place = (np.concatenate(x) for x in zip(*pieces))
             raw, _ = buffers(texts.column("text"))
             order = np.lexsort((doc, keys))
             one = order[np.append(True, np.diff(keys[order]) != 0)] if len(order) else order
-            h, doc, a, b, keys = h[one], doc[one], a[one], b[one], keys[one]
+            h, doc, a, b, keys, place = h[one], doc[one], a[one], b[one], keys[one], place[one]
             bucket = (mix(h) >> np.uint64(48)).astype(np.int64) * buckets >> 16
             order = np.argsort(bucket, kind="stable")
             edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(h))
@@ -338,26 +356,30 @@ def _contexts(docs: DataFrame, wanted: DataFrame, width: int, gram: int, buckets
                 size = b[own] - a[own]
                 ends = np.cumsum(size)
                 take = np.arange(ends[-1]) - np.repeat(ends - size - a[own], size)
-                rows.append((int(bucket[own[0]]), int(key[0].as_py()), h[own].tobytes(), size.astype("<i4").tobytes(), raw[take].tobytes(), keys[own].tobytes(), doc[own].astype("<i8").tobytes()))
-        cols = list(zip(*rows)) or [()] * 7
+                rows.append((int(bucket[own[0]]), int(key[0].as_py()), h[own].tobytes(), size.astype("<i4").tobytes(), raw[take].tobytes(), keys[own].tobytes(), doc[own].astype("<i8").tobytes(), place[own].astype("<i2").tobytes()))
+        cols = list(zip(*rows)) or [()] * 8
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    schema = "bucket int, block int, anchors binary, sizes binary, contexts binary, keys binary, lows binary"
+    schema = "bucket int, block int, anchors binary, sizes binary, contexts binary, keys binary, lows binary, places binary"
     return docs.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, schema)
 
 
-def window_lows(contexts: list[bytes], lows: list[int], width: int) -> list[list[int]]:
-    """For every context the smallest id of each of its windows, by one suffix array over all of them."""
-    flat: list[int] = []
-    begin = []
-    for c in contexts:
-        begin.append(len(flat))
-        flat += [x + 1 for x in c]
-        flat.append(0)
-    owner = [i for i, c in enumerate(contexts) for _ in range(len(c) + 1)]
-    last_window = [b + len(c) - width for b, c in zip(begin, contexts) for _ in range(len(c) + 1)]
-    data = b"".join(c + b"\0" for c in contexts)
-    out = [[low] * (len(c) - width + 1) for c, low in zip(contexts, lows)]
+def window_lows(contexts: list[bytes], lows: list[int], width: int, gram: int = 1, at: list[int] | None = None) -> list[list[int]]:
+    """For every context the smallest id of each of its windows, by one suffix array over all of them.
+
+    at: where the anchor, the same ``gram`` bytes in all, stands in each. Every window holds it once, so it is sorted
+    as one symbol, which leaves the windows equal that were."""
+    texts = [c.decode("latin-1") for c in contexts]
+    if at is not None:
+        texts = [c[:i] + "\u0100" + c[i + gram :] for c, i in zip(texts, at)]
+        width -= gram - 1
+    data = "".join(texts)
+    begin, owner, last_window = [], [], []
+    for i, c in enumerate(texts):
+        begin.append(len(owner))
+        last_window += [len(owner) + len(c) - width] * len(c)
+        owner += [i] * len(c)
+    out = [[low] * (len(c) - width + 1) for c, low in zip(texts, lows)]
     run: list[tuple[int, int]] = []
     last = None
 
@@ -367,7 +389,7 @@ def window_lows(contexts: list[bytes], lows: list[int], width: int) -> list[list
             for c, i in run:
                 out[c][i] = low
 
-    for p in suffix_array(flat):
+    for p in suffix_array(data):
         if p > last_window[p]:
             continue
         c = owner[p]
@@ -381,12 +403,13 @@ def window_lows(contexts: list[bytes], lows: list[int], width: int) -> list[list
     return out
 
 
-def _resolve(contexts: DataFrame, width: int) -> DataFrame:
+def _resolve(contexts: DataFrame, width: int, gram: int) -> DataFrame:
     """block, context keys, windows from and to, and their smallest document."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         whole = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in pdf[c]])
         h, size, keys, lows = whole("anchors", "<u8"), whole("sizes", "<i4").astype(np.int64), whole("keys", "<u8"), whole("lows", "<i8")
+        place = whole("places", "<i2")
         block = np.repeat(pdf["block"].to_numpy(), [len(x) // 8 for x in pdf["keys"]])
         raw = b"".join(pdf["contexts"])
         begin = np.cumsum(size) - size
@@ -401,7 +424,8 @@ def _resolve(contexts: DataFrame, width: int) -> DataFrame:
         for x, y in zip(group[:-1].tolist(), group[1:].tolist()):
             own = one[x:y]
             texts = [raw[begin[i] : begin[i] + size[i]] for i in own.tolist()]
-            for c, found in zip(range(x, y), window_lows(texts, lows[own].tolist(), width)):
+            at = place[own].tolist() if (place[own] >= 0).all() else None
+            for c, found in zip(range(x, y), window_lows(texts, lows[own].tolist(), width, gram, at)):
                 edge = [0, *(i for i in range(1, len(found)) if found[i] != found[i - 1]), len(found)]
                 for s, e in zip(edge[:-1], edge[1:]):
                     context.append(c)
@@ -417,7 +441,7 @@ def _resolve(contexts: DataFrame, width: int) -> DataFrame:
             wanted = np.unique(context_of[block == b])
             a, z = np.searchsorted(context, wanted), np.searchsorted(context, wanted, "right")
             take = np.concatenate([np.arange(i, j) for i, j in zip(a.tolist(), z.tolist())])
-            rows.append((b, keys[one][context[take]].tobytes(), start[take].astype("<i2").tobytes(), stop[take].astype("<i2").tobytes(), low[take].astype("<i8").tobytes()))
+            rows.append((b, keys[one][context[take]].tobytes(), start[take].astype("<i4").tobytes(), stop[take].astype("<i4").tobytes(), low[take].astype("<i8").tobytes()))
         return pd.DataFrame(rows, columns=["block", "keys", "starts", "stops", "lows"])
 
     return contexts.groupBy("bucket").applyInPandas(run, "block int, keys binary, starts binary, stops binary, lows binary")
@@ -430,14 +454,14 @@ def _cut(docs: DataFrame, resolved: DataFrame, width: int, gram: int, texts_out:
             return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())], names)
         if found.num_rows:
             column = lambda c, t: np.frombuffer(b"".join(found.column(c).to_pylist()), t)
-            fk, fs, fe, fl = column("keys", "<u8"), column("starts", "<i2").astype(np.int64), column("stops", "<i2").astype(np.int64), column("lows", "<i8")
+            fk, fs, fe, fl = column("keys", "<u8"), column("starts", "<i4").astype(np.int64), column("stops", "<i4").astype(np.int64), column("lows", "<i8")
             order = np.argsort(fk, kind="stable")
             fk, fs, fe, fl = fk[order], fs[order], fe[order], fl[order]
         out = []
-        for raw, at, ids, (h, text, a, b, _) in _block_anchors(texts, width, gram):
+        for raw, at, p, ids, (h, text, a, b) in _block_anchors(texts, width, gram):
             gone = np.zeros(len(raw) + 1, np.int32)
             if found.num_rows:
-                keys = _context_keys(prefix_hash(raw), h, a, b + width)
+                keys = _context_keys(p, h, a, b + width)
                 x, y = np.searchsorted(fk, keys), np.searchsorted(fk, keys, "right")
                 size = y - x
                 ends = np.cumsum(size)
@@ -475,14 +499,15 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 24, block_bytes
     volume = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, int(volume) // block_bytes) | 1
     dealt = known.withColumn("block", F.pmod("doc_id", F.lit(blocks)).cast("int"))
-    shared = cut(_shared(_bucketed(known, width, gram, blocks), blocks))
+    # three buckets a block bound what one task holds of the anchors
+    shared = cut(_shared(_bucketed(known, width, gram, 3 * blocks), blocks))
     release(docs.sparkSession)
     wanted = shared.where(F.octet_length("wanted") > 0).select("block", "wanted")
-    resolved = cut(_resolve(_contexts(dealt, wanted, width, gram, blocks), width))
+    resolved = cut(_resolve(_contexts(dealt, wanted, width, gram, blocks), width, gram))
     release(docs.sparkSession)
     # of a settled context all windows have one smallest document: stop -1
     n = (F.octet_length("keys") / 8).cast("int")
-    ends = [F.unhex(F.repeat(F.lit(x), n)).alias(c) for c, x in (("starts", "0000"), ("stops", "FFFF"))]
+    ends = [F.unhex(F.repeat(F.lit(x), n)).alias(c) for c, x in (("starts", "0" * 8), ("stops", "F" * 8))]
     settled = shared.where(F.octet_length("keys") > 0).select("block", "keys", *ends, "lows")
     out = _cut(dealt, resolved.unionByName(settled), width, gram, texts_out)
     rest = source.where(F.col("doc_id").isNull())

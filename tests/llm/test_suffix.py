@@ -51,6 +51,12 @@ def test_remove_repeats_matches_brute_force(spark):
     assert suffix_dedup.remove_repeats(docs(spark, [])).collect() == []
 
 
+def test_long_runs_of_one_byte(spark):
+    texts = ["y" + "x" * 70_000, "x" * 69_000 + "z", "ab" * 40_000]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs(spark, texts)).collect()}
+    assert [(got[i].n_removed, got[i].n_spans, got[i].kept) for i in (0, 1, 2)] == [(0, 0, texts[0]), (69_000, 1, "z"), (0, 0, texts[2])]
+
+
 def test_query_matches_brute_force(spark):
     sf_dir = "/root/testdata/sf0.001"
     table = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
