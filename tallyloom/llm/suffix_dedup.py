@@ -182,7 +182,8 @@ def places(p: np.ndarray, h: np.ndarray, first: np.ndarray, last: np.ndarray, wi
 #: Middle parts compared before bytes are sent; windows differ in where they hold the anchor, and each part is common to
 #: a quarter of them.
 SPLITS = 4
-_PART = 3  # bytes a part's hash
+#: Bytes of a packed hash of an anchor and of a part. Different ones that look alike only send more contexts to be sorted.
+_ANCHOR, _PART = 4, 2
 _NONE, _TWICE = 0, (1 << 8 * _PART) - 1  # no such window; the anchor stands twice
 
 
@@ -217,7 +218,7 @@ def _bucketed(docs: DataFrame, width: int, gram: int, buckets: int) -> DataFrame
     """bucket, packed hashes of anchors, contexts and parts, ids of the documents and how many each has: a row per bucket and batch."""
 
     def run(batches):
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 3 << 20):
             ids, n, found = batch.column("doc_id").to_numpy(zero_copy_only=False), 0, []
             for piece in slices(iter([batch]), "text", 1 << 18):  # small enough for the processor's cache
                 raw, at = buffers(piece.column("text"))
@@ -236,7 +237,7 @@ def _bucketed(docs: DataFrame, width: int, gram: int, buckets: int) -> DataFrame
             edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(h))
             for a, b in zip(edges[:-1], edges[1:]):
                 t, n = np.unique(text[a:b], return_counts=True)
-                packed = _pack(h[a:b], 6), keys[a:b].tobytes(), _pack(part[a:b].reshape(-1), _PART)
+                packed = _pack(h[a:b], _ANCHOR), keys[a:b].tobytes(), _pack(part[a:b].reshape(-1), _PART)
                 rows.append((int(bucket[a]), *packed, ids[t].astype("<i8").tobytes(), n.astype("<i4").tobytes()))
             cols = list(zip(*rows)) or [()] * 6
             names = ["bucket", "hashes", "keys", "parts", "ids", "counts"]
@@ -275,7 +276,7 @@ def _shared(bucketed: DataFrame, blocks: int) -> DataFrame:
     Settled contexts go only to blocks where a later document than the smallest holds them."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, keys = _unpack(pdf["hashes"], 6), np.frombuffer(b"".join(pdf["keys"]), "<u8")
+        h, keys = _unpack(pdf["hashes"], _ANCHOR), np.frombuffer(b"".join(pdf["keys"]), "<u8")
         ids = np.concatenate([np.repeat(np.frombuffer(i, "<i8"), np.frombuffer(n, "<i4")) for i, n in zip(pdf["ids"], pdf["counts"])])
         order = np.argsort(h, kind="stable")
         first = np.flatnonzero(np.append(True, np.diff(h[order]) != 0))
@@ -490,7 +491,7 @@ def _cut(docs: DataFrame, resolved: DataFrame, width: int, gram: int, texts_out:
     return docs.groupBy("block").cogroup(resolved.groupBy("block")).applyInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 24, block_bytes: int = 16 << 20, texts_out: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 24, block_bytes: int = 8 << 20, texts_out: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the remaining text, of every document.
 
     kept leaves out bytes that a cut inside a character makes invalid; the digest is of all remaining bytes."""
@@ -499,8 +500,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 24, block_bytes
     volume = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, int(volume) // block_bytes) | 1
     dealt = known.withColumn("block", F.pmod("doc_id", F.lit(blocks)).cast("int"))
-    # three buckets a block bound what one task holds of the anchors
-    shared = cut(_shared(_bucketed(known, width, gram, 3 * blocks), blocks))
+    # two buckets a block bound what one task holds of the anchors
+    shared = cut(_shared(_bucketed(known, width, gram, 2 * blocks), blocks))
     release(docs.sparkSession)
     wanted = shared.where(F.octet_length("wanted") > 0).select("block", "wanted")
     resolved = cut(_resolve(_contexts(dealt, wanted, width, gram, blocks), width, gram))
