@@ -214,6 +214,20 @@ def _unpack(data: list[bytes], n: int) -> np.ndarray:
     return out.view(np.uint64).reshape(-1)
 
 
+def _pack_parts(x: np.ndarray) -> bytes:
+    """Which parts there are, a bit each, then the low bytes of those."""
+    there = x.reshape(-1) != _NONE
+    return np.packbits(there).tobytes() + _pack(x.reshape(-1)[there], _PART)
+
+
+def _unpack_parts(data: bytes, n: int) -> np.ndarray:
+    head = (n * SPLITS + 7) // 8
+    there = np.unpackbits(np.frombuffer(data, np.uint8, head), count=n * SPLITS).astype(bool)
+    out = np.full(n * SPLITS, _NONE, np.int64)
+    out[there] = _unpack([data[head:]], _PART).astype(np.int64)
+    return out.reshape(-1, SPLITS)
+
+
 def _bucketed(docs: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
     """bucket, packed hashes of anchors, contexts and parts, ids of the documents and how many each has: a row per bucket and batch."""
 
@@ -237,7 +251,7 @@ def _bucketed(docs: DataFrame, width: int, gram: int, buckets: int) -> DataFrame
             edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(h))
             for a, b in zip(edges[:-1], edges[1:]):
                 t, n = np.unique(text[a:b], return_counts=True)
-                packed = _pack(h[a:b], _ANCHOR), keys[a:b].tobytes(), _pack(part[a:b].reshape(-1), _PART)
+                packed = _pack(h[a:b], _ANCHOR), keys[a:b].tobytes(), _pack_parts(part[a:b])
                 rows.append((int(bucket[a]), *packed, ids[t].astype("<i8").tobytes(), n.astype("<i4").tobytes()))
             cols = list(zip(*rows)) or [()] * 6
             names = ["bucket", "hashes", "keys", "parts", "ids", "counts"]
@@ -284,7 +298,7 @@ def _shared(bucketed: DataFrame, blocks: int) -> DataFrame:
         many = np.minimum.reduceat(ids[order], first) != np.maximum.reduceat(ids[order], first)
         order, anchor = order[np.repeat(many, size)], np.repeat(np.cumsum(many) - 1, size)[np.repeat(many, size)]
         keys, ids = keys[order], ids[order]
-        part = _unpack(pdf["parts"], _PART).astype(np.int64).reshape(-1, SPLITS)[order]
+        part = np.concatenate([_unpack_parts(x, len(a) // _ANCHOR) for x, a in zip(pdf["parts"], pdf["hashes"])])[order]
         order = np.lexsort((ids, keys, anchor))
         anchor, keys, ids, part = anchor[order], keys[order], ids[order], part[order]
         head = np.ones(len(keys), bool)
