@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": langid.op1_language_id,
         "op2_license_scan": license_scan.op2_license_scan,
         "op3_sentence_dedup": sentence_dedup.op3_sentence_dedup,
+        "op3_passage_dedup": sentence_dedup.op3_passage_dedup,
         "op4_decontamination": decontam.op4_decontamination,
         "op5_packing": packing.op5_packing,
         "op6_near_dedup": near_dedup.op6_near_dedup,

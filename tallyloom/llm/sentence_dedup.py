@@ -10,6 +10,12 @@ occurrence that is not the first, by doc_id and place, is removed.
 Only hashes and places are shuffled: first as counts, combined before the
 shuffle, then in a join that can split a hot span.
 
+With ``reach`` sentences are parted further, after words whose hash with the
+next word's is the smallest within ``reach`` words (runs of one word: after each
+4 * ``reach`` words), so that a passage has the
+same parts wherever it stands, except near its ends, whether or not it holds
+whole sentences. All of the above then goes by parts.
+
 Defined results: null and empty texts have no sentences; spans may overlap
 themselves (of a word repeated as many sentences the first stays); rows that
 share a doc_id count as the same place; rows without doc_id are kept as they
@@ -29,6 +35,8 @@ from .text import buffers, mix, prefix_hash, range_hash, slices, word_spans
 
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?\n"]] = True
+#: Of ``op3_passage_dedup``: words of a span, and within how many a part ends where its hash is the smallest.
+PASSAGE_WORDS, PASSAGE_REACH = 16, 4
 SPAN = "hash bigint, doc_id bigint, start int, stop int"
 
 
@@ -41,9 +49,33 @@ def sentence_starts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def spans_of(raw: np.ndarray, at: np.ndarray, sentences: int, least_words: int):
-    """(hash, text, start, stop) of all spans, in sentences of their text."""
+def part_starts(raw: np.ndarray, at: np.ndarray, reach: int | None) -> np.ndarray:
+    """``sentence_starts``, and with ``reach`` the places inside long sentences where they are parted."""
     begin = sentence_starts(raw, at)
+    if reach is None:
+        return begin
+    low, ws, we, _ = word_spans(raw, at)
+    if not len(ws):
+        return begin
+    w = mix(range_hash(prefix_hash(low), ws, we))
+    first = np.searchsorted(ws, begin)  # of each sentence; the word before ends one
+    r = np.zeros(len(w) + 2 * reach, np.uint64)
+    r[reach : reach + len(w) - 1] = mix(w[:-1] + mix(w[1:])) | np.uint64(1)
+    r[reach + first[first > 0] - 1] = 0
+    least = r[reach : reach + len(w)] > 0
+    for d in range(1, reach + 1):
+        least &= (r[reach : reach + len(w)] < r[reach - d : reach - d + len(w)]) & (r[reach : reach + len(w)] < r[reach + d : reach + d + len(w)])
+    # a run of one word has no smallest: it is parted by count
+    i = np.arange(len(w))
+    fresh = np.append(True, w[1:] != w[:-1])
+    fresh[first[first < len(w)]] = True
+    nth = i - np.maximum.accumulate(np.where(fresh, i, 0))
+    return np.unique(np.concatenate((begin, ws[np.flatnonzero(least) + 1], ws[(nth > 0) & (nth % (4 * reach) == 0)])))
+
+
+def spans_of(raw: np.ndarray, at: np.ndarray, sentences: int, least_words: int, reach: int | None = None):
+    """(hash, text, start, stop) of all spans, in sentences of their text."""
+    begin = part_starts(raw, at, reach)
     low, ws, we, _ = word_spans(raw, at)
     w = mix(range_hash(prefix_hash(low), ws, we))
     first_word = np.append(np.searchsorted(ws, begin), len(ws))  # of each sentence
@@ -70,10 +102,10 @@ def spans_of(raw: np.ndarray, at: np.ndarray, sentences: int, least_words: int):
     return h.view(np.int64), text, (s - base).astype(np.int32), (stop - base).astype(np.int32)
 
 
-def spans(docs: DataFrame, sentences: int = 3, least_words: int = 8) -> DataFrame:
+def spans(docs: DataFrame, sentences: int = 3, least_words: int = 8, reach: int | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            h, text, start, stop = spans_of(*buffers(batch.column("text")), sentences, least_words)
+            h, text, start, stop = spans_of(*buffers(batch.column("text")), sentences, least_words, reach)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h), pa.array(ids[text]), pa.array(start), pa.array(stop)], ["hash", "doc_id", "start", "stop"]
@@ -83,23 +115,23 @@ def spans(docs: DataFrame, sentences: int = 3, least_words: int = 8) -> DataFram
     return known.mapInArrow(run, SPAN)
 
 
-def repeated(docs: DataFrame, sentences: int = 3, least_words: int = 8) -> DataFrame:
+def repeated(docs: DataFrame, sentences: int = 3, least_words: int = 8, reach: int | None = None) -> DataFrame:
     """doc_id and runs: the sentence ranges of its spans that stand at an earlier place too."""
-    found = spans(docs, sentences, least_words)
+    found = spans(docs, sentences, least_words, reach)
     first = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1")
     again = found.join(first.select("hash", "first"), "hash").where(F.struct("doc_id", "start") > F.col("first"))
     return again.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
 
 
-def deduplicate(docs: DataFrame, sentences: int = 3, least_words: int = 8) -> DataFrame:
+def deduplicate(docs: DataFrame, sentences: int = 3, least_words: int = 8, reach: int | None = None) -> DataFrame:
     """The documents with text cut, and n_sentences and n_removed."""
-    runs = repeated(docs, sentences, least_words).withColumnRenamed("doc_id", "_id")
+    runs = repeated(docs, sentences, least_words, reach).withColumnRenamed("doc_id", "_id")
     both = docs.join(runs, docs["doc_id"].cast("bigint") == runs["_id"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
             raw, at = buffers(batch.column("text"))
-            begin = sentence_starts(raw, at)
+            begin = part_starts(raw, at, reach)
             of_text = np.searchsorted(begin, at)
             texts = batch.column("text").to_pylist()
             n, gone = np.diff(of_text), []
@@ -136,6 +168,17 @@ def op3_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op3_sentence_dedup``, by parts of sentences: passages of over 50 words go whatever sentences they hold.
+
+    The SQL of ``op3_sentence_dedup`` fixes its spans of three whole sentences, so this is a query of its own."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = deduplicate(docs, sentences=1, least_words=PASSAGE_WORDS, reach=PASSAGE_REACH)
+    return out.select(
+        "doc_id", F.col("n_sentences").alias("n_parts"), "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP3_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+|[^.!?\n]+') AS s FROM documents),
