@@ -39,8 +39,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 50-byte strings of earlier documents; n_chars follows. A text all cut stays, empty."""
-    out = suffix_dedup.remove_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept")
-    both = docs.join(out, docs["doc_id"] == out["_id"], "left")
+    out = suffix_dedup.remove_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_key"), "kept")
+    out = out.dropDuplicates(["_id", "_key"])
+    both = docs.join(out, (docs["doc_id"] == out["_id"]) & (F.md5(F.coalesce("text", F.lit("")).cast("binary")) == out["_key"]), "left")
     text = F.when(F.col("_id").isNotNull(), F.col("kept")).otherwise(F.col("text"))
     chars = F.when(F.col("_id").isNotNull(), F.char_length("kept").cast("bigint")).otherwise(F.col("n_chars"))
     return _columns(both.withColumns({"text": text, "n_chars": chars}))

@@ -466,7 +466,7 @@ def _cut(docs: DataFrame, resolved: DataFrame, width: int, gram: int, texts_out:
     def run(key, texts: pa.Table, found: pa.Table) -> pa.Table:
         n = texts.num_rows
         if not n:
-            return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())], names)
+            return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())], names)
         if found.num_rows:
             column = lambda c, t: np.frombuffer(b"".join(found.column(c).to_pylist()), t)
             fk, fs, fe, fl = column("keys", "<u8"), column("starts", "<i4").astype(np.int64), column("stops", "<i4").astype(np.int64), column("lows", "<i8")
@@ -491,23 +491,25 @@ def _cut(docs: DataFrame, resolved: DataFrame, width: int, gram: int, texts_out:
             heads = at[:-1][np.diff(at) > 0]
             begins[heads] = drop[heads]
             removed, spans = (np.diff(np.concatenate(([0], np.cumsum(x)))[at]) for x in (drop, begins))
-            kept, sha = [], []
+            kept, sha, md5 = [], [], []
             for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
                 left = raw[i:j][~drop[i:j]].tobytes()
                 sha.append(hashlib.sha256(left).hexdigest())
                 kept.append(left.decode("utf-8", "ignore") if texts_out else None)
-            columns = [pa.array(ids, pa.int64()), pa.array(np.diff(at)), pa.array(removed), pa.array(spans), pa.array(sha), pa.array(kept, pa.string())]
+                md5.append(hashlib.md5(raw[i:j].tobytes()).hexdigest() if texts_out else None)
+            columns = [pa.array(ids, pa.int64()), pa.array(np.diff(at)), pa.array(removed), pa.array(spans), pa.array(sha), pa.array(kept, pa.string()), pa.array(md5, pa.string())]
             out.append(pa.table(columns, names))
         return pa.concat_tables(out)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text_md5"]
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string, text_md5 string"
     return docs.groupBy("block").cogroup(resolved.groupBy("block")).applyInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 24, block_bytes: int = 8 << 20, texts_out: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the remaining text, of every document.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, the remaining text, and text_md5, of the given text, of every document.
 
+    What is cut of a row follows from its doc_id and text, so that rows can be told apart by doc_id and text_md5.
     kept leaves out bytes that a cut inside a character makes invalid; the digest is of all remaining bytes."""
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = source.where(F.col("doc_id").isNotNull())
@@ -531,10 +533,11 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 24, block_bytes
         rest.select(
             "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"),
             F.sha2("text", 256).alias("kept_sha256"), (F.col("text") if texts_out else F.lit(None).cast("string")).alias("kept"),
+            (F.md5(F.col("text").cast("binary")) if texts_out else F.lit(None).cast("string")).alias("text_md5"),
         )
     )
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract digest of ``remove_repeats`` over whole ``documents``."""
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts_out=False).drop("kept")
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts_out=False).drop("kept", "text_md5")
