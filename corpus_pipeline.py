@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 Parquet and read again as the next stage's docs. All but the last return the
-columns of ``documents``. Rows without doc_id cannot be told apart by id and
-pass the stages that join by it unchanged or, in near deduplication, are dropped.
+columns of ``documents``. The deduplicating stages tell rows apart by doc_id and
+text, near deduplication also those without doc_id; these pass the other stages
+that join by id unchanged.
 """
 
 from __future__ import annotations
@@ -32,7 +33,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class."""
+    """The document with the smallest id of each class, and one row of it; where none has an id, a row of one text."""
+    if not near_dedup.plain(docs):
+        first = near_dedup.first_texts(docs).withColumnRenamed("low", "_low")
+        own = docs.withColumn("key", near_dedup.text_key()).join(first, "key").where(F.col("doc_id").eqNullSafe(F.col("_low")))
+        return _columns(own.dropDuplicates(["key"]))
     first = near_dedup.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
     return _columns(docs.join(first, "doc_id", "left_semi"))
 
@@ -41,7 +46,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 50-byte strings of earlier documents; n_chars follows. A text all cut stays, empty."""
     out = suffix_dedup.remove_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_key"), "kept")
     out = out.dropDuplicates(["_id", "_key"])
-    both = docs.join(out, (docs["doc_id"] == out["_id"]) & (F.md5(F.coalesce("text", F.lit("")).cast("binary")) == out["_key"]), "left")
+    both = docs.join(out, (docs["doc_id"] == out["_id"]) & (near_dedup.text_key() == out["_key"]), "left")
     text = F.when(F.col("_id").isNotNull(), F.col("kept")).otherwise(F.col("text"))
     chars = F.when(F.col("_id").isNotNull(), F.char_length("kept").cast("bigint")).otherwise(F.col("n_chars"))
     return _columns(both.withColumns({"text": text, "n_chars": chars}))

@@ -20,9 +20,9 @@ components are then compared with each other, so that no link between them is
 lost. Joins on bands and ids are plain equi-joins that Spark can split.
 
 Defined results: texts without words are near duplicates of equal texts alone;
-null counts as empty; texts of under ``k`` words have one element; rows that
-share a doc_id get one class; rows without doc_id get none; other columns are
-ignored.
+null counts as empty; texts of under ``k`` words have one element; every row
+gets the class of its own text, rows without doc_id too; where no row of a text
+or class has a doc_id, its number is above all ids; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ranking import position
 from .checkpoint import cut, release
 from .text import buffers, mix, shingles, slices
 
@@ -108,7 +109,7 @@ def band_keys(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), found], ["doc_id", "key", "bands"])
 
     text = F.coalesce("text", F.lit(""))
-    known = docs.where(F.col("doc_id").isNotNull()).select(
+    known = docs.select(
         F.col("doc_id").cast("bigint"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key")
     )
     return known.mapInArrow(run, "doc_id bigint, key binary, bands array<bigint>")
@@ -194,8 +195,46 @@ def linkable(ids: DataFrame, texts: DataFrame, k: int, threshold: float, passes:
     return able
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, rounds: int = 1) -> DataFrame:
-    """doc_id, text_id (smallest id with that text) and class_id (smallest id of the class) of every row."""
+def plain(docs: DataFrame) -> bool:
+    """Whether every row has a doc_id of its own."""
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return ids.where("doc_id is null or n > 1").isEmpty()
+
+
+def text_key() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
+def text_classes(docs: DataFrame, **how) -> DataFrame:
+    """key, low (smallest doc_id, or null), number and class (a number) of every text; numbers from 1 in order of low, nulls last."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_key().alias("key"))
+    texts = texts.groupBy("key").agg(F.min("doc_id").alias("low"), F.first("text").alias("text")).withColumn("none", F.col("low").isNull())
+    texts = cut(position(texts, [], ["none", "low", "key"]))
+    classes = _classes(texts.select(F.col("pos").cast("bigint").alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("pos"), "class_id")
+    return cut(texts.join(classes, "pos").select("key", "low", F.col("pos").alias("number"), F.col("class_id").alias("class")))
+
+
+def first_texts(docs: DataFrame, **how) -> DataFrame:
+    """key and low of the first text of each class."""
+    return text_classes(docs, **how).where("number = class").select("key", "low")
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, text_id (smallest id with that text) and class_id (smallest id of the class) of every row.
+
+    how: as in ``_classes``. Repeated, shared and missing ids are taken by their texts, which get numbers instead."""
+    if plain(docs):
+        return _classes(docs, **how)
+    found = text_classes(docs, **how)
+    top = docs.agg(F.coalesce(F.max(F.col("doc_id").cast("bigint")), F.lit(0)).alias("top"))
+    names = cut(found.crossJoin(F.broadcast(top)).select("key", "number", "class", F.coalesce("low", F.col("top") + F.col("number")).alias("text_id")))
+    of_class = names.select(F.col("number").alias("class"), F.col("text_id").alias("class_id"))
+    named = names.join(of_class, "class").select("key", "text_id", "class_id")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("key")).join(named, "key").select("doc_id", "text_id", "class_id")
+
+
+def _classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, rounds: int = 1) -> DataFrame:
+    """``near_duplicates`` of rows that each have a doc_id of their own."""
     keyed = cut(band_keys(docs, k, bands, rows))
     texts = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands")))
     banded = texts.select("id", F.explode("bands").alias("band"))
