@@ -10,7 +10,8 @@ all terms stand within the window's length plus ``slop`` words.
 
 Segments hold whole documents, so postings never leave their task: there is no
 shuffle, and no key can be hot. The test side is broadcast in chunks of at most
-``chunk_bytes`` of text; a larger benchmark takes several passes.
+``chunk_bytes`` of text; a larger benchmark takes several passes over the same
+numbered rows, which are merged by that number.
 
 Defined results: null or wordless documents have no words and no hits; null or
 wordless items, and items without id, have no windows; repeated rows each get a
@@ -27,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoint import cut
 from .text import WORD_TABLE, buffers, slices, words
 
-SEGMENT = "doc_ids array<bigint>, first_word array<bigint>, terms array<int>, ends array<bigint>, postings binary"
-MATCHES = "doc_id bigint, n_words bigint, starts array<bigint>, ends array<bigint>, items array<bigint>, near_items array<bigint>"
+SEGMENT = "doc_ids array<bigint>, row_ids array<bigint>, first_word array<bigint>, terms array<int>, ends array<bigint>, postings binary"
+MATCHES = "doc_id bigint, row_id bigint, n_words bigint, starts array<bigint>, ends array<bigint>, items array<bigint>, near_items array<bigint>"
 
 
 def windows_of(items: list[tuple[int, str]], size: int) -> tuple[list[tuple[bytes, ...]], list[list[int]]]:
@@ -60,16 +62,18 @@ def index(docs: DataFrame, terms, segment_bytes: int = 12 << 20) -> DataFrame:
             number, count = np.unique(term[at_word], return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([batch.column("doc_id").to_numpy(zero_copy_only=False)], pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id")),
+                    pa.array([batch.column("row_id").to_numpy(zero_copy_only=False)], pa.list_(pa.int64())),
                     pa.array([first], pa.list_(pa.int64())),
                     pa.array([number], pa.list_(pa.int32())),
                     pa.array([np.cumsum(count).astype(np.int64)], pa.list_(pa.int64())),
                     pa.array([at_word[order].tobytes()], pa.binary()),
                 ],
-                ["doc_ids", "first_word", "terms", "ends", "postings"],
+                ["doc_ids", "row_ids", "first_word", "terms", "ends", "postings"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(build, SEGMENT)
+    row = F.col("row_id") if "row_id" in docs.columns else F.lit(0).cast("bigint").alias("row_id")
+    return docs.select(F.col("doc_id").cast("bigint"), row, F.col("text")).mapInArrow(build, SEGMENT)
 
 
 def _held(sorted_list: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -88,17 +92,18 @@ def search(segments: DataFrame, windows, slop: int | None = None) -> DataFrame:
         matrix, length, items = windows.value
         for batch in batches:
             for r in range(batch.num_rows):
-                ids = batch.column(0)[r].values.to_numpy(zero_copy_only=False)
-                first = batch.column(1)[r].values.to_numpy(zero_copy_only=False)
-                number = batch.column(2)[r].values.to_numpy(zero_copy_only=False)
-                ends = batch.column(3)[r].values.to_numpy(zero_copy_only=False)
-                post = np.frombuffer(batch.column(4)[r].as_buffer(), np.int32)
-                yield _search_segment(ids, first, number, ends, post, matrix, length, items, slop)
+                ids = batch.column(0)[r].values  # may hold nulls
+                rows = batch.column(1)[r].values.to_numpy(zero_copy_only=False)
+                first = batch.column(2)[r].values.to_numpy(zero_copy_only=False)
+                number = batch.column(3)[r].values.to_numpy(zero_copy_only=False)
+                ends = batch.column(4)[r].values.to_numpy(zero_copy_only=False)
+                post = np.frombuffer(batch.column(5)[r].as_buffer(), np.int32)
+                yield _search_segment(ids, rows, first, number, ends, post, matrix, length, items, slop)
 
     return segments.mapInArrow(run, MATCHES)
 
 
-def _search_segment(ids, first, number, ends, post, matrix, length, items, slop) -> pa.RecordBatch:
+def _search_segment(ids, rows, first, number, ends, post, matrix, length, items, slop) -> pa.RecordBatch:
     total, n = int(first[-1]), len(ids)
     size = np.zeros(int(matrix.max(initial=-1)) + 2, np.int64)
     begin = np.zeros(len(size), np.int64)
@@ -143,14 +148,15 @@ def _search_segment(ids, first, number, ends, post, matrix, length, items, slop)
     lists_of = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x - local, pa.int64()))
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(ids, pa.int64(), from_pandas=True),
+            ids,
+            pa.array(rows, pa.int64()),
             pa.array(np.diff(first), pa.int64()),
             lists_of(begins),
             lists_of(stops),
             pa.array([sorted(exact.get(d, ())) for d in range(n)], pa.list_(pa.int64())),
             pa.array([sorted(near.get(d, ())) for d in range(n)], pa.list_(pa.int64())),
         ],
-        ["doc_id", "n_words", "starts", "ends", "items", "near_items"],
+        ["doc_id", "row_id", "n_words", "starts", "ends", "items", "near_items"],
     )
 
 
@@ -181,6 +187,9 @@ def decontaminate(
     )
     volume = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-int(volume) // chunk_bytes))
+    docs = docs.select("doc_id", "text")
+    if chunks > 1:
+        docs = cut(docs.withColumn("row_id", F.monotonically_increasing_id()))  # written once: every pass reads the same numbers
     passes = []
     for c in range(chunks):
         part = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == c)
@@ -192,7 +201,7 @@ def decontaminate(
         sent = spark.sparkContext.broadcast((matrix, np.array([len(w) for w in found], np.int64), items))
         passes.append(search(index(docs, spark.sparkContext.broadcast(terms)), sent, slop))
     if chunks == 1:
-        return passes[0]
+        return passes[0].drop("row_id")
     out = passes[0]
     for p in passes[1:]:
         out = out.unionByName(p)
@@ -212,9 +221,9 @@ def decontaminate(
             ),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    # every pass has each row once; rows that share a doc_id are told apart by their number of words alone
+    # every pass has each row once
     return (
-        out.groupBy("doc_id", "n_words")
+        out.groupBy("row_id", "doc_id", "n_words")
         .agg(
             merged.alias("m"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
