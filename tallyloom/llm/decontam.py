@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .checkpoint import cut
 from .text import WORD_TABLE, buffers, slices, words
 
+#: Of ``op4_decontamination_near``: words that may stand between those of a window.
+SLOP = 2
 SEGMENT = "doc_ids array<bigint>, row_ids array<bigint>, first_word array<bigint>, terms array<int>, ends array<bigint>, postings binary"
 MATCHES = "doc_id bigint, row_id bigint, n_words bigint, starts array<bigint>, ends array<bigint>, items array<bigint>, near_items array<bigint>"
 
@@ -134,7 +136,7 @@ def _search_segment(ids, rows, first, number, ends, post, matrix, length, items,
             for d in set(doc[whole].tolist()):
                 exact.setdefault(d, set()).update(items[w])
         if slop is not None:
-            for d in _near(lists, rare, first, m + slop):
+            for d in _near(lists, rare, matrix[w], first, m + slop):
                 near.setdefault(d, set()).update(items[w])
     on = np.concatenate(([False], np.cumsum(cover)[:-1] > 0, [False]))
     # a range ends where its document does, even if the next one begins with a hit
@@ -160,17 +162,18 @@ def _search_segment(ids, rows, first, number, ends, post, matrix, length, items,
     )
 
 
-def _near(lists: dict[int, np.ndarray], rare: np.ndarray, first: np.ndarray, span: int) -> set[int]:
-    """Documents in which all terms of a window stand within ``span`` consecutive words, in any order."""
+def _near(lists: dict[int, np.ndarray], rare: np.ndarray, terms: np.ndarray, first: np.ndarray, span: int) -> set[int]:
+    """Documents in which all terms of a window, as often as it holds them, stand within ``span`` consecutive words, in any order."""
     out: set[int] = set()
     at = lists[rare[0]]
+    _, one, times = np.unique(terms[rare], return_index=True, return_counts=True)
+    doc = np.searchsorted(first, at, "right") - 1
     for low in range(span):  # the span that begins ``low`` words before the rarest term
         left = at - low
-        doc = np.searchsorted(first, at, "right") - 1
         left, right = np.maximum(left, first[doc]), np.minimum(left + span, first[doc + 1])
         ok = np.ones(len(at), bool)
-        for j in rare[1:]:
-            ok &= np.searchsorted(lists[j], right) > np.searchsorted(lists[j], left)
+        for j, n in zip(rare[one], times):
+            ok &= np.searchsorted(lists[j], right) - np.searchsorted(lists[j], left) >= n
         out.update(doc[ok].tolist())
     return out
 
@@ -233,9 +236,7 @@ def decontaminate(
     )
 
 
-def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract digest of ``decontaminate`` over whole ``documents`` and ``benchmark``."""
-    out = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+def _digest(out: DataFrame, *more: str) -> DataFrame:
     hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("bigint"), lambda a, x: a + x)
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return out.select(
@@ -245,9 +246,23 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(names, 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
+        *more,
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract digest of ``decontaminate`` over whole ``documents`` and ``benchmark``."""
+    return _digest(decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def op4_decontamination_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same columns, exact, and near_items: the items of proximity matches within ``SLOP`` more words.
+
+    The tests of ``op4_decontamination`` fix its columns, so this is a query of its own."""
+    docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _digest(decontaminate(docs, bench, slop=SLOP), "near_items")
+
+
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP4_SQL = f"""

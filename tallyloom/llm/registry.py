@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentence_dedup": sentence_dedup.op3_sentence_dedup,
         "op3_passage_dedup": sentence_dedup.op3_passage_dedup,
         "op4_decontamination": decontam.op4_decontamination,
+        "op4_decontamination_near": decontam.op4_decontamination_near,
         "op5_packing": packing.op5_packing,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
