@@ -15,8 +15,10 @@ def is_missing(c: Column) -> Column:
 
 
 def course_day(df: DataFrame, courses: DataFrame) -> DataFrame:
-    """Adds d, days since the course's start. Events of unknown courses drop out; see ``unknown_courses``."""
-    return df.join(courses.select("course_id", "start"), "course_id").withColumn("d", F.datediff("event_date", "start"))
+    """Adds start and d, days since the course's start. An event of an unknown course makes the job fail; see ``unknown_courses``."""
+    unknown = F.raise_error(F.concat(F.lit("no start of course "), F.coalesce(F.col("course_id").cast("string"), F.lit("null"))))
+    day = F.coalesce(F.datediff("event_date", "start"), F.when(F.col("start").isNull(), unknown.cast("int")))
+    return df.join(courses.select("course_id", "start"), "course_id", "left").withColumn("d", day)
 
 
 def unknown_courses(df: DataFrame, courses: DataFrame) -> DataFrame:
@@ -45,19 +47,35 @@ def padded(events: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def counts(events: DataFrame, spec: Spec) -> DataFrame:
-    """One row per enrollment and one column per feature, in one aggregation of padded events.
+    """One row per enrollment and one column per feature of padded events; another action in a weighted log makes the job fail.
 
-    Distinct objects are found by combining rows of one object first, which avoids expanding all counts."""
-    weight = F.col("clicks") if spec.weighted else F.lit(1)
+    All sums are combined before one shuffle by enrollment; distinct objects are counted apart, from pairs of an
+    enrollment and an object alone."""
     on = F.col("action").isNotNull()
-    part = events.groupBy("enroll_id", "object_id").agg(
-        *(F.sum(F.when(on & (F.col("d") == d), weight)).alias(f"d{d}") for d in range(spec.window)),
-        F.sum(F.when(on, weight)).alias("t"),
-        F.max(on if spec.weighted else on & ~is_missing(F.col("object_id"))).cast("bigint").alias("o"),
-        *(F.sum(F.when(F.col("action") == a, weight)).alias(f"a{i}") for i, a in enumerate(spec.actions)),
+    weight = F.lit(1)
+    if spec.weighted:
+        other = F.raise_error(F.concat(F.lit("unknown activity "), F.col("action"))).cast("bigint")
+        weight = F.when(F.col("action").isin(*spec.actions), F.col("clicks")).otherwise(other)
+    days, total, objects, actions = spec.feature_names[: spec.window], *spec.feature_names[spec.window : spec.window + 2], spec.feature_names[spec.window + 2 :]
+    whole = lambda test, name: F.coalesce(F.sum(F.when(test, weight)), F.lit(0)).cast("bigint").alias(name)
+    sums = events.groupBy("enroll_id").agg(
+        *(whole(on & (F.col("d") == d), n) for d, n in enumerate(days)), whole(on, total), *(whole(F.col("action") == a, n) for a, n in zip(spec.actions, actions))
     )
-    old = [*(f"d{d}" for d in range(spec.window)), "t", "o", *(f"a{i}" for i in range(len(spec.actions)))]
-    return part.groupBy("enroll_id").agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(n) for c, n in zip(old, spec.feature_names)))
+    # without the missing test an absent object of a weighted log counts as one
+    pairs = events.where(on if spec.weighted else on & ~is_missing(F.col("object_id"))).select("enroll_id", "object_id").distinct()
+    held = pairs.groupBy("enroll_id").agg(F.count(F.lit(1)).alias(objects))
+    both = sums.join(held, "enroll_id", "left")
+    return both.select("enroll_id", *days, total, F.coalesce(objects, F.lit(0).cast("bigint")).alias(objects), *actions)
+
+
+def alignment(x: DataFrame, graph: DataFrame) -> DataFrame:
+    """One row: n_features, n_nodes, n_unknown (nodes of the graph without features) and aligned; node_id has to be dense from 0."""
+    of = x.agg(F.count(F.lit(1)).alias("n_features"), F.countDistinct("node_id").alias("_d"), F.min("node_id").alias("_a"), F.max("node_id").alias("_z"))
+    own = graph.select("node_id").distinct()
+    lone = own.join(x.select("node_id"), "node_id", "left_anti").agg(F.count(F.lit(1)).alias("n_unknown"))
+    n = own.agg(F.count(F.lit(1)).alias("n_nodes"))
+    dense = (F.col("_d") == F.col("n_features")) & ((F.col("n_features") == 0) | ((F.col("_a") == 0) & (F.col("_z") == F.col("n_features") - 1)))
+    return of.crossJoin(n).crossJoin(lone).select("n_features", "n_nodes", "n_unknown", (dense & (F.col("n_unknown") == 0)).alias("aligned"))
 
 
 def splits(labels: DataFrame, seeds: DataFrame) -> DataFrame:

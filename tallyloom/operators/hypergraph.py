@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import position
+from ..functions.ranking import cut, position, running_sums
 from ..spec import Scenario, Spec
 from .activity import is_missing
 
@@ -60,13 +60,23 @@ def with_self_loops(graph: DataFrame, nodes: DataFrame) -> DataFrame:
 def causal_user_edges(nodes: DataFrame) -> DataFrame:
     """For each node v with another enrollment of its user begun no later: an edge of v and those; only v receives.
 
-    nodes: node_id, user_id, start_day. The edge is named by v."""
+    nodes: node_id, user_id, start_day. The edge is named by v. The edges hold as many rows as there are such pairs,
+    which for one learner grows with the square of the enrollments; ``causal_sums`` gives their sums without the rows."""
     v, u = nodes.select(F.col("node_id").alias("v"), "user_id", F.col("start_day").alias("sv")), nodes.select(F.col("node_id").alias("u"), "user_id", F.col("start_day").alias("su"))
     pairs = v.join(u, "user_id").where("su <= sv")
     several = pairs.groupBy("v").count().where("count >= 2").select("v")
     return pairs.join(several, "v").select(F.col("v").alias("edge_key"), F.lit("user").alias("family"), F.col("u").alias("node_id"), (F.col("u") == F.col("v")).alias("receives"))
 
 
+def causal_sums(nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """node_id, size and, for each column, its sum over the learner's enrollments begun no later, itself among them.
+
+    nodes: node_id, user_id, start_day and the columns. Running sums by learner and day: no pair is written out."""
+    day = nodes.groupBy("user_id", "start_day").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_{c}") for c in columns))
+    upto = running_sums(day, ["user_id"], [F.asc("start_day")], {"size": "_n", **{c: f"_{c}" for c in columns}}).select("user_id", "start_day", "size", *columns)
+    return nodes.select("node_id", "user_id", "start_day").join(upto, ["user_id", "start_day"]).select("node_id", "size", *columns)
+
+
 def shuffled(graph: DataFrame, seed: int) -> DataFrame:
     """The nodes of each family's memberships dealt anew: edges keep their sizes, nodes their numbers of edges."""
     places = position(graph.select("edge_id", "family", "node_id", "receives"), ["family"], ["edge_id", "node_id"]).drop("node_id")
@@ -75,10 +85,10 @@ def shuffled(graph: DataFrame, seed: int) -> DataFrame:
     return places.join(dealt, ["family", "pos"]).select("edge_id", "family", "node_id", "receives")
 
 
-def scenario_graph(graph: DataFrame, nodes: DataFrame, scenario: Scenario, seed: int = 1) -> DataFrame:
+def scenario_graph(graph: DataFrame, nodes: DataFrame, scenario: Scenario, seed: int = 1, dense: bool = True) -> DataFrame:
     """The scenario's memberships, in order: families, dealing anew, causal users, dense ids, self-loops.
 
-    nodes needs start_day where the scenario is causal."""
+    nodes needs start_day where the scenario is causal. Sums over the graph need no dense ids: without, a sort is saved."""
     out = graph.where(F.col("family").isin(*scenario.families) if scenario.families else F.lit(False))
     if scenario.shuffle:
         out = shuffled(out, seed)
@@ -86,8 +96,9 @@ def scenario_graph(graph: DataFrame, nodes: DataFrame, scenario: Scenario, seed:
         top = out.agg((F.coalesce(F.max("edge_id"), F.lit(-1)) + 1).alias("top"))
         causal = causal_user_edges(nodes).crossJoin(F.broadcast(top)).select((F.col("top") + F.col("edge_key")).alias("edge_id"), "family", "node_id", "receives")
         out = out.where("family <> 'user'").unionByName(causal)
-    ids = position(out.select("edge_id").distinct(), [], ["edge_id"]).select("edge_id", (F.col("pos") - 1).alias("new_id"))
-    out = out.join(ids, "edge_id").select(F.col("new_id").alias("edge_id"), "family", "node_id", "receives")
+    if dense:
+        ids = position(out.select("edge_id").distinct(), [], ["edge_id"]).select("edge_id", (F.col("pos") - 1).alias("new_id"))
+        out = out.join(ids, "edge_id").select(F.col("new_id").alias("edge_id"), "family", "node_id", "receives")
     return with_self_loops(out, nodes) if "self_loop" in scenario.families else out
 
 
@@ -111,19 +122,46 @@ def degrees(graph: DataFrame, weights: dict[str, float] | None = None, receiving
     return source.groupBy("node_id").agg(F.sum(_weight(weights)).alias("d"))
 
 
+#: Memberships from which an edge's sum is sent to its members by a broadcast and not by a shuffle on the edge. There
+#: are at most as many such edges as this many times fewer than memberships; a broadcast takes ``MOST_LARGE`` of them.
+LARGE, MOST_LARGE = 1_000_000, 100_000
+
+
+class Propagator:
+    """Degree-normalised propagation over one graph, whose sizes and degrees are summed once for any number of hops.
+
+    Two sums a hop: node to edge, then edge to receiving node. Nodes and edges are never multiplied out; sums are
+    combined before the shuffle, so that an edge of all nodes costs a row per task."""
+
+    def __init__(self, graph: DataFrame, weights: dict[str, float] | None = None):
+        root = lambda c: F.sqrt(F.greatest(c, F.lit(1e-6)))
+        w, one = _weight(weights), F.lit(1)
+        h = coalesced(graph)
+        size = h.groupBy("edge_id").agg(F.sum("h").alias("size"))
+        # repeats count in the degree; receiving edges give the receiver's degree
+        d = h.groupBy("node_id").agg(F.sum(F.col("h") * w).alias("d"), F.sum(F.when(F.col("receives"), F.col("h") * w)).alias("d_in"))
+        d = d.select("node_id", (one / root(F.col("d"))).alias("out_root"), (one / root(F.col("d_in"))).alias("in_root"))
+        self.members = cut(h.join(size, "edge_id").join(d, "node_id").select(
+            "edge_id", "node_id", "receives", (F.col("h") * F.col("out_root")).alias("up"),
+            (F.col("h") * w / F.col("size") * F.col("in_root")).alias("down"), (F.col("size") >= LARGE).alias("large"),
+        ))
+        n = self.members.where("large").select("edge_id").distinct().count()
+        self.broadcast = 0 < n <= MOST_LARGE
+
+    def hop(self, x: DataFrame, columns: list[str]) -> DataFrame:
+        """The columns of x (node_id, ...) after one hop; 0 for nodes that receive nothing."""
+        sums = lambda by, factor: [F.sum(F.col(factor) * F.col(c)).alias(c) for c in columns]
+        up = self.members.join(x.select("node_id", *columns), "node_id").groupBy("edge_id", "large").agg(*sums("edge_id", "up"))
+        sent = self.members.where("receives")
+        if self.broadcast:
+            few, own = F.broadcast(up.where("large").drop("large")), up.where("not large").drop("large")
+            reached = sent.where("not large").join(own, "edge_id").unionByName(sent.where("large").join(few, "edge_id"))
+        else:
+            reached = sent.join(up.drop("large"), "edge_id")
+        got = reached.groupBy("node_id").agg(*sums("node_id", "down"))
+        return x.select("node_id").join(got, "node_id", "left").select("node_id", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in columns))
+
+
 def propagate(x: DataFrame, graph: DataFrame, columns: list[str], weights: dict[str, float] | None = None) -> DataFrame:
-    """One hop of degree-normalised propagation of the columns of x (node_id, ...), through the edges.
-
-    Two sums: node to edge, then edge to receiving node. Nodes and edges are never multiplied out; node-to-edge sums
-    are combined before the shuffle, so that an edge of all nodes costs a row per task."""
-    h = coalesced(graph)
-    root = lambda c: F.sqrt(F.greatest(c, F.lit(1e-6)))
-    d = degrees(graph, weights).select("node_id", F.col("d").alias("d_all"))
-    sent = x.join(d, "node_id").select("node_id", *((F.col(c) / root(F.col("d_all"))).alias(c) for c in columns))
-    sizes = edge_sizes(graph)
-    up = h.join(sent, "node_id").groupBy("edge_id").agg(*(F.sum(F.col("h") * F.col(c)).alias(c) for c in columns))
-    up = up.join(sizes, "edge_id").select("edge_id", *((F.col(c) * _weight(weights) / F.col("size")).alias(c) for c in columns))
-    down = h.where("receives").join(up, "edge_id").groupBy("node_id").agg(*(F.sum(F.col("h") * F.col(c)).alias(c) for c in columns))
-    d_in = degrees(graph, weights, receiving=True)
-    got = down.join(d_in, "node_id").select("node_id", *((F.col(c) / root(F.col("d"))).alias(c) for c in columns))
-    return x.select("node_id").join(got, "node_id", "left").select("node_id", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in columns))
+    """One hop of ``Propagator``."""
+    return Propagator(graph, weights).hop(x, columns)

@@ -1,10 +1,13 @@
-"""Binary-classification metrics from (label, prob), grouped by any keys. One pass over distinct scores."""
+"""Binary-classification metrics from (label, prob), grouped by any keys.
+
+Running sums over distinct scores go by ranges of scores, so a group need not fit a task."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..functions.ranking import running_sums
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -14,8 +17,7 @@ def _ratio(a: Column, b: Column) -> Column:
 def _curve(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Per distinct score the positives and negatives there and at or above."""
     at = scored.groupBy(*keys, "prob").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    above = Window.partitionBy(*keys).orderBy(F.desc("prob"))
-    return at.withColumns({"tp": F.sum("p").over(above), "fp": F.sum("n").over(above)})
+    return running_sums(at, keys, [F.desc("prob")], {"tp": "p", "fp": "n"})
 
 
 def ranking_metrics(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,3 +57,45 @@ def prediction_check(predicted: DataFrame, expected: DataFrame) -> DataFrame:
     own = predicted.agg((F.count(F.lit(1)) - F.countDistinct("enroll_id")).alias("n_repeated"), F.count(F.when(F.isnan("prob") | F.col("prob").isNull(), 1)).alias("n_nan"))
     all_of = missing.crossJoin(surplus).crossJoin(own)
     return all_of.withColumn("ok", (F.col("n_missing") + F.col("n_surplus") + F.col("n_repeated") + F.col("n_nan")) == 0)
+
+
+METRICS = ("auc", "precision", "recall", "f1")
+
+
+def model_scores(predictions: DataFrame, threshold: float | None = 0.5) -> DataFrame:
+    """model, seed, threshold and the test metrics. predictions: model, seed, split, enroll_id, label, prob.
+
+    Without a number the threshold is that of the best validation f1 of the model and seed."""
+    keys = ["model", "seed"]
+    test = predictions.where("split = 'test'").where(F.col("prob").isNotNull() & ~F.isnan("prob"))
+    if threshold is None:
+        chosen = best_threshold(predictions.where("split = 'validation'"), keys).select(*keys, "threshold")
+    else:
+        chosen = predictions.select(*keys).distinct().withColumn("threshold", F.lit(float(threshold)))
+    cut_at = threshold_metrics(test.join(chosen, keys), [*keys, "threshold"], F.col("threshold"))
+    return ranking_metrics(test, keys).join(cut_at, keys).select(*keys, "threshold", *METRICS)
+
+
+def model_problems(predictions: DataFrame, expected: DataFrame) -> DataFrame:
+    """model, seed and n_missing, n_surplus, n_repeated, n_nan of its test predictions. expected: seed, enroll_id."""
+    test = predictions.where("split = 'test'").groupBy("model", "seed", "enroll_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("prob").isNull() | F.isnan("prob")).alias("nan")
+    )
+    wanted = predictions.select("model", "seed").distinct().join(expected.select("seed", "enroll_id").distinct(), "seed").withColumn("_w", F.lit(1))
+    both = test.join(wanted, ["model", "seed", "enroll_id"], "full")
+    return both.groupBy("model", "seed").agg(
+        F.count_if(F.col("n").isNull()).alias("n_missing"), F.count_if(F.col("_w").isNull()).alias("n_surplus"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_repeated"), F.coalesce(F.sum("nan"), F.lit(0)).alias("n_nan"),
+    )
+
+
+def model_comparison(predictions: DataFrame, expected: DataFrame, threshold: float | None = 0.5) -> DataFrame:
+    """model, seeds, mean and sample deviation of each test metric over the seeds, and check: ok or how many seeds are not whole."""
+    of_seed = model_scores(predictions, threshold).join(model_problems(predictions, expected), ["model", "seed"])
+    whole = (F.col("n_missing") + F.col("n_surplus") + F.col("n_repeated") + F.col("n_nan")) == 0
+    bad = F.count_if(~whole)
+    return of_seed.groupBy("model").agg(
+        F.count(F.lit(1)).alias("seeds"),
+        *(e for m in METRICS for e in (F.avg(m).alias(f"test_{m}_mean"), F.coalesce(F.stddev_samp(m), F.lit(0.0)).alias(f"test_{m}_std"))),
+        F.when(bad == 0, "ok").otherwise(F.format_string("%d seeds with other test enrollments or without a probability", bad)).alias("check"),
+    )

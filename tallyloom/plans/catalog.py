@@ -412,10 +412,10 @@ def _propagation(code: str, hops: int, weights: dict | None) -> Query:
     def run(spark, sf):
         n, h = graph(spark, sf)
         n = cut(started(n))
-        g = cut(H.scenario_graph(h, n, SCENARIOS[code]))
         x = _total(spark, sf, n)
+        graph_of = H.Propagator(H.scenario_graph(h, n, SCENARIOS[code], dense=False), weights)
         for _ in range(hops):
-            x = cut(H.propagate(x, g, ["x"], weights))
+            x = graph_of.hop(x, ["x"])
         return rounded(x)
 
     return run

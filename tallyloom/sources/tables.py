@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import os
 import tarfile
@@ -28,34 +29,142 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, missing:
     return df
 
 
-def read_archive(spark: SparkSession, path: str, members: tuple[str, ...]) -> DataFrame:
-    """member, line_no and line of the chosen members of tar.gz or zip archives, in archive order.
+def _tar_lines(lines: Iterator[bytes]) -> Iterator[tuple[str, bytes]]:
+    """(member, line) of an unpacked tar stream that was split after each newline, without holding a member."""
+    name, left, pad, rest, last = None, 0, 0, b"", b""
+
+    def part(data: bytes) -> Iterator[tuple[str, bytes]]:
+        nonlocal left, rest, last
+        own, rest = data[:left], data[left:]
+        left -= len(own)
+        last += own
+        if last.endswith(b"\n") or not left:
+            if last:
+                yield name, last.rstrip(b"\r\n")
+            last = b""
+
+    for line in lines:
+        if left:
+            yield from part(line)
+            if left or not rest:
+                continue
+        else:
+            rest += line
+        while not left and len(rest) >= pad + tarfile.BLOCKSIZE:
+            block, rest, pad = rest[pad : pad + tarfile.BLOCKSIZE], rest[pad + tarfile.BLOCKSIZE :], 0
+            if not block.strip(b"\0"):
+                continue
+            head = tarfile.TarInfo.frombuf(block, "utf-8", "strict")
+            name, left = (os.path.basename(head.name) if head.isfile() else ""), head.size
+            pad = -head.size % tarfile.BLOCKSIZE
+            if left:
+                yield from part(rest)
+    if left:
+        raise ValueError(f"{name} ends early")
+
+
+def read_archive(spark: SparkSession, path: str, members: tuple[str, ...], needed: tuple[str, ...] = ()) -> DataFrame:
+    """archive_no, member, line_no and line of the chosen members of one tar.gz or zip archive, in archive order.
+
+    A gzipped tar is read as a stream of lines by one task, which holds a line at a time and stops after the last of the
+    members; it cannot be split. Of a zip the task holds the packed bytes (2 GB at most), and reads the members' lines
+    one after the other. All members, and those ``needed``, must be there."""
+    wanted = set(members)
+    schema = "archive_no int, member string, line_no bigint, line string"
+
+    def numbered(found: Iterator[tuple[int, str, bytes]], size: int = 20_000) -> Iterator[pd.DataFrame]:
+        count: dict[str, int] = {}
+        rows: list[tuple] = []
+        for no, member, line in found:
+            count[member] = count.get(member, -1) + 1
+            rows.append((no, member, count[member], line.decode("utf-8")))
+            if len(rows) == size:
+                yield pd.DataFrame(rows, columns=["archive_no", "member", "line_no", "line"])
+                rows = []
+        yield pd.DataFrame(rows, columns=["archive_no", "member", "line_no", "line"])
+
+    def absent(seen: set[str]) -> None:
+        if lost := sorted(wanted.union(needed) - seen):
+            raise ValueError(f"{path} lacks {', '.join(lost)}")
+
+    def tar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found() -> Iterator[tuple[int, str, bytes]]:
+            seen: list[str] = []
+            for member, line in _tar_lines(v.encode("utf-8") + b"\n" for b in batches for v in b["value"]):
+                if not seen or member != seen[-1]:
+                    if seen and wanted.union(needed) <= set(seen):
+                        return
+                    seen.append(member)
+                if member in wanted:
+                    yield len(seen) - 1, member, line
+            if seen:
+                absent(set(seen))
+
+        yield from numbered(found())
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    names = [os.path.basename(m) for m in z.namelist()]
+                    absent(set(names))
+                    chosen = [(i, n, m) for i, (n, m) in enumerate(zip(names, z.namelist())) if n in wanted]
+                    yield from numbered((i, n, line.rstrip(b"\r\n")) for i, n, m in chosen for line in z.open(m))
+
+    if path.endswith(".zip"):
+        return spark.read.format("binaryFile").load(path).select("content").mapInPandas(packed, schema)
+    return spark.read.option("lineSep", "\n").text(path).select("value").mapInPandas(tar, schema)
+
+
+def read_archive_csv(spark: SparkSession, path: str, members: tuple[str, ...], columns: tuple[str, ...], needed: tuple[str, ...] = ()) -> DataFrame:
+    """archive_no, member, line_no and the named columns, as trimmed text, of members that are CSV with a header.
 
-    A gzipped tar cannot be split, so an archive is one task; many archives are many tasks. Every
-    member asked for must be there. An archive has to fit a task's memory."""
+    Values do not hold line breaks; quoted values may hold commas and doubled quotes."""
+    lines = read_archive(spark, path, members, needed)
+    # the header is found in any row's batch, since a member's lines come in order from one task
+    names = ["archive_no", "member", "line_no", *columns]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: dict[str, list[int]] = {}
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                if name.endswith(".zip"):
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        found = {os.path.basename(m): z.read(m).decode("utf-8") for m in z.namelist()}
-                else:
-                    with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
-                        found = {os.path.basename(m.name): t.extractfile(m).read().decode("utf-8") for m in t if m.isfile()}
-                absent = sorted(set(members) - found.keys())
-                if absent:
-                    raise ValueError(f"{name} lacks {', '.join(absent)}")
-                for m, text in found.items():
-                    if m in members:
-                        lines = text.splitlines()
-                        yield pd.DataFrame({"member": m, "line_no": range(len(lines)), "line": lines})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "member string, line_no bigint, line string")
-
-
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+            rows = []
+            for no, member, line_no, values in zip(batch["archive_no"], batch["member"], batch["line_no"], csv.reader(batch["line"])):
+                if line_no == 0:
+                    header = [v.strip().lstrip("\ufeff") for v in values]
+                    at[member] = [header.index(c) for c in columns]
+                elif values:
+                    rows.append((no, member, line_no, *(values[i].strip() for i in at[member])))
+            yield pd.DataFrame(rows, columns=names)
+
+    return lines.mapInPandas(parse, "archive_no int, member string, line_no bigint, " + ", ".join(f"`{c}` string" for c in columns))
+
+
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """CSV with a header in one folder. mark: each file begins with a byte order mark, for spreadsheets."""
+    if not mark:
+        df.write.mode("overwrite").option("header", True).csv(path)
+        return
+    first, *rest = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns)
+    named = df.select(first.alias("\ufeff" + df.columns[0]), *rest)
+    named.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+
+
+def materialised(spark: SparkSession, path: str, make) -> DataFrame:
+    """The table at the path; made, written and marked as whole first, if it is not there yet."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def split_path(folder: str, seed: int) -> str:
+    """Where the splits of a seed are kept: the partition of the table of all seeds."""
+    return f"{folder}/splits/seed={seed}"
+
+
+def feature_path(folder: str, name: str, seed: int) -> str:
+    """Where the features (x59, x55) of a seed are kept."""
+    return f"{folder}/{name}/seed={seed}"
 
 
 def append_results(df: DataFrame, path: str) -> None:

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.functions.ranking import position
+from tallyloom.functions.ranking import position, running_sums
 from tallyloom.operators import activity as A
+from tallyloom.operators import distributed
 from tallyloom.operators import hypergraph as H
 from tallyloom.operators import metrics as M
 from tallyloom.operators import models
@@ -133,30 +134,121 @@ def test_scenarios():
         scenario_codes(["M", "nope"])
 
 
-def test_gradients_and_training():
+@pytest.mark.parametrize("directed", [False, True])
+def test_gradients_and_training(directed):
     rng = np.random.default_rng(0)
     n = 12
     node, edge = rng.integers(0, n, 30), rng.integers(0, 9, 30)
     family = np.array([0, 1, 2])[edge % 3]
-    g = models.Graph(node, edge, family, n)
+    g = models.Graph(node, edge, family, n, rng.random(30) < 0.6 if directed else None)
+    assert g.directed == directed
     x, w, up = rng.normal(size=(n, 3)), rng.random(len(g.size)) + 0.5, rng.normal(size=(n, 3))
     _, kept = g.propagate(x, w)
     gx, gw = g.backward(up, kept)
     f = lambda x, w: float((g.propagate(x, w)[0] * up).sum())
-    for i in range(4):
+    for i in range(len(w)):
         e = np.zeros_like(w)
         e[i] = 1e-6
         assert abs((f(x, w + e) - f(x, w - e)) / 2e-6 - gw[i]) < 1e-6
+    for i in range(n):
         e = np.zeros_like(x)
         e[i, 1] = 1e-6
         assert abs((f(x + e, w) - f(x - e, w)) / 2e-6 - gx[i, 1]) < 1e-6
     y = (x[:, 0] > 0).astype(float)
-    out = models.fit(x, y, np.array(["train", "validation", "test"] * 4), g, SCENARIOS["M"], 1, epochs=40)
+    out = models.fit(x, y, np.array(["train", "validation", "test"] * 4), g, SCENARIOS["M"], 1, epochs=40, hidden=32, rate=1e-2)
     assert 1 <= out["best_epoch"] <= out["epochs_run"] <= 40 and out["val_auc"] >= 0.5 and out["w_user"] > 0
     with pytest.raises(ValueError):
         models.fit(x, y, np.array(["train"] * n), None, type(SCENARIOS["M"])("none", (), 0, mlp=False, hgnn=False), 1)
 
 
+def test_scores_in_a_task_match_the_metrics(spark):
+    rng = np.random.default_rng(2)
+    prob, y = rng.integers(0, 12, 80) / 11, rng.integers(0, 2, 80).astype(float)
+    rows = spark.createDataFrame([(float(p), int(t)) for p, t in zip(prob, y)], "prob double, label int")
+    want = {**M.ranking_metrics(rows, []).first().asDict(), **M.threshold_metrics(rows, []).first().asDict()}
+    got = models._scores(prob, y)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    """Thirty enrollments with features that tell the label and a graph over courses, objects and learners."""
+    rng = np.random.default_rng(4)
+    rows = [(i, i, i % 9, i % 4, ("train", "train", "validation", "test")[i % 4], int(rng.random() < 0.4 + 0.3 * (i % 4 == 1)), float(rng.normal()), float(rng.normal()), i % 5) for i in range(30)]
+    z = spark.createDataFrame(rows, "node_id bigint, enroll_id bigint, user_id bigint, course_id bigint, split string, label int, a double, b double, start_day int")
+    held = [(int(rng.integers(0, 30)), f"o{rng.integers(0, 7)}") for _ in range(60)]
+    thing = spark.createDataFrame(held, "node_id bigint, key string").distinct().selectExpr("'object' AS family", "key", "CAST(NULL AS BIGINT) AS sort_number", "node_id")
+    members = thing.unionByName(z.selectExpr("'course' AS family", "CAST(course_id AS STRING) AS key", "CAST(NULL AS BIGINT) AS sort_number", "node_id"))
+    members = members.unionByName(z.selectExpr("'user' AS family", "CAST(user_id AS STRING) AS key", "user_id AS sort_number", "node_id"))
+    return z, H.hypergraph(members, H.edges(members))
+
+
+def test_scenarios_train_on_their_own_graphs(small):
+    z, graph = small
+    codes = ("M", "S1", "UC", "P0", "X1")
+    graphs = {(c, s): H.scenario_graph(graph, z, SCENARIOS[c], s) for c in codes for s in (1, 11)}
+    seeds = z.selectExpr("*", "1 AS seed").unionByName(z.selectExpr("*", "11 AS seed"))
+    how = {"epochs": 12, "hidden": 6, "rate": 0.02, "dropout": 0.0}
+    got = {(r.scenario, r.seed): r for r in models.train_grid(seeds, ["a", "b"], graphs, SCENARIOS, **how).collect()}
+    assert set(got) == set(graphs) and set(got["M", 1].asDict()) == set(models.RESULT)
+    assert len({round(got[c, 1].w_user or 0, 9) for c in ("M", "S1", "UC")}) == 3
+    assert got["P0", 1].w_course is None and got["X1", 1].w_user is None and got["M", 1].families == "course+object+user+self_loop"
+    assert got["S1", 1].w_object != got["S1", 11].w_object
+    prob = models.train_grid(seeds, ["a", "b"], graphs, SCENARIOS, predict=True, **how)
+    assert prob.count() == 30 * len(graphs) and prob.where("model = 'M' AND seed = 1").select("prob").distinct().count() > 10
+    with pytest.raises(Exception, match="do not fit one task"):
+        models.train_grid(seeds, ["a", "b"], graphs, SCENARIOS, max_nodes=29, **how).collect()
+    with pytest.raises(Exception, match="do not align"):
+        models.train_grid(seeds.where("node_id < 29"), ["a", "b"], graphs, SCENARIOS, **how).collect()
+
+
+@pytest.mark.parametrize("code", ["M", "UC", "S1", "P0", "H", "W1"])
+def test_distributed_training_matches_the_task(small, code):
+    z, graph = small
+    own = H.scenario_graph(graph, z, SCENARIOS[code])
+    how = {"epochs": 2, "hidden": 5, "rate": 0.02, "dropout": 0.0}
+    seeds = z.selectExpr("*", "1 AS seed")
+    want = {r.enroll_id: r.prob for r in models.train_grid(seeds, ["a", "b"], {(code, 1): own}, SCENARIOS, predict=True, **how).collect()}
+    out, rows = distributed.fit(z, ["a", "b"], own, SCENARIOS[code], 1, eval_every=1, **how)
+    got = {r.enroll_id: r.prob for r in rows.collect()}
+    assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1e-9
+    assert out["epochs_run"] == 2 and (out["w_user"] is None) == (code in ("P0", "W1"))
+
+
+def test_dropout_is_the_same_whenever_it_is_asked_for():
+    u = distributed._uniform(np.arange(2000), 16, 7)
+    assert abs(u.mean() - 0.5) < 0.01 and (u == distributed._uniform(np.arange(2000), 16, 7)).all() and (u != distributed._uniform(np.arange(2000), 16, 8)).all()
+
+
+def test_large_edges_are_sent_by_broadcast(hand, monkeypatch):
+    _, _, nodes, _, graph = hand
+    monkeypatch.setattr(H, "LARGE", 2)
+    assert H.Propagator(H.with_self_loops(graph, nodes)).broadcast
+    assert propagate(H.with_self_loops(graph, nodes), nodes) == [3.20235, 1.70235, 2.488034, 1.622008, 0]
+
+
+def test_running_sums(spark):
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("x"), (F.col("id") % 3).alias("g"), (F.col("id") % 5).alias("v"))
+    for by in ([], ["g"]):
+        rows = running_sums(df, by, [F.desc("x")], {"s": "v"}).collect()
+        assert len(rows) == 500
+        for r in rows:
+            assert r.s == sum(o.v for o in rows if o.x >= r.x and (not by or o.g == r.g))
+
+
+def test_failing_joins(spark):
+    courses = spark.createDataFrame([("A", "2024-01-01")], "course_id string, start string").withColumn("start", F.to_date("start"))
+    e = spark.createDataFrame([("A", "2024-01-03"), ("B", "2024-01-03")], "course_id string, event_date string").withColumn("event_date", F.to_date("event_date"))
+    assert A.course_day(e.where("course_id = 'A'"), courses).first().d == 2
+    with pytest.raises(Exception, match="no start of course B"):
+        A.course_day(e, courses).collect()
+    spec = Spec("w", 2, ("a",), {"a": "a"}, weighted=True)
+    rows = spark.createDataFrame([(1, "a", "o", 0, 5), (1, "zz", "o", 1, 3)], "enroll_id bigint, action string, object_id string, d int, clicks bigint")
+    assert A.counts(rows.where("action = 'a'"), spec).first().total_clicks == 5
+    with pytest.raises(Exception, match="unknown activity zz"):
+        A.counts(rows, spec).collect()
+
+
 def test_report(spark):
     rows = [(0, "M", 1, 0.9), (1, "M", 1, 0.8), (2, "M", 11, 0.7), (3, "A1", 1, 0.75)]
     runs = spark.createDataFrame(rows, "run_seq bigint, scenario string, seed int, test_auc double").withColumn("test_f1", F.lit(0.5))
