@@ -34,7 +34,7 @@ from .text import buffers, slices, WORD_TABLE
 
 BITS = 22
 LEVELS = (1, 2, 4)
-MEMO = 200_000
+MEMO = 100_000
 
 
 def terms_of(word: bytes) -> list[int]:
@@ -53,10 +53,11 @@ def levelled(found: set[bytes]) -> list[int]:
     return [t * len(LEVELS) + i for t, n in count.items() for i, least in enumerate(LEVELS) if n >= least]
 
 
-def _word_sets(batch: pa.RecordBatch) -> list[set[bytes]]:
+def _word_sets(batch: pa.RecordBatch) -> Iterator[set[bytes]]:
+    """The distinct words of each text, one text after the other."""
     raw, at = buffers(batch.column("text"))
     low = raw.tobytes().translate(WORD_TABLE)
-    return [set(low[a:b].split()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    return (set(low[a:b].split()) for a, b in zip(at[:-1].tolist(), at[1:].tolist()))
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
@@ -193,6 +194,18 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows, with all their columns, whose score is below the threshold: one scan, without join or shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in slices(batches, "text"):
+            yield batch.filter(pa.array(m.score([m.features(x) for x in _word_sets(batch)]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract digest: labels of rows that are not held out, all ``documents`` scored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
