@@ -34,8 +34,9 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .checkpoint import cut, release
 from .text import _powers, buffers, mix, prefix_hash, range_hash, slices
@@ -202,6 +203,24 @@ def parts(p: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray,
     return out
 
 
+def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Anchors are minima and crowd near zero: they are mixed before they are dealt."""
+    return (mix(h) >> np.uint64(32)).astype(np.int64) * buckets >> 32
+
+
+def _block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
+    """As ``_block_column``."""
+    u = ids.astype(np.int64).view(np.uint64)
+    return ((u ^ u >> np.uint64(13) ^ u >> np.uint64(29)).view(np.int64) % blocks).astype(np.int64)
+
+
+def _block_column(blocks: int) -> Column:
+    """The block of a document; folded, so that ids in steps of the number of blocks do not meet in one."""
+    c = F.col("doc_id")
+    folded = c.bitwiseXOR(F.shiftrightunsigned(c, 13)).bitwiseXOR(F.shiftrightunsigned(c, 29))
+    return F.pmod(folded, F.lit(blocks)).cast("int")
+
+
 def _pack(x: np.ndarray, n: int) -> bytes:
     """The low n bytes of each."""
     return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize)[:, :n]).tobytes()
@@ -223,8 +242,8 @@ def _pack_parts(x: np.ndarray) -> bytes:
 def _unpack_parts(data: bytes, n: int) -> np.ndarray:
     head = (n * SPLITS + 7) // 8
     there = np.unpackbits(np.frombuffer(data, np.uint8, head), count=n * SPLITS).astype(bool)
-    out = np.full(n * SPLITS, _NONE, np.int64)
-    out[there] = _unpack([data[head:]], _PART).astype(np.int64)
+    out = np.full(n * SPLITS, _NONE, np.int32)
+    out[there] = _unpack([data[head:]], _PART).astype(np.int32)
     return out.reshape(-1, SPLITS)
 
 
@@ -244,7 +263,7 @@ def _bucketed(docs: DataFrame, width: int, gram: int, buckets: int) -> DataFrame
             if not found:
                 continue
             h, text, keys, part = (np.concatenate(x) for x in zip(*found))
-            bucket = (h >> np.uint64(48)).astype(np.int64) * buckets >> 16
+            bucket = _bucket_of(h, buckets)
             order = np.argsort(bucket, kind="stable")  # texts stay in order
             h, text, bucket, keys, part = h[order], text[order], bucket[order], keys[order], part[order]
             rows = []
@@ -267,7 +286,7 @@ def may_share(anchor: np.ndarray, part: np.ndarray) -> np.ndarray:
     many = np.flatnonzero(size[anchor] > 1)
     for i in range(SPLITS):
         own = many[part[many, i] != _NONE]
-        _, back, times = np.unique(anchor[own] << 8 * _PART | part[own, i], return_inverse=True, return_counts=True)
+        _, back, times = np.unique(anchor[own].astype(np.int64) << 8 * _PART | part[own, i], return_inverse=True, return_counts=True)
         out[own[times[back] > 1]] = True
     # windows may use either place of an anchor that stands twice: all contexts of it are sorted
     twice = np.zeros(len(size), bool)
@@ -296,8 +315,10 @@ def _shared(bucketed: DataFrame, blocks: int) -> DataFrame:
         first = np.flatnonzero(np.append(True, np.diff(h[order]) != 0))
         size = np.diff(np.append(first, len(h)))
         many = np.minimum.reduceat(ids[order], first) != np.maximum.reduceat(ids[order], first)
-        order, anchor = order[np.repeat(many, size)], np.repeat(np.cumsum(many) - 1, size)[np.repeat(many, size)]
+        many, anchor = np.repeat(many, size), np.repeat(np.cumsum(many, dtype=np.int32) - 1, size)
+        order, anchor = order[many], anchor[many]
         keys, ids = keys[order], ids[order]
+        del h, first, size, many
         part = np.concatenate([_unpack_parts(x, len(a) // _ANCHOR) for x, a in zip(pdf["parts"], pdf["hashes"])])[order]
         order = np.lexsort((ids, keys, anchor))
         anchor, keys, ids, part = anchor[order], keys[order], ids[order], part[order]
@@ -307,10 +328,10 @@ def _shared(bucketed: DataFrame, blocks: int) -> DataFrame:
         may = may_share(anchor[one], part[one])[context]
         low = ids[one][context]
         rows: dict[int, list[bytes]] = {}
-        for block, k in _split((ids % blocks)[may]):
+        for block, k in _split(_block_of(ids, blocks)[may]):
             rows.setdefault(block, [b""] * 3)[0] = np.unique(keys[may][k]).tobytes()
         later = ~may & (ids > low)
-        for block, k in _split((ids % blocks)[later]):
+        for block, k in _split(_block_of(ids, blocks)[later]):
             own, at = np.unique(keys[later][k], return_index=True)
             rows.setdefault(block, [b""] * 3)[1:] = own.tobytes(), low[later][k][at].astype("<i8").tobytes()
         return pd.DataFrame([(b, *x) for b, x in rows.items()], columns=["block", "wanted", "keys", "lows"])
@@ -319,11 +340,11 @@ def _shared(bucketed: DataFrame, blocks: int) -> DataFrame:
 
 
 def _block_anchors(texts: pa.Table, width: int, gram: int):
-    """(raw, offsets, prefix hash, ids, anchors) of a block's documents, some MB at a time."""
+    """(raw, offsets, prefix hash, documents, anchors) of a block, some MB at a time."""
     for batch in slices(iter(texts.combine_chunks().to_batches()), "text", 1 << 18):
         raw, at = buffers(batch.column("text"))
         p = prefix_hash(raw)
-        yield raw, at, p, batch.column("doc_id").to_numpy(zero_copy_only=False), anchors(p, at, width, gram)
+        yield raw, at, p, batch, anchors(p, at, width, gram)
 
 
 def _context_keys(p: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -351,7 +372,8 @@ def _contexts(docs: DataFrame, wanted: DataFrame, width: int, gram: int, buckets
         if texts.num_rows and found.num_rows:
             wanted = np.unique(np.frombuffer(b"".join(found.column("wanted").to_pylist()), "<u8"))
             pieces, base = [], 0
-            for raw, _, p, ids, (h, text, a, b) in _block_anchors(texts, width, gram):
+            for raw, _, p, batch, (h, text, a, b) in _block_anchors(texts, width, gram):
+                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
                 keys = _context_keys(p, h, a, b + width)
                 on = _held(wanted, keys)
                 h, a, b = h[on], a[on], b[on]
@@ -363,7 +385,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, width: int, gram: int, buckets
             order = np.lexsort((doc, keys))
             one = order[np.append(True, np.diff(keys[order]) != 0)] if len(order) else order
             h, doc, a, b, keys, place = h[one], doc[one], a[one], b[one], keys[one], place[one]
-            bucket = (mix(h) >> np.uint64(48)).astype(np.int64) * buckets >> 16
+            bucket = _bucket_of(h, buckets)
             order = np.argsort(bucket, kind="stable")
             edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(h))
             for x, y in zip(edges[:-1], edges[1:]):
@@ -463,17 +485,17 @@ def _resolve(contexts: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def _cut(docs: DataFrame, resolved: DataFrame, width: int, gram: int, texts_out: bool) -> DataFrame:
+    """What is left of the documents (block, doc_id, text and, with ``texts_out``, row)."""
+
     def run(key, texts: pa.Table, found: pa.Table) -> pa.Table:
-        n = texts.num_rows
-        if not n:
-            return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())], names)
         if found.num_rows:
             column = lambda c, t: np.frombuffer(b"".join(found.column(c).to_pylist()), t)
-            fk, fs, fe, fl = column("keys", "<u8"), column("starts", "<i4").astype(np.int64), column("stops", "<i4").astype(np.int64), column("lows", "<i8")
+            fk, fs, fe, fl = column("keys", "<u8"), column("starts", "<i4"), column("stops", "<i4"), column("lows", "<i8")
             order = np.argsort(fk, kind="stable")
-            fk, fs, fe, fl = fk[order], fs[order], fe[order], fl[order]
-        out = []
-        for raw, at, p, ids, (h, text, a, b) in _block_anchors(texts, width, gram):
+            fk, fs, fe, fl = fk[order], fs[order].astype(np.int64), fe[order].astype(np.int64), fl[order]
+        out = [pa.table([pa.array([], k) for k in kinds[:5]] + [texts.column(c).slice(0, 0) for c in carried], names)]
+        for raw, at, p, batch, (h, text, a, b) in _block_anchors(texts, width, gram) if texts.num_rows else ():
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             gone = np.zeros(len(raw) + 1, np.int32)
             if found.num_rows:
                 keys = _context_keys(p, h, a, b + width)
@@ -491,36 +513,43 @@ def _cut(docs: DataFrame, resolved: DataFrame, width: int, gram: int, texts_out:
             heads = at[:-1][np.diff(at) > 0]
             begins[heads] = drop[heads]
             removed, spans = (np.diff(np.concatenate(([0], np.cumsum(x)))[at]) for x in (drop, begins))
-            kept, sha, md5 = [], [], []
+            sha, kept = [], []
             for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
                 left = raw[i:j][~drop[i:j]].tobytes()
                 sha.append(hashlib.sha256(left).hexdigest())
                 kept.append(left.decode("utf-8", "ignore") if texts_out else None)
-                md5.append(hashlib.md5(raw[i:j].tobytes()).hexdigest() if texts_out else None)
-            columns = [pa.array(ids, pa.int64()), pa.array(np.diff(at)), pa.array(removed), pa.array(spans), pa.array(sha), pa.array(kept, pa.string()), pa.array(md5, pa.string())]
+            columns = [pa.array(ids, pa.int64()), pa.array(np.diff(at)), pa.array(removed), pa.array(spans), pa.array(sha)]
+            columns += [pa.array(kept, pa.string()), batch.column("row")] if texts_out else []
             out.append(pa.table(columns, names))
         return pa.concat_tables(out)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text_md5"]
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string, text_md5 string"
-    return docs.groupBy("block").cogroup(resolved.groupBy("block")).applyInArrow(run, schema)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    carried = ["text", "row"] if texts_out else []
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "row"] if texts_out else [])]
+    schema = StructType([StructField(n, StringType() if n == "kept_sha256" else LongType()) for n in names[:5]])
+    if texts_out:
+        schema = schema.add("kept", StringType()).add("row", docs.schema["row"].dataType)
+    columns = ["block", "doc_id", "text", *carried[1:]]
+    return docs.select(*columns).groupBy("block").cogroup(resolved.groupBy("block")).applyInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 24, block_bytes: int = 8 << 20, texts_out: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, the remaining text, and text_md5, of the given text, of every document.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, the remaining text, and row of every document.
 
-    What is cut of a row follows from its doc_id and text, so that rows can be told apart by doc_id and text_md5.
-    kept leaves out bytes that a cut inside a character makes invalid; the digest is of all remaining bytes."""
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    kept leaves out bytes that a cut inside a character makes invalid; the digest is of all remaining bytes. row has
+    the table's other columns as they were and text_is_null; without ``texts_out`` kept and row are left out."""
+    whole = F.coalesce("text", F.lit("")).alias("text")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), F.col("text").isNull().alias("text_is_null")).alias("row")
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole, *([row] if texts_out else []))
     known = source.where(F.col("doc_id").isNotNull())
     volume = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, int(volume) // block_bytes) | 1
-    dealt = known.withColumn("block", F.pmod("doc_id", F.lit(blocks)).cast("int"))
+    dealt = known.withColumn("block", _block_column(blocks))
     # two buckets a block bound what one task holds of the anchors
-    shared = cut(_shared(_bucketed(known, width, gram, 2 * blocks), blocks))
+    shared = cut(_shared(_bucketed(known.select("doc_id", "text"), width, gram, 2 * blocks), blocks))
     release(docs.sparkSession)
     wanted = shared.where(F.octet_length("wanted") > 0).select("block", "wanted")
-    resolved = cut(_resolve(_contexts(dealt, wanted, width, gram, blocks), width, gram))
+    resolved = cut(_resolve(_contexts(dealt.select("block", "doc_id", "text"), wanted, width, gram, blocks), width, gram))
     release(docs.sparkSession)
     # of a settled context all windows have one smallest document: stop -1
     n = (F.octet_length("keys") / 8).cast("int")
@@ -532,12 +561,11 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 24, block_bytes
     return out.unionByName(
         rest.select(
             "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"),
-            F.sha2("text", 256).alias("kept_sha256"), (F.col("text") if texts_out else F.lit(None).cast("string")).alias("kept"),
-            (F.md5(F.col("text").cast("binary")) if texts_out else F.lit(None).cast("string")).alias("text_md5"),
+            F.sha2("text", 256).alias("kept_sha256"), *([F.col("text").alias("kept"), F.col("row")] if texts_out else []),
         )
     )
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract digest of ``remove_repeats`` over whole ``documents``."""
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts_out=False).drop("kept", "text_md5")
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts_out=False)
