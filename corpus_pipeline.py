@@ -2,9 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 Parquet and read again as the next stage's docs. All but the last return the
-columns of ``documents``. The deduplicating stages tell rows apart by doc_id and
-text, near deduplication also those without doc_id; these pass the other stages
-that join by id unchanged.
+columns of ``documents``. Filters judge each row by its own text, whatever its
+doc_id; the deduplicating stages tell rows apart by doc_id and text, near
+deduplication also those without doc_id, which suffix deduplication leaves as
+they are.
 """
 
 from __future__ import annotations
@@ -28,8 +29,7 @@ def _columns(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, learned from the labels of all documents given, does not call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rejected = toxicity.score(docs, toxicity.fit(docs, labels)).where("predicted = 1").select("doc_id").distinct()
-    return _columns(docs.join(rejected, "doc_id", "left_anti"))
+    return toxicity.without_toxic(_columns(docs), toxicity.fit(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,19 +44,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 50-byte strings of earlier documents; n_chars follows. A text all cut stays, empty."""
-    out = suffix_dedup.remove_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_key"), "kept")
-    out = out.dropDuplicates(["_id", "_key"])
-    both = docs.join(out, (docs["doc_id"] == out["_id"]) & (near_dedup.text_key() == out["_key"]), "left")
-    text = F.when(F.col("_id").isNotNull(), F.col("kept")).otherwise(F.col("text"))
-    chars = F.when(F.col("_id").isNotNull(), F.char_length("kept").cast("bigint")).otherwise(F.col("n_chars"))
-    return _columns(both.withColumns({"text": text, "n_chars": chars}))
+    out = suffix_dedup.remove_repeats(_columns(docs))
+    cut = F.col("n_removed") > 0
+    text = F.when(cut | ~F.col("row.text_is_null"), F.col("kept"))
+    chars = F.when(cut, F.char_length("kept").cast("bigint")).otherwise(F.col("row.n_chars"))
+    return out.select("row.doc_id", text.alias("text"), "row.lang", "row.source", chars.alias("n_chars"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark."""
-    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = decontam.decontaminate(docs, bench).where(F.size("items") > 0).select("doc_id").distinct()
-    return _columns(docs.join(hit, "doc_id", "left_anti"))
+    return decontam.without_hits(_columns(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
