@@ -57,6 +57,19 @@ def formatted(spark: SparkSession, runs: DataFrame) -> DataFrame:
     )
 
 
+def summarised(spark: SparkSession, runs: DataFrame) -> DataFrame:
+    """Per scenario, in catalogue order: the seeds as text, n, the mean best epoch and minutes, and the families' mean shares."""
+    last = latest(runs)
+    # a scenario has a row for each seed of the specification
+    seeds = F.array_join(F.transform(F.array_sort(F.collect_list("seed")), lambda x: x.cast("string")), " ")
+    s = last.groupBy("scenario").agg(
+        seeds.alias("seeds"), F.count(F.lit(1)).alias("n"), F.bround(F.avg("best_epoch"), 0).cast("int").alias("best_epoch"), F.bround(F.avg("minutes"), 1).alias("minutes")
+    )
+    shares = weight_shares(runs)
+    s = s.join(shares, "scenario").join(F.broadcast(scenario_order(spark)).select("scenario", "position"), "scenario", "left")
+    return s.select(F.coalesce("position", F.lit(999)).alias("position"), "scenario", "seeds", "n", "best_epoch", "minutes", *(F.bround(c, 4).alias(c) for c in shares.columns if c != "scenario"))
+
+
 def paired_contrast(runs: DataFrame, left: str, right: str, metric: str = "test_auc") -> DataFrame:
     """Mean and deviation over seeds of the difference of two scenarios on the same seed."""
     r = latest(runs).select("scenario", "seed", metric)

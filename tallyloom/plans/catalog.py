@@ -14,7 +14,7 @@ from ..operators import activity as A
 from ..operators import hypergraph as H
 from ..operators import metrics as M
 from ..operators import report as R
-from ..sources.tables import events_log, orders_log
+from ..sources.tables import events_log, orders_log, read_table
 from ..spec import EVENTS, ORDERS, SCENARIOS, SEEDS, Spec
 
 START = "2024-01-01"
@@ -203,11 +203,12 @@ def x_counts_weighted(spark, sf):
     return A.counts(A.padded(A.kept(clicks, o, ORDERS), o), ORDERS)
 
 
-@query("SELECT CAST(DATE '2024-01-01' + CAST(c % 5 AS INTEGER) AS DATE) AS start, c AS course_id, c % 5 AS start_day FROM range(10) t(c)")
+@query("SELECT course_id, start, CAST(datediff('day', min(start) OVER (), start) AS BIGINT) AS start_day FROM (SELECT o_custkey AS course_id, CAST(min(o_orderdate) AS DATE) AS start FROM orders GROUP BY 1)")
 def course_start_days(spark, sf):
-    c = spark.range(10).select(F.col("id").alias("course_id"), F.date_add(F.lit(START).cast("date"), (F.col("id") % 5).cast("int")).alias("start"))
+    """Starts of all courses in days since the earliest."""
+    c = read_table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("course_id")).agg(F.to_date(F.min("o_orderdate")).alias("start"))
     first = c.agg(F.min("start").alias("first"))
-    return c.crossJoin(F.broadcast(first)).select("start", "course_id", F.datediff("start", "first").cast("bigint").alias("start_day"))
+    return c.crossJoin(F.broadcast(first)).select("course_id", "start", F.datediff("start", "first").cast("bigint").alias("start_day"))
 
 
 # -- splits and scaling -------------------------------------------------------------------------------------------
@@ -494,23 +495,34 @@ def prediction_check(spark, sf):
 
 # -- report -------------------------------------------------------------------------------------------------------
 
-_RUNS = """SELECT id AS run_seq, CASE id % 7 WHEN 0 THEN 'M' WHEN 1 THEN 'A1' WHEN 2 THEN 'W1' WHEN 3 THEN 'P0' WHEN 4 THEN 'S1' WHEN 5 THEN 'L3' ELSE 'old' END AS scenario,
-  CAST({div} % CASE WHEN id % 7 = 6 THEN 1 ELSE 5 END AS INT) AS seed, CAST(1 + id % 3 AS INT) AS layers, 0.8 + CAST(id * 37 % 101 AS DOUBLE) / 1000 AS test_auc, 0.6 + CAST(id * 53 % 97 AS DOUBLE) / 1000 AS test_f1,
-  CASE WHEN id % 7 IN (3, 6) THEN NULL ELSE 1 + CAST(id % 11 AS DOUBLE) / 10 END AS w_course, CASE WHEN id % 7 IN (3, 6) THEN NULL ELSE 0.5 + CAST(id % 5 AS DOUBLE) / 10 END AS w_object,
-  CASE WHEN id % 7 IN (1, 3, 6) THEN NULL ELSE 1.5 END AS w_user, CASE WHEN id % 7 IN (3, 6) THEN NULL ELSE 2.0 END AS w_self_loop FROM {source}"""
-RUNS = "runs AS (" + _RUNS.format(div="id // 7", source="range(84) t(id)").replace("AS INT)", "AS INTEGER)").replace("0.8 +", "0.8::DOUBLE +").replace("0.6 +", "0.6::DOUBLE +").replace("0.5 +", "0.5::DOUBLE +").replace("THEN NULL ELSE 1.5", "THEN NULL ELSE 1.5::DOUBLE").replace("ELSE 2.0", "ELSE 2.0::DOUBLE") + "), last AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY scenario, seed ORDER BY run_seq DESC) = 1)"
-
-
-def runs(spark) -> DataFrame:
-    sql = _RUNS.format(div="id div 7", source="range(84)")
-    for x in ("0.8 +", "0.6 +", "0.5 +"):
-        sql = sql.replace(x, x.replace(" +", "D +"))
-    return spark.sql(sql.replace("ELSE 1.5", "ELSE 1.5D").replace("ELSE 2.0", "ELSE 2.0D").replace("ELSE 1 +", "ELSE 1.0D +"))
+# result rows that grow with the events: a run for each event, so that most scenarios and seeds ran many times
+RUNS = """runs AS (SELECT run_seq, scenario, CAST(CASE WHEN scenario = 'old' THEN 0 ELSE run_seq // 7 % 5 END AS INTEGER) AS seed, CAST(1 + run_seq % 3 AS INTEGER) AS layers,
+  0.8::DOUBLE + (run_seq * 37 % 101)::DOUBLE / 1000 AS test_auc, 0.6::DOUBLE + (run_seq * 53 % 97)::DOUBLE / 1000 AS test_f1,
+  CAST(20 + run_seq * 11 % 180 AS INTEGER) AS best_epoch, (run_seq * 7 % 300)::DOUBLE / 10 AS minutes,
+  CASE WHEN scenario NOT IN ('P0', 'old') THEN 1 + (run_seq % 11)::DOUBLE / 10 END AS w_course, CASE WHEN scenario NOT IN ('P0', 'old') THEN 0.5::DOUBLE + (run_seq % 5)::DOUBLE / 10 END AS w_object,
+  CASE WHEN scenario NOT IN ('A1', 'P0', 'old') THEN 1.5::DOUBLE END AS w_user, CASE WHEN scenario NOT IN ('P0', 'old') THEN 2.0::DOUBLE END AS w_self_loop
+  FROM (SELECT event_id AS run_seq, ['M', 'A1', 'W1', 'P0', 'S1', 'L3', 'old'][(event_id + user_id) % 7 + 1] AS scenario FROM events)),
+last AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY scenario, seed ORDER BY run_seq DESC) = 1)"""
+
+
+def runs(spark, sf) -> DataFrame:
+    e = events_log(spark, sf)
+    r, code = F.col("event_id"), F.element_at(F.array(*map(F.lit, ("M", "A1", "W1", "P0", "S1", "L3", "old"))), ((F.col("event_id") + F.col("user_id")) % 7 + 1).cast("int"))
+    e = e.select(r.alias("run_seq"), code.alias("scenario"))
+    r, code = F.col("run_seq"), F.col("scenario")
+    part = lambda n, m, of: (r * n % m).cast("double") / of
+    graph = ~code.isin("P0", "old")
+    return e.select(
+        "run_seq", "scenario", F.when(code == "old", 0).otherwise(F.floor(r / 7) % 5).cast("int").alias("seed"), (r % 3 + 1).cast("int").alias("layers"),
+        (part(37, 101, 1000) + 0.8).alias("test_auc"), (part(53, 97, 1000) + 0.6).alias("test_f1"), (r * 11 % 180 + 20).cast("int").alias("best_epoch"),
+        part(7, 300, 10).alias("minutes"), F.when(graph, part(1, 11, 10) + 1).alias("w_course"), F.when(graph, part(1, 5, 10) + 0.5).alias("w_object"),
+        F.when(graph & (code != "A1"), 1.5).alias("w_user"), F.when(graph, 2.0).alias("w_self_loop"),
+    )
 
 
 @query(_select("SELECT scenario, seed, run_seq FROM last", RUNS))
 def latest_runs(spark, sf):
-    return R.latest(runs(spark)).select("scenario", "seed", "run_seq")
+    return R.latest(runs(spark, sf)).select("scenario", "seed", "run_seq")
 
 
 _SUM = "s AS (SELECT scenario, count(*) AS n_seeds, avg(test_auc) AS test_auc_mean, coalesce(stddev_samp(test_auc), 0) AS test_auc_std, avg(test_f1) AS test_f1_mean, coalesce(stddev_samp(test_f1), 0) AS test_f1_std FROM last GROUP BY 1)"
@@ -518,12 +530,12 @@ _SUM = "s AS (SELECT scenario, count(*) AS n_seeds, avg(test_auc) AS test_auc_me
 
 @query(_select("SELECT scenario, n_seeds, round(test_auc_mean, 6) AS test_auc_mean, round(test_auc_std, 6) AS test_auc_std, round(test_f1_mean, 6) AS test_f1_mean, round(test_f1_std, 6) AS test_f1_std FROM s", f"{RUNS}, {_SUM}"))
 def seed_summary(spark, sf):
-    return rounded(R.seed_summary(runs(spark)))
+    return rounded(R.seed_summary(runs(spark, sf)))
 
 
 @query(_select("SELECT scenario, arg_max(layers, run_seq) AS layers, arg_max(seed, run_seq) AS last_seed FROM runs GROUP BY 1", RUNS))
 def last_values(spark, sf):
-    return R.last_values(runs(spark))
+    return R.last_values(runs(spark, sf))
 
 
 _SHARE = ", ".join(f"round(avg({c} / nullif(coalesce(w_course, 0) + coalesce(w_object, 0) + coalesce(w_user, 0) + coalesce(w_self_loop, 0), 0)), 6) AS {c.replace('w_', 'share_')}" for c in R.SHARES)
@@ -531,12 +543,12 @@ _SHARE = ", ".join(f"round(avg({c} / nullif(coalesce(w_course, 0) + coalesce(w_o
 
 @query(_select(f"SELECT scenario, {_SHARE} FROM last GROUP BY 1", RUNS))
 def weight_shares(spark, sf):
-    return rounded(R.weight_shares(runs(spark)))
+    return rounded(R.weight_shares(runs(spark, sf)))
 
 
 @query(_select("SELECT scenario, round(test_auc_mean - (SELECT test_auc_mean FROM s WHERE scenario = 'M'), 6) AS delta_vs_m FROM s", f"{RUNS}, {_SUM}"))
 def delta_vs_m(spark, sf):
-    return rounded(R.delta_vs_main(R.seed_summary(runs(spark))).select("scenario", "delta_vs_m"))
+    return rounded(R.delta_vs_main(R.seed_summary(runs(spark, sf))).select("scenario", "delta_vs_m"))
 
 
 _CAT = "cat AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', '{'+'.join(s.families)}', '{'✓' if s.mlp else '✗'}', '{'✓' if s.hgnn else '✗'}')" for i, (c, s) in enumerate(SCENARIOS.items())) + ") v(position, scenario, families, mlp, hgnn))"
@@ -545,7 +557,7 @@ _CAT = "cat AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', '{'+'.join(s.
 @query(_select("""SELECT CAST(coalesce(position, 999) AS INTEGER) AS position, scenario, coalesce(families, '') AS families, coalesce(mlp, '✗') AS mlp, coalesce(hgnn, '✗') AS hgnn, n_seeds,
   printf('%.4f ± %.4f', round_even(test_auc_mean, 4), round_even(test_auc_std, 4)) AS auc, round_even(test_auc_mean - (SELECT test_auc_mean FROM s WHERE scenario = 'M'), 4) AS delta_vs_m FROM s LEFT JOIN cat USING (scenario)""", f"{RUNS}, {_SUM}, {_CAT}"))
 def report_format(spark, sf):
-    return R.formatted(spark, runs(spark))
+    return R.formatted(spark, runs(spark, sf))
 
 
 @query(_select("SELECT scenario, CAST(position AS INTEGER) AS position, families FROM cat", _CAT))
@@ -555,12 +567,21 @@ def scenario_order(spark, sf):
 
 @query(_select(" UNION ALL ".join(f"SELECT '{a}-{b}' AS contrast, count(*) AS n_seeds, round(avg(x.test_auc - y.test_auc), 6) AS mean, round(coalesce(stddev_samp(x.test_auc - y.test_auc), 0), 6) AS std FROM last x JOIN last y USING (seed) WHERE x.scenario = '{a}' AND y.scenario = '{b}'" for a, b in (("M", "P0"), ("M", "S1"), ("S1", "P0"))), RUNS))
 def paired_contrast(spark, sf):
-    r = runs(spark)
+    r = runs(spark, sf)
     return rounded(R.paired_contrast(r, "M", "P0").unionByName(R.paired_contrast(r, "M", "S1")).unionByName(R.paired_contrast(r, "S1", "P0")))
 
 
-@query("SELECT CAST(i AS INTEGER) AS theta, round(ln(1 + exp(i)), 6) AS softplus, round(1 / (1 + exp(-i)), 6) AS sigmoid, CAST(1 / (1 + exp(-i)) >= 0.5 AS INTEGER) AS called FROM (SELECT CAST(i AS DOUBLE) AS i FROM range(-20, 21) t(i))")
+@query(_select(f"""SELECT CAST(coalesce(position, 999) AS INTEGER) AS position, scenario, seeds, n, best_epoch, minutes, {", ".join(f"round_even({c.replace('w_', 'share_')}, 4) AS {c.replace('w_', 'share_')}" for c in R.SHARES)} FROM
+  (SELECT scenario, string_agg(seed, ' ' ORDER BY seed) AS seeds, count(*) AS n, CAST(round_even(avg(best_epoch), 0) AS INTEGER) AS best_epoch, round_even(avg(minutes), 1) AS minutes, {_SHARE.replace("round(avg(", "(avg(").replace(", 6) AS", ") AS")} FROM last GROUP BY 1)
+  LEFT JOIN cat USING (scenario)""", f"{RUNS}, {_CAT}"))
+def report_summary(spark, sf):
+    """The rest of the report's columns: seeds, runs, mean best epoch and minutes, mean shares of the family weights."""
+    return R.summarised(spark, runs(spark, sf))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(ln(1 + exp(x)), 6) AS softplus, round(1 / (1 + exp(-x)), 6) AS sigmoid, CAST(1 / (1 + exp(-x)) >= 0.5 AS INTEGER) AS called FROM (SELECT l_orderkey, l_linenumber, l_quantity - 25 AS x FROM lineitem)")
 def activation_functions(spark, sf):
-    t = F.col("id").cast("double")
-    p = 1 / (1 + F.exp(-t))
-    return rounded(spark.range(-20, 21).select(F.col("id").cast("int").alias("theta"), F.log1p(F.exp(t)).alias("softplus"), p.alias("sigmoid"), (p >= 0.5).cast("int").alias("called")))
+    x = F.col("l_quantity") - 25
+    p = 1 / (1 + F.exp(-x))
+    li = read_table(spark, sf, "lineitem")
+    return rounded(li.select("l_orderkey", "l_linenumber", F.log1p(F.exp(x)).alias("softplus"), p.alias("sigmoid"), (p >= 0.5).cast("int").alias("called")))
