@@ -8,10 +8,16 @@ from pyspark.sql import SparkSession
 
 from ..functions.ranking import cut, shared_folder
 
-__all__ = ["cut", "release", "shared_folder"]
+__all__ = ["cut", "release", "remove", "shared_folder"]
 
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle and checkpoint files of finished phases: it does so once their handles are collected."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that an operator wrote to the shared folder and that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
