@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import decontam, near_dedup, packing, suffix_dedup, toxicity
-from tallyloom.llm.checkpoint import shared_folder
+from tallyloom.llm.checkpoint import remove, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -73,12 +73,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again.
+
+    A stage's folder goes when the next one is written; the result reads the last, which stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, last = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs.write.parquet(path := f"{folder}/{i}-{name}")
             docs = spark.read.parquet(path)
+            if last:
+                remove(spark, last)
+            last = path
     return docs
