@@ -3,8 +3,10 @@
 Each document is tokenised once. Only its length and the running CRC-32 of its
 ids at every ``grain`` tokens go on: a few bytes per hundred tokens, from which
 the checksum of any piece that is cut at a multiple of ``grain`` follows.
-Documents are dealt by a hash of their id into shards of about ``shard_docs``;
-each shard packs on its own, so no task grows with the corpus.
+Documents are dealt by a hash of their id and ids into shards of about
+``shard_docs`` documents and ``shard_bytes`` of text; equal rows are counted in
+their partition and dealt by that number too, so that no shard grows with the
+copies of a row. Each shard packs on its own, so no task grows with the corpus.
 
 In a shard, whole multiples of ``capacity`` fill sequences of their own. The
 remainders go in descending order to the sequence with the lowest estimated
@@ -51,21 +53,33 @@ class WordTokenizer:
     The tokenizer ignores case and never joins pieces across white space, nor
     across an ASCII letter beside ASCII punctuation (apostrophes apart), so each
     stretch between two such places has ids of its own. They are kept for recent
-    stretches; the others go through the tokenizer in one batch."""
+    stretches; the others go through the tokenizer in one batch. A tokenizer
+    with other rules is refused. Texts that hold the string of a special token
+    go through the tokenizer whole, which gives that token's id."""
+
+    PROBES = ("It's A-b c!d  \t\u00e9.x\u00c9 12a3 'RE don't", "x\u00a0y\u3000z <|a b|> ...!?a'll", "Stra\u00dfe e\u0301e \u0130I {a}[b]_c", "")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
         self.clear()
+        ids, ends = self.encode(*buffers(pa.array(self.PROBES)))
+        if [x.tolist() for x in np.split(ids, ends)[:-1]] != [self._whole(t) for t in self.PROBES]:
+            raise ValueError(f"{path} does not part texts as WordTokenizer does")
+
+    def _whole(self, text: str) -> list[int]:
+        self.model.encode_special_tokens = False
+        return self.model.encode(text, add_special_tokens=False).ids
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.ids, self.begin, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), 0
 
     def _learn(self, new: list[bytes]) -> None:
+        self.model.encode_special_tokens = True
         got = [e.ids for e in self.model.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
@@ -81,6 +95,19 @@ class WordTokenizer:
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, the end of each text in them), from the texts' bytes and offsets."""
+        data = raw.tobytes()
+        if not any(s in data for s in self.special):
+            return self._parted(raw, at)
+        out, ends, total = [], [], 0
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            held = any(data.find(s, a, b) >= 0 for s in self.special)
+            ids = np.array(self._whole(data[a:b].decode("utf-8")), np.uint32) if held else self._parted(raw[a:b], np.array([0, b - a]))[0]
+            total += len(ids)
+            out.append(ids)
+            ends.append(total)
+        return np.concatenate(out), np.array(ends)
+
+    def _parted(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         kind = _KIND[raw]
         cut = np.zeros(len(raw) + 1, bool)
         cut[1:-1] = (kind[:-1] + kind[1:] == 3) & (kind[:-1] > 0) & (kind[1:] > 0)
@@ -137,15 +164,16 @@ def crc_between(before: int, until: int, n: int) -> int:
 
 
 def lengths(docs: DataFrame, path: str, end_id: int = 2, grain: int = 16) -> DataFrame:
-    """doc_id, doc_tokens (with the end token) and checks: CRC-32 of the first grain, 2 * grain, ... and all ids."""
+    """doc_id, doc_tokens (with the end token), checks (CRC-32 of the first grain, 2 * grain, ... and all ids) and turn,
+    the number of equal rows before it in its partition, in whatever order they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crc = zlib.crc32
+        crc, seen = zlib.crc32, {}
         for batch in slices(batches, "text", 2 << 20):
             model = tokenizer(path)
             ids, ends = model.encode(*buffers(batch.column("text")))
-            sizes, checks, begin = [], [], 0
-            for end in ends.tolist():
+            sizes, checks, turns, begin = [], [], [], 0
+            for doc, end in zip(batch.column("doc_id").to_pylist(), ends.tolist()):
                 data = np.append(ids[begin:end], np.uint32(end_id)).astype("<u4").tobytes()
                 begin, c, own = end, 0, []
                 view, step = memoryview(data), 4 * grain
@@ -154,13 +182,15 @@ def lengths(docs: DataFrame, path: str, end_id: int = 2, grain: int = 16) -> Dat
                     own.append(c)
                 sizes.append(len(data) // 4)
                 checks.append(np.array(own, "<u4").tobytes())
+                turns.append(seen.get(row := (doc, sizes[-1], c), 0))
+                seen[row] = turns[-1] + 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(checks, pa.binary())],
-                ["doc_id", "doc_tokens", "checks"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(checks, pa.binary()), pa.array(turns, pa.int64())],
+                ["doc_id", "doc_tokens", "checks", "turn"],
             )
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(
-        run, "doc_id bigint, doc_tokens bigint, checks binary"
+        run, "doc_id bigint, doc_tokens bigint, checks binary, turn bigint"
     )
 
 
@@ -240,11 +270,13 @@ def assign(sizes: np.ndarray, capacity: int, grain: int, linear: float, quadrati
 
 def pack(
     docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, grain: int = 16, linear: float = 1.0,
-    quadratic: float = 1.0 / 4096, shard_docs: int = 20_000,
+    quadratic: float = 1.0 / 4096, shard_docs: int = 20_000, shard_bytes: int = 32 << 20,
 ) -> DataFrame:
     """Pieces of all documents in sequences of at most ``capacity`` tokens; ``capacity`` is a multiple of ``grain``."""
-    shards = max(1, -(-docs.count() // shard_docs))
-    sized = lengths(docs, path, end_id, grain).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    n, volume = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = max(1, -(-n // shard_docs), -(-volume // shard_bytes))
+    shard = F.pmod(F.xxhash64("doc_id", "doc_tokens", "checks", "turn"), F.lit(shards))
+    sized = lengths(docs, path, end_id, grain).withColumn("shard", shard).drop("turn")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "doc_tokens", "checks"], ignore_index=True)

@@ -4,7 +4,7 @@ import numpy as np
 
 from tallyloom.llm import langid, packing, topk, toxicity
 
-from .helpers import ODD_TEXTS, docs
+from .helpers import ODD_TEXTS, docs, words
 
 
 def test_language_held_out_accuracy(spark, sf_dir):
@@ -29,6 +29,85 @@ def test_language_odd_texts(spark):
     assert langid.identify(docs(spark, []), None).collect() == []
 
 
+def test_language_scores_match_explicit_products(spark):
+    """The decision of every text from plain n-gram counts and the machines' weights."""
+    rnd = np.random.default_rng(3)
+    words_of = {"en": "the of and water house", "de": "der die und wasser haus", "fr": "le la et eau maison", "es": "el los y agua casa"}
+    texts = [(" ".join(rnd.choice(words_of[x].split(), 12)), x) for x in words_of for _ in range(15)]
+    table = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(texts)], "doc_id bigint, text string, lang string")
+    model = langid.fit(table)
+    asked = [t for t, _ in texts[::4]] + ["Maison House x", "a", "\u00e9t\u00e9 12", "der of la los " * 40]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string"), model).collect()}
+
+    def margin(text, w, bias):
+        low = text.encode().translate(langid.WORD_TABLE)
+        total, n = bias, 0
+        parts = []
+        for order in langid.ORDERS:
+            for i in range(len(low) - order + 1):
+                h = 0
+                for j in range(order):
+                    h = (low[i] + order * 977 if j == 0 else h * 0x9E3779B1 + low[i + j]) % 2**32
+                parts.append(float(w[(h * 0x85EBCA6B % 2**32) >> (32 - langid.BITS)]))
+                n += 1
+        return total + sum(parts) / max(1, n)
+
+    def decide(text, classes, machines):
+        votes, sure = [0.0] * len(classes), [float("inf")] * len(classes)
+        for a, b, w, bias in machines:
+            m = margin(text, w, bias)
+            votes[a] += (m > 0) + 0.001 * np.tanh(m)
+            votes[b] += (m <= 0) - 0.001 * np.tanh(m)
+            sure[a], sure[b] = min(sure[a], m), min(sure[b], -m)
+        best = int(np.argmax(votes))
+        return classes[best], 1 / (1 + np.exp(-min(50, max(-50, 3 * sure[best]))))
+
+    for i, text in enumerate(asked):
+        fam, first = decide(text, *model.groups[""])
+        lang, second = decide(text, *model.groups[fam])
+        assert got[i].lang_pred == lang and abs(got[i].score - first * second) < 1e-4, text
+
+
+def test_svm_reaches_the_optimum():
+    """Dual coordinate descent against plain projected gradient on the whole dual."""
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.normal(size=(40, 6)))
+    y = np.where(x[:, 0] + 0.3 * rng.normal(size=40) > x[:, 1], 1.0, -1.0)
+    cost = 2.0
+    w, b = langid.svm([(np.arange(6), r) for r in x], y, cost, epochs=2000)
+    q = (np.c_[x, np.ones(40)] @ np.c_[x, np.ones(40)].T) * np.outer(y, y)
+    alpha, step = np.zeros(40), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(60_000):
+        alpha = np.clip(alpha - step * (q @ alpha - 1), 0, cost)
+    v = (alpha * y) @ np.c_[x, np.ones(40)]
+    primal = lambda v: 0.5 * v @ v + cost * np.maximum(0, 1 - y * (np.c_[x, np.ones(40)] @ v)).sum()
+    assert abs(primal(np.append(w[:6], b)) - primal(v)) < 0.01 * primal(v)
+
+
+def test_toxicity_scores_match_the_explicit_pair_sum(spark):
+    rng = np.random.default_rng(6)
+    vocab = ["insult", "insulting", "group", "water", "house", "groups"]
+    terms = {}
+    for word in vocab:
+        for t in toxicity.terms_of(word.encode()):
+            for level in range(len(toxicity.LEVELS)):
+                terms.setdefault(t * len(toxicity.LEVELS) + level, len(terms))
+    model = toxicity.Model(0.2, terms, rng.normal(size=len(terms)), rng.normal(size=(len(terms), 3)))
+    texts = [*ODD_TEXTS, *(" ".join(rng.choice(vocab + ["other"], rng.integers(0, 9))) for _ in range(60)), "Insulting insult, GROUPS group"]
+    got = {r.doc_id: r for r in toxicity.score(docs(spark, texts), model).collect()}
+    clean = {r.doc_id for r in toxicity.without_toxic(docs(spark, texts), model).collect()}
+    for i, text in enumerate(texts):
+        found = {w.encode() for w in words(text)}
+        f = []
+        for key, n in terms.items():
+            t, level = divmod(key, len(toxicity.LEVELS))
+            if sum(toxicity.terms_of(w).count(t) for w in found) >= toxicity.LEVELS[level]:
+                f.append(n)
+        margin = 0.2 + sum(model.w[a] for a in f) + sum(float(model.v[a] @ model.v[b]) for k, a in enumerate(f) for b in f[k + 1 :])
+        p = 1 / (1 + np.exp(-min(40, max(-40, margin))))
+        assert abs(got[i].score - p) < 1e-9 and got[i].predicted == (p >= 0.3) and (i in clean) == (p < 0.3)
+
+
 def test_toxicity_held_out(spark):
     sf_dir = "/root/testdata/sf0.1"  # at sf0.01 some languages have one or two toxic rows to learn from
     got = {r.doc_id: r for r in toxicity.op8_toxicity(spark, sf_dir).collect()}
@@ -37,6 +116,7 @@ def test_toxicity_held_out(spark):
     pos, neg = [s for s, y in held if y], [s for s, y in held if not y]
     assert np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg]) > 0.85
     assert np.mean([s >= 0.3 for s in neg]) < 0.05
+    assert np.mean([s >= 0.3 for s in pos]) > 0.7
     assert all(r.predicted == (r.score >= 0.3) for r in got.values())
 
 
@@ -61,7 +141,6 @@ def check_packing(spark, table, grain=16):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     rows = packing.pack(table, path, grain=grain, shard_docs=400).collect()
     by, seq = {}, {}
     for r in rows:
@@ -97,6 +176,32 @@ def test_packing_odd_texts(spark):
     assert packing.pack(docs(spark, []), "unused").collect() == []
 
 
+def test_packing_takes_the_lowest_cost():
+    """Remainders in descending order, each to the cheapest sequence with room, by trying every sequence."""
+    rng = np.random.default_rng(8)
+    for n, capacity in ((1, 64), (30, 64), (200, 256), (120, 1024)):
+        sizes = rng.integers(1, capacity, n)
+        got = {d: (s, offset) for d, start, length, s, offset in packing.assign(sizes, capacity, 16, 1.0, 0.01) if start == 0 and length == sizes[d]}
+        m = -(-int(sizes.sum()) // capacity)
+        used, cost = [0] * m, [0.0] * m
+        for d in np.argsort(-sizes, kind="stable").tolist():
+            room = [s for s in range(m) if used[s] + sizes[d] <= capacity]
+            if not room:
+                continue  # it is cut
+            s = min(room, key=lambda s: (cost[s], s))
+            assert got[d] == (s, used[s])
+            used[s] += int(sizes[d])
+            cost[s] += float(sizes[d]) + 0.01 * float(sizes[d]) ** 2
+
+
+def test_packing_deals_equal_rows_out(spark):
+    table = spark.createDataFrame([(None, "a b c")] * 900, "doc_id bigint, text string")
+    import public_tokenizers
+
+    sized = packing.lengths(table.repartition(3), public_tokenizers.path("word_bpe_49k.json"))
+    assert sized.groupBy("turn").count().agg({"count": "max"}).first()[0] <= 3
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(20, 8)) * 3
@@ -105,7 +210,8 @@ def test_top_k(spark):
     x += [(6000, None), (6050, [1.0, None] * 4), (6100, [float("nan")] * 8), (6150, [float("inf")] * 8), (6200, [1.0, 2.0]), (6250, []), (6251, []), (None, [1.0] * 8)]
     table = spark.createDataFrame(x, "vec_id bigint, embedding array<double>").selectExpr("*", "1 AS r", "2 AS dim", "3 AS score")
     got = {}
-    for r in topk.top_k(table, table.where("vec_id % 50 = 0"), data_block=1500, query_block=30).collect():
+    assert topk.top_k(table, table.where("vec_id % 50 = 0")).count() > 500  # one chunk
+    for r in topk.top_k(table, table.where("vec_id % 50 = 0"), data_block=1500, query_bytes=3000, first_round=4).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     whole = [(i, np.floor(np.array(v) * 256)) for i, v in x if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
     asked = [(i, v) for i, v in whole if i % 50 == 0]
