@@ -25,26 +25,31 @@ def object_key(spec: Spec) -> Column:
     return F.when(fine, F.concat_ws("|", F.col("course_id").cast("string"), family, F.trim("object_id")))
 
 
-def memberships(nodes: DataFrame, events: DataFrame, spec: Spec) -> DataFrame:
-    """Distinct (family, key, sort_number, node_id) of course, object and user edges with two members or more."""
+def pairs(nodes: DataFrame, events: DataFrame, spec: Spec) -> DataFrame:
+    """Distinct (family, key, sort_number, node_id) of course, object and user edges; of ``events`` those of the nodes count."""
     none = F.lit(None).cast("bigint")
     course = nodes.select(F.lit("course").alias("family"), F.col("course_id").cast("string").alias("key"), none.alias("sort_number"), "node_id")
     user = nodes.select(F.lit("user").alias("family"), F.col("user_id").cast("string").alias("key"), F.col("user_id").cast("bigint").alias("sort_number"), "node_id")
     keyed = events.select("enroll_id", object_key(spec).alias("key")).where("key is not null").distinct()
     thing = keyed.join(nodes.select("enroll_id", "node_id"), "enroll_id").select(F.lit("object").alias("family"), "key", none.alias("sort_number"), "node_id")
-    pairs = course.unionByName(thing).unionByName(user)
-    large = pairs.groupBy("family", "key").count().where("count >= 2").select("family", "key")
-    return pairs.join(large, ["family", "key"])
+    return course.unionByName(thing).unionByName(user)
+
+
+def memberships(nodes: DataFrame, events: DataFrame, spec: Spec) -> DataFrame:
+    """``pairs`` of edges with two members or more."""
+    out = pairs(nodes, events, spec)
+    large = out.groupBy("family", "key").count().where("count >= 2").select("family", "key")
+    return out.join(large, ["family", "key"])
 
 
 def edges(members: DataFrame) -> DataFrame:
-    """edge_id, family, key, size: dense ids by family, then key (text by code point, users by number)."""
-    sized = members.groupBy("family", "key", "sort_number").agg(F.count(F.lit(1)).alias("size")).withColumn("_f", _family_number(F.col("family")))
+    """edge_id, family, key, size of edges with two members or more: dense ids by family, then key (text by code point, users by number)."""
+    sized = members.groupBy("family", "key", "sort_number").agg(F.count(F.lit(1)).alias("size")).where("size >= 2").withColumn("_f", _family_number(F.col("family")))
     return position(sized, [], ["_f", "sort_number", "key"]).select((F.col("pos") - 1).alias("edge_id"), "family", "key", "size")
 
 
 def hypergraph(members: DataFrame, edge: DataFrame) -> DataFrame:
-    """edge_id, family, node_id, receives."""
+    """edge_id, family, node_id, receives; members: ``pairs`` or ``memberships``."""
     return members.join(edge.select("family", "key", "edge_id"), ["family", "key"]).select("edge_id", "family", "node_id", F.lit(True).alias("receives"))
 
 
@@ -88,17 +93,21 @@ def shuffled(graph: DataFrame, seed: int) -> DataFrame:
 def scenario_graph(graph: DataFrame, nodes: DataFrame, scenario: Scenario, seed: int = 1, dense: bool = True) -> DataFrame:
     """The scenario's memberships, in order: families, dealing anew, causal users, dense ids, self-loops.
 
-    nodes needs start_day where the scenario is causal. Sums over the graph need no dense ids: without, a sort is saved."""
+    nodes needs start_day where the scenario is causal. Sums over the graph need no dense ids: without, causal edges and
+    self-loops have ids below zero and a sort is saved."""
     out = graph.where(F.col("family").isin(*scenario.families) if scenario.families else F.lit(False))
     if scenario.shuffle:
         out = shuffled(out, seed)
     if scenario.causal:
-        top = out.agg((F.coalesce(F.max("edge_id"), F.lit(-1)) + 1).alias("top"))
-        causal = causal_user_edges(nodes).crossJoin(F.broadcast(top)).select((F.col("top") + F.col("edge_key")).alias("edge_id"), "family", "node_id", "receives")
+        causal = causal_user_edges(nodes).select((-2 - 2 * F.col("edge_key")).alias("edge_id"), "family", "node_id", "receives")
         out = out.where("family <> 'user'").unionByName(causal)
-    if dense:
-        ids = position(out.select("edge_id").distinct(), [], ["edge_id"]).select("edge_id", (F.col("pos") - 1).alias("new_id"))
-        out = out.join(ids, "edge_id").select(F.col("new_id").alias("edge_id"), "family", "node_id", "receives")
+    if not dense:
+        own = nodes.select((-1 - 2 * F.col("node_id")).alias("edge_id"), F.lit("self_loop").alias("family"), "node_id", F.lit(True).alias("receives"))
+        return out.unionByName(own) if "self_loop" in scenario.families else out
+    # causal edges, with ids below zero, come after the others
+    kept = out.select("edge_id").distinct().withColumns({"_new": (F.col("edge_id") < 0).cast("int"), "_k": F.abs("edge_id")})
+    ids = position(kept, [], ["_new", "_k"]).select("edge_id", (F.col("pos") - 1).alias("new_id"))
+    out = out.join(ids, "edge_id").select(F.col("new_id").alias("edge_id"), "family", "node_id", "receives")
     return with_self_loops(out, nodes) if "self_loop" in scenario.families else out
 
 

@@ -66,8 +66,9 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 def graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, memberships with edge ids)."""
-    n = nodes(spark, sf)
-    members = cut(H.memberships(n, kept(spark, sf), EVENTS))
+    n = cut(nodes(spark, sf))
+    allowed = events(spark, sf).where(F.col("action").isin(*EVENTS.actions) & A.in_window(EVENTS))
+    members = cut(H.pairs(n, allowed, EVENTS))
     return n, H.hypergraph(members, H.edges(members))
 
 
@@ -405,14 +406,15 @@ TOTAL = "x0 AS (SELECT node_id, CAST(count(kept.event_id) AS DOUBLE) AS x FROM n
 
 
 def _total(spark, sf, n: DataFrame) -> DataFrame:
-    t = kept(spark, sf).groupBy("enroll_id").agg(F.count(F.lit(1)).cast("double").alias("x"))
+    allowed = events(spark, sf).where(F.col("action").isin(*EVENTS.actions) & A.in_window(EVENTS))
+    t = allowed.groupBy("enroll_id").agg(F.count(F.lit(1)).cast("double").alias("x"))
     return n.join(t, "enroll_id", "left").select("node_id", F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
 def _propagation(code: str, hops: int, weights: dict | None) -> Query:
     def run(spark, sf):
         n, h = graph(spark, sf)
-        n = cut(started(n))
+        n = started(n)
         x = _total(spark, sf, n)
         graph_of = H.Propagator(H.scenario_graph(h, n, SCENARIOS[code], dense=False), weights)
         for _ in range(hops):
