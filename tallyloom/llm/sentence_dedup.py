@@ -30,7 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from .checkpoint import cut
 from .text import buffers, mix, prefix_hash, range_hash, slices, word_spans
 
 _END = np.zeros(256, bool)
@@ -119,14 +121,21 @@ def repeated(docs: DataFrame, sentences: int = 3, least_words: int = 8, reach: i
     """doc_id and runs: the sentence ranges of its spans that stand at an earlier place too."""
     found = spans(docs, sentences, least_words, reach)
     first = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1")
-    again = found.join(first.select("hash", "first"), "hash").where(F.struct("doc_id", "start") > F.col("first"))
+    # the repeated hashes are written under another key, so that both sides of the join are shuffled for it and Spark
+    # can split a partition that a hot hash makes large
+    one = F.lit(1).cast("bigint")
+    first = cut(first.select(F.col("hash").bitwiseXOR(one).alias("key"), "first")).select(F.col("key").bitwiseXOR(one).alias("hash"), "first")
+    again = found.join(first, "hash").where(F.struct("doc_id", "start") > F.col("first"))
     return again.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
 
 
 def deduplicate(docs: DataFrame, sentences: int = 3, least_words: int = 8, reach: int | None = None) -> DataFrame:
     """The documents with text cut, and n_sentences and n_removed."""
-    runs = repeated(docs, sentences, least_words, reach).withColumnRenamed("doc_id", "_id")
-    both = docs.join(runs, docs["doc_id"].cast("bigint") == runs["_id"], "left")
+    kept = [f for f in docs.schema.fields if f.name not in ("n_sentences", "n_removed")]
+    free = lambda name: name if name not in docs.columns else free(f"_{name}")
+    own, runs = free("own_id"), free("runs")
+    found = repeated(docs, sentences, least_words, reach).toDF(own, runs)
+    both = docs.select(*(f"`{f.name}`" for f in kept)).join(found, F.col("doc_id").cast("bigint") == F.col(own), "left").drop(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
@@ -135,9 +144,9 @@ def deduplicate(docs: DataFrame, sentences: int = 3, least_words: int = 8, reach
             of_text = np.searchsorted(begin, at)
             texts = batch.column("text").to_pylist()
             n, gone = np.diff(of_text), []
-            for i, runs in enumerate(batch.column("runs").to_pylist()):
+            for i, ranges in enumerate(batch.column(runs).to_pylist()):
                 drop = np.zeros(n[i] + 1, np.int32)
-                for r in runs or ():
+                for r in ranges or ():
                     drop[r["start"]] += 1
                     drop[r["stop"]] -= 1
                 out = np.flatnonzero(np.cumsum(drop)[:-1] > 0)
@@ -151,12 +160,9 @@ def deduplicate(docs: DataFrame, sentences: int = 3, least_words: int = 8, reach
             new = {"text": pa.array(texts, pa.string()), "n_sentences": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64())}
             yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names)
 
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    kept = [f for f in docs.schema.fields if f.name not in ("n_sentences", "n_removed")]
     schema = StructType([*kept, StructField("n_sentences", LongType()), StructField("n_removed", LongType())])
     names = schema.names
-    return both.select(*(docs[f.name] for f in kept), "runs").mapInArrow(run, schema)
+    return both.mapInArrow(run, schema)
 
 
 def op3_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
