@@ -2,11 +2,18 @@
 
 The automaton holds the words of all templates. A text is streamed through it
 once; after each word the state and length are its matching statistics: the
-longest run of words, ending there, that stands in some template. Long matches
-are chained per template, when close and in template order, into covered spans;
-a template whose words are covered to ``min_cover`` gives its label. The three
-base phrases are templates too: a place of one is a position whose match has
-the phrase as a suffix, which the suffix links tell.
+longest run of words, ending there, that stands in some template; the suffix
+links give the longest one at each place of each template. Matches of
+``min_match`` words that cannot be prolonged are chained per template: a chain goes on
+with a match that begins later, at most ``gap`` words after the end of the last,
+and whose place in the template begins no earlier and ends later. Of the chains
+that end in a match the one that covers most words of the template counts, found
+by dynamic programming; with ``min_cover`` of the template it is a covered span
+and gives its label. Spans of a template do not overlap: the one that covers most
+is taken first, then the earliest. The score is the largest share covered by a
+span, or 1 with a base phrase. The three base phrases are templates too: a place
+of one is a position whose match has the phrase as a suffix, which the suffix
+links tell.
 
 Only runs of words that occur in templates can hold a match, so other words are
 skipped by a vectorised lookup. Every document is read whole; there is no
@@ -18,6 +25,7 @@ repeated rows each get a row; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -30,18 +38,36 @@ from .text import WORD_TABLE, buffers, slices
 
 #: Fixed values of the contract: phrase and label.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Label and template text: the usual one-line notices and the openings of common licences.
+#: Label and template text, without punctuation: the usual one-line notices, and the texts of common licences or their openings.
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+            "merchantability fitness for a particular purpose and noninfringement"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any "
+             "damages arising from the use of this software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("apache-2.0", "licensed under the apache license version 2 0"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is "
+                   "basis without warranties or conditions of any kind either express or implied"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("gpl-2.0", "this program is licensed under the gnu general public license version 2"),
+    ("gpl-3.0", "it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license "
+                "or at your option any later version"),
+    ("gpl-2.0", "it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license "
+                "or at your option any later version"),
+    ("lgpl", "it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl-3.0", "it under the terms of the gnu affero general public license as published by the free software foundation"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-)
+)
 SCHEMA = (
     "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>, "
     "labels array<string>, score double, spans array<struct<label:string,start:bigint,end:bigint,cover:double>>"
@@ -58,10 +84,10 @@ class Automaton:
             last = 0
             for i, c in enumerate(seq):
                 last = self._add(last, c)
-                self.end[last][t] = i
+                self.end[last].setdefault(t, set()).add(i)
         for s in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
-            for t, i in self.end[s].items():  # where in each template the state's strings end; any place serves
-                self.end[self.link[s]].setdefault(t, i)
+            for t, i in self.end[s].items():  # where in each template the state's strings end
+                self.end[self.link[s]].setdefault(t, set()).update(i)
 
     def _add(self, last: int, c: int) -> int:
         if c in self.next[last]:
@@ -120,7 +146,9 @@ class Scanner:
         self.texts, self.n_base = texts, len(base)
         self.min_match, self.gap, self.min_cover = min_match, gap, min_cover
         self.shortest = min([min_match, *(len(t) for _, t in texts[: self.n_base])])
-        self.automaton = Automaton([tuple(self.number[w] for w in t) for _, t in texts])
+        self.numbers = [tuple(self.number[w] for w in t) for _, t in texts]
+        self.automaton = Automaton(self.numbers)
+        self.places: dict[int, list[tuple[int, int, int, int]]] = {}
         self.base_state = {}
         for b, (_, t) in enumerate(texts[: self.n_base]):
             s = 0
@@ -128,6 +156,22 @@ class Scanner:
                 s = self.automaton.next[s][self.number[w]]
             self.base_state.setdefault(s, []).append((b, len(t)))
 
+    def _places(self, s: int) -> list[tuple[int, int, int, int]]:
+        """Where in templates matches of at least ``min_match`` words end in a state: template, last word, length (0: that of the
+        longest match), and the template's next word. At each place the longest match counts."""
+        if s not in self.places:
+            a, out, seen, at = self.automaton, [], set(), s
+            while at > 0 and a.length[at] >= self.min_match:
+                for t, ends in a.end[at].items():
+                    seq = self.numbers[t]
+                    for end in sorted(ends):
+                        if t >= self.n_base and (t, end) not in seen:
+                            seen.add((t, end))
+                            out.append((t, end, 0 if at == s else a.length[at], seq[end + 1] if end + 1 < len(seq) else -1))
+                at = a.link[at]
+            self.places[s] = out
+        return self.places[s]
+
     def scan(self, ids: np.ndarray):
         """The result columns of one text, given as template word numbers with -1 for other words."""
         a = self.automaton
@@ -144,31 +188,42 @@ class Scanner:
                         if n >= m:
                             places.append((b + i - m + 1, p))
                     t = a.link[t]
-                if n >= self.min_match and (i + 1 == len(stats) or stats[i + 1][1] <= n):  # cannot be prolonged
-                    for t, end in a.end[s].items():
-                        if t >= self.n_base:
-                            hits.setdefault(t, []).append((b + i - n + 1, b + i + 1, end - n + 1))
+                if n >= self.min_match:
+                    follows = int(ids[b + i + 1]) if i + 1 < len(stats) else -1
+                    for t, end, m, then in self._places(s):
+                        if then != follows or follows < 0:  # else it is prolonged
+                            m = m or n
+                            hits.setdefault(t, []).append((b + i - m + 1, b + i + 1, end - m + 1))
         spans = []
         for t, found in hits.items():
             spans += self._chain(t, found)
         return places, spans
 
     def _chain(self, t: int, found: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Joins matches in text order whose places in the template go on and that leave at most ``gap`` words between."""
-        out, label, size = [], self.texts[t][0], len(self.texts[t][1])
-        chain: list[tuple[int, int, int]] = []
-
-        def close() -> None:
-            covered = {p for b, e, at in chain for p in range(at, at + e - b)}
-            if covered and len(covered) / size >= self.min_cover:
-                out.append((label, chain[0][0], chain[-1][1], len(covered) / size))
-
-        for b, e, at in sorted(found):
-            if chain and (b - chain[-1][1] > self.gap or at < chain[-1][2]):
-                close()
-                chain = []
-            chain.append((b, e, at))
-        close()
+        """The covered spans of a template from its matches (first word, end, first word in the template)."""
+        label, size = self.texts[t][0], len(self.texts[t][1])
+        found = sorted(found)
+        cover, begin, low = [], [], 0  # of the best chain that ends in each match
+        reach = max(e - b for b, e, _ in found)
+        for j, (b, e, at) in enumerate(found):
+            best = (e - b, -b)
+            while found[low][0] + reach + self.gap < b:
+                low += 1
+            for i in range(low, j):
+                pb, pe, pat = found[i]
+                if pb < b <= pe + self.gap and pat <= at and pat + pe - pb < at + e - b:
+                    best = max(best, (cover[i] + at + e - b - max(at, pat + pe - pb), -begin[i]))
+            cover.append(best[0])
+            begin.append(-best[1])
+        out: list[tuple[str, int, int, float]] = []
+        taken: list[tuple[int, int]] = []
+        for n, b, e in sorted((-cover[j], begin[j], found[j][1]) for j in range(len(found))):
+            if -n / size < self.min_cover:
+                break
+            k = bisect(taken, (b, e))
+            if (k == 0 or taken[k - 1][1] <= b) and (k == len(taken) or e <= taken[k][0]):
+                taken.insert(k, (b, e))
+                out.append((label, b, e, -n / size))
         return out
 
 

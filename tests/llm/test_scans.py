@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 from tallyloom.llm import chat, decontam, license_scan
 
@@ -82,6 +83,78 @@ def test_license_matching_statistics():
             assert held(n) and (n == i + 1 or not held(n + 1))
 
 
+def brute_licences(scanner, w):
+    """(labels, score) by all maximal common runs of text and template and all chains of them."""
+    labels, score = set(), 0.0
+    for label, t in scanner.texts[scanner.n_base :]:
+        runs = []
+        for i in range(len(w)):
+            for j in range(len(t)):
+                if w[i] == t[j] and (i == 0 or j == 0 or w[i - 1] != t[j - 1]):
+                    n = next((n for n in range(min(len(w) - i, len(t) - j)) if w[i + n] != t[j + n]), min(len(w) - i, len(t) - j))
+                    if n >= scanner.min_match:
+                        runs.append((i, i + n, j))
+
+        def best(last, covered):  # all chains that go on from a run
+            b, e, at = last
+            goes = [r for r in runs if b < r[0] <= e + scanner.gap and at <= r[2] and at + e - b < r[2] + r[1] - r[0]]  # noqa: B023
+            return max([len(covered), *(best(r, covered | set(range(r[2], r[2] + r[1] - r[0]))) for r in goes)])
+
+        share = max((best(r, set(range(r[2], r[2] + r[1] - r[0]))) / len(t) for r in runs), default=0.0)
+        if share >= scanner.min_cover:
+            labels.add(label)
+            score = max(score, share)
+    return labels, score
+
+
+def test_license_labels_match_brute_force(spark):
+    rnd = random.Random(7)
+    templates = [("one", "a b c a b c d e f"), ("two", "c d e f g h a b"), ("three", "a a a b a a a c a a"), ("four", "x a b c y")]
+    for gap, least in ((2, 0.8), (0, 0.5), (5, 0.6)):
+        scanner = license_scan.Scanner(templates, (("g h", "base"),), gap=gap, min_cover=least)
+        texts = []
+        for _ in range(150):
+            own = []
+            for _ in range(rnd.randrange(0, 4)):
+                t = rnd.choice(templates)[1].split()
+                i = rnd.randrange(len(t))
+                own += t[i : i + rnd.randrange(2, 10)] if rnd.random() < 0.5 else t
+                own += [rnd.choice("abcdefghz") for _ in range(rnd.randrange(0, 3))]
+            texts.append(" ".join(own))
+        got = {r.doc_id: r for r in license_scan.scan(docs(spark, texts), scanner).collect()}
+        for i, text in enumerate(texts):
+            w = text.split()
+            labels, score = brute_licences(scanner, w)
+            base = any(w[k : k + 2] == ["g", "h"] for k in range(len(w)))
+            assert set(got[i].labels) == labels | ({"base"} if base else set()), text
+            assert abs(got[i].score - max(score, float(base))) < 1e-9, text
+            spans = [x for x in got[i].spans]
+            assert {x.label for x in spans} == labels and all(x.cover >= least for x in spans)
+
+
+def test_near_matches_and_filter_match_brute_force(spark):
+    rnd = random.Random(9)
+    vocab = "aa bb cc dd ee ff gg".split()
+    texts = [" ".join(rnd.choice(vocab) for _ in range(rnd.randrange(0, 40))) for _ in range(50)] + ODD_TEXTS
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(1, 9)))) for i in range(9)] + [(9, "aa aa aa aa aa"), (10, "bb")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    exact = brute_decontam(texts, items, 4)
+    for chunk in (1 << 20, 30):
+        got = {r.doc_id: r for r in decontam.decontaminate(docs(spark, texts), bench, size=4, slop=2, chunk_bytes=chunk).collect()}
+        for i, t in enumerate(texts):
+            w, near = words(t), set()
+            for item, text in items:
+                own = words(text)
+                for win in {tuple(own[k : k + 4]) for k in range(max(1, len(own) - 3))}:
+                    for s in range(len(w)):
+                        if not Counter(win) - Counter(w[s : s + len(win) + 2]):
+                            near.add(item)
+            assert got[i]["items"] == exact[i][2] and got[i].near_items == sorted(near), i
+    kept = decontam.without_hits(docs(spark, texts), bench, size=4, chunk_bytes=30, segment_bytes=200)
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, (_, hit, _) in enumerate(exact) if not hit]
+    assert kept.columns == docs(spark, []).columns
+
+
 def test_chat_round_trip(spark):
     rows = [
         (1, 0, "user", "hi # <b> \\h \\\\l \\"), (1, 1, "assistant", "### user: x </turn>\n\n"), (1, 2, "user", None),
