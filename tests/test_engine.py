@@ -161,6 +161,22 @@ def test_gradients_and_training(directed):
         models.fit(x, y, np.array(["train"] * n), None, type(SCENARIOS["M"])("none", (), 0, mlp=False, hgnn=False), 1)
 
 
+def test_dead_models_start_again(monkeypatch):
+    seen = []
+
+    def once(x, y, split, graph, scenario, seed, **how):
+        seen.append(seed)
+        return {"prob": np.full(4, 0.5) if len(seen) < 3 else np.arange(4) / 4}
+
+    monkeypatch.setattr(models, "fit_once", once)
+    split = np.array(["train", "validation", "validation", "test"])
+    assert models.fit(None, None, split, None, None, 7)["prob"][1] == 0.25 and seen == [7, 1007, 2007]
+    seen[:] = range(-99, 0)
+    monkeypatch.setattr(models, "fit_once", lambda *a, **how: seen.append(a[5]) or {"prob": np.full(4, 0.5)})
+    models.fit(None, None, split, None, None, 7)
+    assert seen[99:] == [7, 1007, 2007, 3007, 4007, 5007]
+
+
 def test_scores_in_a_task_match_the_metrics(spark):
     rng = np.random.default_rng(2)
     prob, y = rng.integers(0, 12, 80) / 11, rng.integers(0, 2, 80).astype(float)
