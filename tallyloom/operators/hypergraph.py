@@ -146,28 +146,33 @@ class Propagator:
         root = lambda c: F.sqrt(F.greatest(c, F.lit(1e-6)))
         w, one = _weight(weights), F.lit(1)
         h = coalesced(graph)
-        size = h.groupBy("edge_id").agg(F.sum("h").alias("size"))
+        size = cut(h.groupBy("edge_id").agg(F.sum("h").alias("size")))
+        large = size.where(F.col("size") >= LARGE)
+        self.broadcast = 0 < large.count() <= MOST_LARGE
+        # rows of large edges never meet by the edge: their sizes are sent to them
+        sized = h.join(size, "edge_id")
+        if self.broadcast:
+            few = F.broadcast(large)
+            sized = h.join(few, "edge_id").unionByName(h.join(few, "edge_id", "left_anti").join(size, "edge_id"))
         # repeats count in the degree; receiving edges give the receiver's degree
         d = h.groupBy("node_id").agg(F.sum(F.col("h") * w).alias("d"), F.sum(F.when(F.col("receives"), F.col("h") * w)).alias("d_in"))
         d = d.select("node_id", (one / root(F.col("d"))).alias("out_root"), (one / root(F.col("d_in"))).alias("in_root"))
-        self.members = cut(h.join(size, "edge_id").join(d, "node_id").select(
+        self.members = cut(sized.join(d, "node_id").select(
             "edge_id", "node_id", "receives", (F.col("h") * F.col("out_root")).alias("up"),
             (F.col("h") * w / F.col("size") * F.col("in_root")).alias("down"), (F.col("size") >= LARGE).alias("large"),
         ))
-        n = self.members.where("large").select("edge_id").distinct().count()
-        self.broadcast = 0 < n <= MOST_LARGE
 
     def hop(self, x: DataFrame, columns: list[str]) -> DataFrame:
         """The columns of x (node_id, ...) after one hop; 0 for nodes that receive nothing."""
-        sums = lambda by, factor: [F.sum(F.col(factor) * F.col(c)).alias(c) for c in columns]
-        up = self.members.join(x.select("node_id", *columns), "node_id").groupBy("edge_id", "large").agg(*sums("edge_id", "up"))
+        sums = lambda factor: [F.sum(F.col(factor) * F.col(c)).alias(c) for c in columns]
+        up = self.members.join(x.select("node_id", *columns), "node_id").groupBy("edge_id", "large").agg(*sums("up"))
         sent = self.members.where("receives")
         if self.broadcast:
             few, own = F.broadcast(up.where("large").drop("large")), up.where("not large").drop("large")
             reached = sent.where("not large").join(own, "edge_id").unionByName(sent.where("large").join(few, "edge_id"))
         else:
             reached = sent.join(up.drop("large"), "edge_id")
-        got = reached.groupBy("node_id").agg(*sums("node_id", "down"))
+        got = reached.groupBy("node_id").agg(*sums("down"))
         return x.select("node_id").join(got, "node_id", "left").select("node_id", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in columns))
 
 
