@@ -247,6 +247,18 @@ def _unpack_parts(data: bytes, n: int) -> np.ndarray:
     return out.reshape(-1, SPLITS)
 
 
+def _counted(text: np.ndarray, most: int = (1 << 16) - 1) -> tuple[np.ndarray, np.ndarray]:
+    """The different texts and how many entries each has; one with over ``most`` stands several times."""
+    t, n = np.unique(text, return_counts=True)
+    more = (n - 1) // most
+    if more.any():
+        last = np.cumsum(more + 1) - 1
+        t, full = np.repeat(t, more + 1), np.full(int(last[-1]) + 1, most)
+        full[last] = n - more * most
+        n = full
+    return t, n
+
+
 def _bucketed(docs: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
     """bucket, packed hashes of anchors, contexts and parts, ids of the documents and how many each has: a row per bucket and batch."""
 
@@ -269,9 +281,9 @@ def _bucketed(docs: DataFrame, width: int, gram: int, buckets: int) -> DataFrame
             rows = []
             edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(h))
             for a, b in zip(edges[:-1], edges[1:]):
-                t, n = np.unique(text[a:b], return_counts=True)
+                t, n = _counted(text[a:b])
                 packed = _pack(h[a:b], _ANCHOR), keys[a:b].tobytes(), _pack_parts(part[a:b])
-                rows.append((int(bucket[a]), *packed, ids[t].astype("<i8").tobytes(), n.astype("<i4").tobytes()))
+                rows.append((int(bucket[a]), *packed, ids[t].astype("<i8").tobytes(), n.astype("<u2").tobytes()))
             cols = list(zip(*rows)) or [()] * 6
             names = ["bucket", "hashes", "keys", "parts", "ids", "counts"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(cols)], names)
@@ -310,7 +322,7 @@ def _shared(bucketed: DataFrame, blocks: int) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         h, keys = _unpack(pdf["hashes"], _ANCHOR), np.frombuffer(b"".join(pdf["keys"]), "<u8")
-        ids = np.concatenate([np.repeat(np.frombuffer(i, "<i8"), np.frombuffer(n, "<i4")) for i, n in zip(pdf["ids"], pdf["counts"])])
+        ids = np.concatenate([np.repeat(np.frombuffer(i, "<i8"), np.frombuffer(n, "<u2")) for i, n in zip(pdf["ids"], pdf["counts"])])
         order = np.argsort(h, kind="stable")
         first = np.flatnonzero(np.append(True, np.diff(h[order]) != 0))
         size = np.diff(np.append(first, len(h)))
@@ -545,8 +557,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 24, block_bytes
     volume = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, int(volume) // block_bytes) | 1
     dealt = known.withColumn("block", _block_column(blocks))
-    # two buckets a block bound what one task holds of the anchors
-    shared = cut(_shared(_bucketed(known.select("doc_id", "text"), width, gram, 2 * blocks), blocks))
+    # a bucket a block bounds what one task holds of the anchors
+    shared = cut(_shared(_bucketed(known.select("doc_id", "text"), width, gram, blocks), blocks))
     release(docs.sparkSession)
     wanted = shared.where(F.octet_length("wanted") > 0).select("block", "wanted")
     resolved = cut(_resolve(_contexts(dealt.select("block", "doc_id", "text"), wanted, width, gram, blocks), width, gram))

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from tallyloom.llm import suffix_dedup
 
 from .helpers import ODD_TEXTS, docs
@@ -51,6 +53,13 @@ def test_remove_repeats_matches_brute_force(spark):
     assert suffix_dedup.remove_repeats(docs(spark, [])).collect() == []
 
 
+def test_counts_are_split():
+    text = np.repeat([3, 5, 9], [4, 11, 1])
+    for most in (1, 3, 4, 100):
+        t, n = suffix_dedup._counted(text, most)
+        assert n.max() <= most and np.array_equal(np.repeat(t, n), text)
+
+
 def test_long_runs_of_one_byte(spark):
     texts = ["y" + "x" * 70_000, "x" * 69_000 + "z", "ab" * 40_000]
     got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs(spark, texts)).collect()}
