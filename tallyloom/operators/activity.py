@@ -68,6 +68,16 @@ def counts(events: DataFrame, spec: Spec) -> DataFrame:
     return both.select("enroll_id", *days, total, F.coalesce(objects, F.lit(0).cast("bigint")).alias(objects), *actions)
 
 
+def features(events: DataFrame, labels: DataFrame, spec: Spec) -> DataFrame:
+    """``counts`` of the labelled enrollments from raw events (with d): what ``kept`` and ``padded`` lead to, in one join.
+
+    Enrollments without kept events get zeros from the outer join, so that no row is made for them and events are not
+    joined with the labels before they are summed."""
+    x = counts(events.where(F.col("action").isin(*spec.actions) & in_window(spec)), spec)
+    zero = F.lit(0).cast("bigint")
+    return labels.select("enroll_id").join(x, "enroll_id", "left").select("enroll_id", *(F.coalesce(n, zero).alias(n) for n in spec.feature_names))
+
+
 def alignment(x: DataFrame, graph: DataFrame) -> DataFrame:
     """One row: n_features, n_nodes, n_unknown (nodes of the graph without features) and aligned; node_id has to be dense from 0."""
     of = x.agg(F.count(F.lit(1)).alias("n_features"), F.countDistinct("node_id").alias("_d"), F.min("node_id").alias("_a"), F.max("node_id").alias("_z"))

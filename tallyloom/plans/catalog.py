@@ -180,7 +180,7 @@ COUNTS = _counts_sql(EVENTS, "1 * (action IS NOT NULL)::INT")
 
 @query(_select(COUNTS))
 def x_counts(spark, sf):
-    return A.counts(padded(spark, sf), EVENTS)
+    return A.features(events(spark, sf), labels(spark, sf), EVENTS)
 
 
 def _part(columns: list[str]) -> tuple[str, Callable]:
@@ -201,7 +201,7 @@ kept AS (SELECT * FROM ck WHERE d >= 0 AND d < 35 AND action IN ('AF','AO','NF',
 @query(_select(_counts_sql(ORDERS, "clicks"), ORD))
 def x_counts_weighted(spark, sf):
     clicks, o = orders_log(spark, sf)
-    return A.counts(A.padded(A.kept(clicks, o, ORDERS), o), ORDERS)
+    return A.features(clicks, o, ORDERS)
 
 
 @query("SELECT course_id, start, CAST(datediff('day', min(start) OVER (), start) AS BIGINT) AS start_day FROM (SELECT o_custkey AS course_id, CAST(min(o_orderdate) AS DATE) AS start FROM orders GROUP BY 1)")

@@ -48,6 +48,14 @@ def test_counts(hand):
     assert x[10].action_play_video == 2 and len(SPEC.feature_names) == 35 + 2 + 6
 
 
+def test_features_are_the_counts_of_padded_events(hand, spark):
+    labels, events, *_ = hand
+    more = events.unionByName(events.where("enroll_id = 10").withColumn("enroll_id", F.lit(77).cast("bigint")))
+    want = A.counts(A.padded(events, labels), SPEC)
+    got = A.features(more, labels, SPEC)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_hyperedges(hand):
     *_, edges, graph = hand
     got = {r.edge_id: (r.family, r.key, r.size) for r in edges.collect()}
