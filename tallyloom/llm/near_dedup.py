@@ -241,9 +241,12 @@ def _classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 2
     # bands of one text alone go at once
     shared = banded.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
     members = cut(banded.join(shared.select("band"), "band"))
-    # the texts that share a band; later joins move only these
+    # the texts that share a band; later joins move only these. They are written under another key, so that each join
+    # shuffles both of its sides and Spark can split a partition that the pairs of one text make large
     source = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
-    source = cut(source.join(members.select("id").distinct(), "id", "left_semi"))
+    source = source.join(members.select("id").distinct(), "id", "left_semi")
+    one = F.lit(1).cast("bigint")
+    source = cut(source.select(F.col("id").bitwiseXOR(one).alias("key"), "text")).select(F.col("key").bitwiseXOR(one).alias("id"), "text")
     release(docs.sparkSession)
     tried = classes = None
     for turn in range(rounds + 1):
@@ -271,8 +274,10 @@ def _classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 2
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        found = cut(verify(pairs, source.join(wanted, "id", "left_semi"), k, threshold))
+        own = source
+        if turn == rounds:  # in rounds before, nearly all texts are in a pair
+            own = source.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi")
+        found = cut(verify(pairs, own, k, threshold))
         classes = components(found) if classes is None else _merged(classes, found)
         release(docs.sparkSession)
     if classes is None:
