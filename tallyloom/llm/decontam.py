@@ -28,7 +28,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .checkpoint import cut
@@ -345,7 +345,7 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, chunk_by
     return docs
 
 
-def _digest(out: DataFrame, *more: str) -> DataFrame:
+def _digest(out: DataFrame, *more: str | Column) -> DataFrame:
     hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("bigint"), lambda a, x: a + x)
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return out.select(
@@ -360,14 +360,16 @@ def _digest(out: DataFrame, *more: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract digest of ``decontaminate`` over whole ``documents`` and ``benchmark``."""
-    return _digest(decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    """Contract digest of ``decontaminate`` over whole ``documents`` and ``benchmark``.
 
+    n_near and near_sha256 are those of the items of proximity matches within ``SLOP`` more words, as n_items and items_sha256."""
+    docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    names = F.array_join(F.array_sort(F.transform("near_items", lambda x: x.cast("string"))), ",")
+    return _digest(decontaminate(docs, bench, slop=SLOP), F.size("near_items").cast("bigint").alias("n_near"), F.sha2(names, 256).alias("near_sha256"))
 
-def op4_decontamination_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same columns, exact, and near_items: the items of proximity matches within ``SLOP`` more words.
 
-    The tests of ``op4_decontamination`` fix its columns, so this is a query of its own."""
+def op4_decontamination_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns and near_items: the items of proximity matches within ``SLOP`` more words, as a list."""
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _digest(decontaminate(docs, bench, slop=SLOP), "near_items")
 
@@ -385,9 +387,21 @@ dw AS (SELECT doc_id, n, i, array_to_string(w[i:i+n-1], ' ') AS g
 m AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.n = bw.n),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY 1),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names
-       FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY 1)
+       FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY 1),
+-- proximity: a window's words, as often as it holds them, within its length and {SLOP} more consecutive words
+iw AS (SELECT DISTINCT item_id, w[i:i+9] AS win FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM b WHERE len(w) > 0)),
+wt AS (SELECT DISTINCT win, unnest(win) AS t FROM iw),
+dt AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+rare AS (SELECT win, arg_min(t, (f, t)) AS t FROM wt JOIN (SELECT t, count(*) AS f FROM dt GROUP BY 1) USING (t) GROUP BY win),
+around AS (SELECT win, doc_id, p, len(win) + {SLOP} AS n, w FROM rare JOIN dt USING (t) JOIN d USING (doc_id)
+           WHERE list_has_all(w[greatest(1, p - len(win) - {SLOP - 1}):p + len(win) + {SLOP - 1}], win)),
+spans AS (SELECT win, doc_id, w[greatest(1, s):s + n - 1] AS span FROM (SELECT *, unnest(range(p - n + 1, p + 1)) AS s FROM around)),
+near AS (SELECT DISTINCT win, doc_id FROM spans WHERE list_bool_and(list_transform(list_distinct(win),
+         lambda x: len(list_filter(span, lambda y: y = x)) >= len(list_filter(win, lambda y: y = x))))),
+ni AS (SELECT doc_id, count(*) AS n_near, string_agg(s, ',' ORDER BY s) AS near_names
+       FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM near JOIN iw USING (win)) GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+       coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, sha256(coalesce(near_names, '')) AS near_sha256
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id LEFT JOIN ni ON d.doc_id = ni.doc_id
 """
