@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import SparkSession
 
@@ -12,9 +13,13 @@ __all__ = ["cut", "release", "remove", "shared_folder"]
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle and checkpoint files of finished phases: it does so once their handles are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete shuffle and checkpoint files of finished phases: it does so once their handles are collected.
+
+    Twice, since handles may hold others; Spark's cleaner works beside the driver and is given a moment."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def remove(spark: SparkSession, path: str) -> None:

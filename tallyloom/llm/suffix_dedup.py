@@ -184,7 +184,7 @@ def places(p: np.ndarray, h: np.ndarray, first: np.ndarray, last: np.ndarray, wi
 #: a quarter of them.
 SPLITS = 4
 #: Bytes of a packed hash of an anchor and of a part. Different ones that look alike only send more contexts to be sorted.
-_ANCHOR, _PART = 4, 2
+_ANCHOR, _PART = 3, 2
 _NONE, _TWICE = 0, (1 << 8 * _PART) - 1  # no such window; the anchor stands twice
 
 
@@ -247,6 +247,18 @@ def _unpack_parts(data: bytes, n: int) -> np.ndarray:
     return out.reshape(-1, SPLITS)
 
 
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """The smallest, then each one's distance from it, in four bytes if that is enough for all."""
+    low = ids.min()
+    far = (ids - low).view(np.uint64)  # modulo 2**64, as it is added again
+    return low.tobytes() + far.astype("<u4" if far.max() < 1 << 32 else "<u8").tobytes()
+
+
+def _unpack_ids(data: bytes, n: int) -> np.ndarray:
+    low, size = np.frombuffer(data, np.int64, 1)[0], (len(data) - 8) // n
+    return np.frombuffer(data, f"<u{size}", n, 8).astype(np.uint64).view(np.int64) + low
+
+
 def _counted(text: np.ndarray, most: int = (1 << 16) - 1) -> tuple[np.ndarray, np.ndarray]:
     """The different texts and how many entries each has; one with over ``most`` stands several times."""
     t, n = np.unique(text, return_counts=True)
@@ -283,7 +295,7 @@ def _bucketed(docs: DataFrame, width: int, gram: int, buckets: int) -> DataFrame
             for a, b in zip(edges[:-1], edges[1:]):
                 t, n = _counted(text[a:b])
                 packed = _pack(h[a:b], _ANCHOR), keys[a:b].tobytes(), _pack_parts(part[a:b])
-                rows.append((int(bucket[a]), *packed, ids[t].astype("<i8").tobytes(), n.astype("<u2").tobytes()))
+                rows.append((int(bucket[a]), *packed, _pack_ids(ids[t]), n.astype("<u2").tobytes()))
             cols = list(zip(*rows)) or [()] * 6
             names = ["bucket", "hashes", "keys", "parts", "ids", "counts"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(cols)], names)
@@ -322,7 +334,7 @@ def _shared(bucketed: DataFrame, blocks: int) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         h, keys = _unpack(pdf["hashes"], _ANCHOR), np.frombuffer(b"".join(pdf["keys"]), "<u8")
-        ids = np.concatenate([np.repeat(np.frombuffer(i, "<i8"), np.frombuffer(n, "<u2")) for i, n in zip(pdf["ids"], pdf["counts"])])
+        ids = np.concatenate([np.repeat(_unpack_ids(i, len(n) // 2), np.frombuffer(n, "<u2")) for i, n in zip(pdf["ids"], pdf["counts"])])
         order = np.argsort(h, kind="stable")
         first = np.flatnonzero(np.append(True, np.diff(h[order]) != 0))
         size = np.diff(np.append(first, len(h)))

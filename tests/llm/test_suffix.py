@@ -53,6 +53,12 @@ def test_remove_repeats_matches_brute_force(spark):
     assert suffix_dedup.remove_repeats(docs(spark, [])).collect() == []
 
 
+def test_ids_are_packed():
+    for ids in ([5], [0, 2**32 - 1, 7], [0, 2**32], [-3, 4], [-(2**63), 2**63 - 1, 0], [2**63 - 1]):
+        a = np.array(ids, np.int64)
+        assert suffix_dedup._unpack_ids(suffix_dedup._pack_ids(a), len(a)).tolist() == ids
+
+
 def test_counts_are_split():
     text = np.repeat([3, 5, 9], [4, 11, 1])
     for most in (1, 3, 4, 100):
