@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .checkpoint import cut
-from .text import buffers, prefix_hash, range_hash, slices, word_spans
+from .text import buffers, hashed_words, slices
 
 #: Words that may stand between those of a window in a proximity match.
 SLOP = 2
@@ -72,8 +72,8 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, first word of each text)."""
-    low, ws, we, first = word_spans(*buffers(texts))
-    return range_hash(prefix_hash(low), ws, we), first.astype(np.int64)
+    h, _, first = hashed_words(*buffers(texts))
+    return h, first.astype(np.int64)
 
 
 def windows_of(items: list[tuple[int, str]], size: int) -> Windows:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import buffers, slices
+from .text import buffers, pieces, slices
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 #: Distinct stretches whose ids a task remembers at most.
@@ -97,16 +97,31 @@ class WordTokenizer:
         """(all ids, the end of each text in them), from the texts' bytes and offsets."""
         data = raw.tobytes()
         if not any(s in data for s in self.special):
-            return self._parted(raw, at)
+            return self._pieces(raw, at)
         out, ends, total = [], [], 0
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
             held = any(data.find(s, a, b) >= 0 for s in self.special)
-            ids = np.array(self._whole(data[a:b].decode("utf-8")), np.uint32) if held else self._parted(raw[a:b], np.array([0, b - a]))[0]
+            ids = np.array(self._whole(data[a:b].decode("utf-8")), np.uint32) if held else self._pieces(raw[a:b], np.array([0, b - a]))[0]
             total += len(ids)
             out.append(ids)
             ends.append(total)
         return np.concatenate(out), np.array(ends)
 
+    def _pieces(self, raw: np.ndarray, at: np.ndarray, most: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """``_parted`` of parts that end at white space: what is held besides the ids does not grow with a text."""
+        if len(raw) <= most:
+            return self._parted(raw, at)
+        out, ends, total = [], np.zeros(len(at) - 1, np.int64), 0
+        for a, b in pieces(raw, _KIND > 0, most):
+            first, last = np.searchsorted(at, a, "right"), np.searchsorted(at, b)
+            ids, own = self._parted(raw[a:b], np.concatenate(([a], at[first:last], [b])) - a)
+            # texts that end in this part, the last one perhaps with it, and all behind it
+            ends[first - 1 : last] = total + own
+            out.append(ids)
+            total += len(ids)
+            ends[last:] = total
+        return np.concatenate(out), ends
+
     def _parted(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         kind = _KIND[raw]
         cut = np.zeros(len(raw) + 1, bool)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .checkpoint import cut
-from .text import buffers, mix, prefix_hash, range_hash, slices, word_spans
+from .text import buffers, hashed_words, mix, slices
 
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?\n"]] = True
@@ -56,10 +56,10 @@ def part_starts(raw: np.ndarray, at: np.ndarray, reach: int | None) -> np.ndarra
     begin = sentence_starts(raw, at)
     if reach is None:
         return begin
-    low, ws, we, _ = word_spans(raw, at)
+    w, ws, _ = hashed_words(raw, at)
     if not len(ws):
         return begin
-    w = mix(range_hash(prefix_hash(low), ws, we))
+    w = mix(w)
     first = np.searchsorted(ws, begin)  # of each sentence; the word before ends one
     r = np.zeros(len(w) + 2 * reach, np.uint64)
     r[reach : reach + len(w) - 1] = mix(w[:-1] + mix(w[1:])) | np.uint64(1)
@@ -78,8 +78,8 @@ def part_starts(raw: np.ndarray, at: np.ndarray, reach: int | None) -> np.ndarra
 def spans_of(raw: np.ndarray, at: np.ndarray, sentences: int, least_words: int, reach: int | None = None):
     """(hash, text, start, stop) of all spans, in sentences of their text."""
     begin = part_starts(raw, at, reach)
-    low, ws, we, _ = word_spans(raw, at)
-    w = mix(range_hash(prefix_hash(low), ws, we))
+    w, ws, _ = hashed_words(raw, at)
+    w = mix(w)
     first_word = np.append(np.searchsorted(ws, begin), len(ws))  # of each sentence
     of_text = np.searchsorted(begin, at)
     text = np.repeat(np.arange(len(at) - 1), np.diff(of_text))

@@ -114,13 +114,41 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return low, starts, ends, np.searchsorted(starts, at)
 
 
+def pieces(raw: np.ndarray, inside: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of consecutive parts of the buffer of about ``most`` bytes; none ends between two bytes of which
+    ``inside``, a table by byte, is true."""
+    start = 0
+    while start < len(raw):
+        end = min(len(raw), start + most)
+        while end < len(raw) and inside[raw[end]]:
+            part = inside[raw[end : end + 4096]]
+            end += len(part) if part.all() else int(part.argmin())
+        yield start, end
+        start = end
+
+
+_WORD_BYTE = np.frombuffer(WORD_TABLE, np.uint8) != 32
+
+
+def hashed_words(raw: np.ndarray, at: np.ndarray, most: int = 4 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start of every word, first word of each text), as in ``word_spans``; a large buffer is taken in parts, so that
+    what is held is some 16 bytes a word."""
+    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in pieces(raw, _WORD_BYTE, most):
+        inner = at[np.searchsorted(at, a, "right") : np.searchsorted(at, b)] - a
+        low, ws, we, _ = word_spans(raw[a:b], np.concatenate(([0], inner, [b - a])))
+        hashes.append(range_hash(prefix_hash(low), ws, we))
+        starts.append(ws + a)
+    start = np.concatenate(starts)
+    return np.concatenate(hashes), start, np.searchsorted(start, at)
+
+
 def shingles(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of every k consecutive words, the text of each). A text of fewer words, but not none, has one."""
-    low, starts, ends, first = word_spans(raw, at)
+    w, _, first = hashed_words(raw, at)
     n = np.diff(first)
-    if not len(starts):
+    if not len(w):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    w = range_hash(prefix_hash(low), starts, ends)
     count = np.where(n >= k, n - k + 1, (n > 0).astype(n.dtype))
     text = np.repeat(np.arange(len(n)), count)
     begin = np.concatenate(([0], np.cumsum(count)))[:-1]

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from tallyloom.llm import langid, packing, topk, toxicity
+from tallyloom.llm import langid, packing, text, topk, toxicity
 
 from .helpers import ODD_TEXTS, docs, words
 
@@ -176,6 +176,23 @@ def test_packing_odd_texts(spark):
     assert packing.pack(docs(spark, []), "unused").collect() == []
 
 
+def test_long_texts_are_taken_in_pieces():
+    """Words and ids do not depend on where a buffer is parted."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    texts = [*ODD_TEXTS, "", *(" ".join(rng.choice(["ab", "c-d!", "\u00e9t\u00e9", "it's", "x" * 90, "\n\n"], rng.integers(0, 60))) for _ in range(40)), "y" * 3000, None, ""]
+    for own in (texts, texts[::-1], ["a b"], [""], [None, None]):
+        raw, at = text.buffers(pa.array(own, pa.string()))
+        model = packing.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+        whole, parted = text.hashed_words(raw, at), model._parted(raw, at)
+        for most in (1, 7, 64, 1000):
+            assert all(np.array_equal(a, b) for a, b in zip(whole, text.hashed_words(raw, at, most)))
+            assert all(np.array_equal(a, b) for a, b in zip(parted, model._pieces(raw, at, most)))
+        assert [int(n) for n in np.diff(whole[2])] == [len(words(t)) for t in own]
+
+
 def test_packing_takes_the_lowest_cost():
     """Remainders in descending order, each to the cheapest sequence with room, by trying every sequence."""
     rng = np.random.default_rng(8)
