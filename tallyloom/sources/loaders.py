@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import position
 from ..operators import activity as A
 from ..spec import MOOC, VLE
-from .tables import read_archive, read_archive_csv, read_csv
+from .tables import read_archive_csv
 
 #: Member files, in the order in which their rows count, and columns.
 MOOC_LOGS, MOOC_TRUTHS = ("train_log.csv", "test_log.csv"), ("train_truth.csv", "test_truth.csv")
@@ -90,6 +90,3 @@ def read_vle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     key = ("code_module", "code_presentation", "id_student")
     info = rows("studentInfo.csv", *key, "final_result")
     return vle(info, rows("vle.csv", "id_site", "activity_type"), rows("studentVle.csv", *key, "id_site", "date", "sum_click"))
-
-
-__all__ = ["mooc", "read_archive", "read_csv", "read_mooc", "read_vle", "required", "vle"]
