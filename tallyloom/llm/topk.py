@@ -286,7 +286,7 @@ def _chunk(rows: list, floor: dict[int, int]) -> dict:
     return out
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, data_block: int = 4_096, query_bytes: int = 64 << 20, first_round: int = 16) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, data_block: int = 4_096, query_bytes: int = 32 << 20, first_round: int = 16) -> DataFrame:
     """query_id, rank, vec_id, score. Both tables have vec_id and embedding (array of numbers)."""
     data, asked = _clean(vectors), _clean(queries).distinct()
     context = vectors.sparkSession.sparkContext
