@@ -40,6 +40,8 @@ from .text import buffers, mix, shingles, slices
 
 #: Counts are whole; products with a threshold such as 0.8 may lie this little above one.
 SLACK = 1e-6
+#: Bytes of text that a task takes at a time.
+PIECE = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,7 +97,7 @@ def band_keys(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """doc_id, key (of the text) and bands (hashes; empty without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", PIECE):
             e, w, first = multisets(*buffers(batch.column("text")), k)
             sig = signatures(e, w, first, bands * rows).view(np.uint64).reshape(-1, bands, rows)
             h = np.zeros(sig.shape[:2], np.uint64)
@@ -119,7 +121,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Data
     """The pairs (a, b) whose texts (id, text) have multiset similarity of threshold or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(slices(batches, "ta", 4 << 20), "tb", 4 << 20):
+        for batch in slices(slices(batches, "ta", PIECE), "tb", PIECE):
             ea, wa, fa = multisets(*buffers(batch.column("ta")), k)
             eb, wb, fb = multisets(*buffers(batch.column("tb")), k)
             keep = np.zeros(batch.num_rows, bool)
@@ -179,7 +181,7 @@ def linkable(ids: DataFrame, texts: DataFrame, k: int, threshold: float, passes:
     What only they shared with the rest no longer counts in the next pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", PIECE):
             e, w, first = multisets(*buffers(batch.column("text")), k)
             owner = np.repeat(batch.column("id").to_numpy(), np.diff(first))
             yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(e.view(np.int64)), pa.array(w)], ["id", "element", "w"])

@@ -35,6 +35,8 @@ from .text import buffers, slices, WORD_TABLE
 BITS = 22
 LEVELS = (1, 2, 4)
 MEMO = 100_000
+#: Bytes of text that a task takes at a time.
+PIECE = 2 << 20
 
 
 def terms_of(word: bytes) -> list[int]:
@@ -64,7 +66,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
     """term, documents with it by class, from rows (text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             count = Counter(), Counter()
             for toxic, found in zip(batch.column("toxic").to_pylist(), _word_sets(batch)):
                 count[toxic].update(levelled(found))
@@ -168,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, n_terms: int
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             found = [sent.value.features(x) for x in _word_sets(batch)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("toxic")], ["f", "toxic"])
 
@@ -185,7 +187,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             p = m.score([m.features(x) for x in _word_sets(batch)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"]
@@ -200,7 +202,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             yield batch.filter(pa.array(m.score([m.features(x) for x in _word_sets(batch)]) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
