@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, collocations, decontam, langid, license_scan, near_dedup, packing, sentence_dedup, suffix_dedup, topk, toxicity
+from . import chat, collocations, decontam, filter_audit, langid, license_scan, near_dedup, packing, quality, sentence_dedup, suffix_dedup, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_chat_format": chat.op9_chat_format,
         "op10_top_k": topk.op10_top_k,
+        "op11_quality": quality.op11_quality,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
         "op13_collocations": collocations.op13_collocations,
     }
 
@@ -34,5 +36,8 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": decontam.OP4_SQL,
         "op9_chat_format": chat.OP9_SQL,
         "op10_top_k": topk.OP10_SQL,
+        "op11_quality": quality.op11_quality,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op12_filter_audit": filter_audit.OP12_SQL,
         "op13_collocations": collocations.OP13_SQL,
     }
