@@ -45,10 +45,10 @@ _INSIDE = np.frombuffer(PIECE_TABLE, np.uint8) != 10
 #: Stands between pieces in the list of words; no word has the byte.
 STOP = b"!"
 #: Words of a shard, in all its languages.
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 2_000_000
 PART = 4 << 20
 MOST_BITS = 1 << 30
-ROWS = 250_000
+ROWS = 100_000
 
 
 def shards(docs: DataFrame, most: int = SHARD_WORDS) -> DataFrame:
@@ -219,7 +219,8 @@ def counted(shard: DataFrame, sizes: range, known: Filter | None, least: int) ->
                         )
 
     found = shard.select("lang", "vocabulary", "ids").mapInArrow(run, "lang string, phrase string, a bigint")
-    return found.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    # a shard has a row for each phrase: without this, Spark would build a table of them before the shuffle too
+    return found.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
 def _joined(words: Column, start: Column | int, length: Column | int) -> Column:
