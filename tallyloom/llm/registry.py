@@ -36,8 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": decontam.OP4_SQL,
         "op9_chat_format": chat.OP9_SQL,
         "op10_top_k": topk.OP10_SQL,
-        "op11_quality": quality.op11_quality,
-        "op12_filter_audit": filter_audit.op12_filter_audit,
         "op12_filter_audit": filter_audit.OP12_SQL,
         "op13_collocations": collocations.OP13_SQL,
     }
