@@ -9,10 +9,11 @@ with its count. Counts are merged by language and phrase.
 
 Longer phrases are counted only where they can be frequent: a phrase is no more
 frequent than its words and its pairs. Shards are cut at words, then at pairs,
-that a Bloom filter of the frequent ones does not hold. It is sized by their
-number, at most ``MOST_BITS`` bits, whatever the input; where it is full, more
-infrequent phrases are counted and shuffled, none is lost. Counts, scores and
-the phrases dropped are exact.
+that a Bloom filter of the frequent ones does not hold; of what is left, hashes
+are counted first, and only phrases whose hash is frequent are then counted by
+their text. Filters are sized by what they hold, at most ``MOST_BITS`` bits,
+whatever the input; where one is full, more infrequent phrases are counted and
+shuffled, none is lost. Counts, scores and the phrases dropped are exact.
 
 Defined results: null text is empty; null language is ``und``; repeated rows
 count as often as they stand there; a language without a candidate has no rows;
@@ -24,7 +25,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import count
 
@@ -142,8 +143,12 @@ def hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a + mix(b))
+def folded(h: list[np.ndarray]) -> np.ndarray:
+    """Hashes of phrases from those of their words, below 2 ** 40."""
+    out = h[0]
+    for x in h[1:]:
+        out = mix(out + mix(x))
+    return mix(out) >> np.uint64(24)
 
 
 class Filter:
@@ -155,68 +160,94 @@ class Filter:
     def places(self, h: np.ndarray) -> list[np.ndarray]:
         return [mix(h + np.uint64(k)) & np.uint64(self.bits - 1) for k in range(3)]
 
-    def __contains__(self, h: np.ndarray):
-        raise TypeError("use has")
-
     def has(self, h: np.ndarray) -> np.ndarray:
         return reduce(np.logical_and, ((self.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) > 0 for p in self.places(h)))
 
 
-def frequent_filter(phrases: DataFrame, most_bits: int = MOST_BITS) -> Filter:
-    """Of phrases (lang, phrase) of one or two words; some 16 bits a phrase, ``most_bits`` at most. The driver gets the bits."""
-    n = phrases.count()
-    out = Filter(min(most_bits, 1 << max(10, math.ceil(math.log2(16 * n + 1)))))
+def bloom(df: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], most_bits: int = MOST_BITS) -> Filter:
+    """A filter of the hashes of df's rows; some 16 bits a row, ``most_bits`` at most. The driver gets the bits, not the rows."""
+    out = Filter(min(most_bits, 1 << max(10, math.ceil(math.log2(16 * df.count() + 1)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros(0, np.uint64)]
-            langs, words = np.array(batch.column("lang").to_pylist(), object), [p.encode("utf-8", "surrogatepass").split(b" ") for p in batch.column("phrase").to_pylist()]
-            for lang in sorted(set(langs)):
-                own = [words[i] for i in np.flatnonzero(langs == lang)]
-                h = [hashes(lang, [w[k] for w in own if len(w) == size]) for size in (1, 2) for k in range(size)]
-                found += [h[0], paired(h[1], h[2])]
-            place = np.unique(np.concatenate([p for h in found for p in out.places(h)]))
+            place = np.unique(np.concatenate(out.places(of(batch))))
             slot, first = np.unique(place >> np.uint64(6), return_index=True)
             bits = np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), first) if len(place) else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(slot.view(np.int64)), pa.array(bits.view(np.int64))], ["slot", "bits"])
 
-    table = phrases.select("lang", "phrase").mapInArrow(run, "slot bigint, bits bigint").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = df.mapInArrow(run, "slot bigint, bits bigint").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     out.words[table.column("slot").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def counted(shard: DataFrame, sizes: range, known: Filter | None, least: int) -> DataFrame:
-    """lang, phrase, a: the n-grams of ``sizes`` that stand at least ``least`` times, if ``known`` holds all that are frequent
-    of the words (for pairs) or of the pairs (for longer ones)."""
+def phrase_hashes(batch: pa.RecordBatch) -> np.ndarray:
+    """Of rows (lang, phrase), in any order."""
+    found, langs = [np.zeros(0, np.uint64)], np.array(batch.column("lang").to_pylist(), object)
+    words = [p.encode("utf-8", "surrogatepass").split(b" ") for p in batch.column("phrase").to_pylist()]
+    for lang in sorted(set(langs)):
+        own = [words[i] for i in np.flatnonzero(langs == lang)]
+        for size in {len(w) for w in own}:
+            found.append(folded([hashes(lang, [w[k] for w in own if len(w) == size]) for k in range(size)]))
+    return np.concatenate(found)
+
+
+def _read(batches: Iterator[pa.RecordBatch], sizes: range, known: Filter | None) -> Iterator[tuple]:
+    """(lang, words, their hashes, ids cut where no frequent phrase can be) of each shard."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            lang, blob, ids = (batch.column(c)[row].as_py() for c in ("lang", "vocabulary", "ids"))
+            words, ids = [b"", *blob.split(b" ")] if blob else [b""], np.frombuffer(ids, np.int32)
+            h = hashes(lang, words) if sizes[0] > 1 else None
+            if sizes[0] == 2:
+                good = known.has(folded([h]))
+                good[0] = False
+                good = good[ids]
+                ids = linked(ids, good[:-1] & good[1:], 2)
+            elif sizes[0] > 2:
+                link = (ids[:-1] > 0) & (ids[1:] > 0)
+                at = np.flatnonzero(link)
+                link[at] = known.has(folded([h[ids[at]], h[ids[at + 1]]]))
+                ids = linked(ids, link, sizes[0])
+            yield lang, words, h, ids
+
+
+def likely(shard: DataFrame, sizes: range, known: Filter, least: int) -> DataFrame:
+    """hash of the n-grams whose hash stands at least ``least`` times: the frequent ones, and others by chance.
+
+    A row packs the 40 bits of a hash with a count up to 255, so that what is shuffled is small; larger counts take several."""
     sent = shard.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                lang, blob, ids = (batch.column(c)[row].as_py() for c in ("lang", "vocabulary", "ids"))
-                words, ids = [b"", *blob.split(b" ")] if blob else [b""], np.frombuffer(ids, np.int32)
-                if sizes[0] > 1:
-                    h = hashes(lang, words)
-                    if sizes[0] == 2:
-                        good = sent.value.has(h)
-                        good[0] = False
-                        good = good[ids]
-                        link = good[:-1] & good[1:]
-                    else:
-                        link = (ids[:-1] > 0) & (ids[1:] > 0)
-                        at = np.flatnonzero(link)
-                        link[at] = sent.value.has(paired(h[ids[at]], h[ids[at + 1]]))
-                    ids = linked(ids, link, sizes[0])
-                vocabulary = pa.array(words, pa.binary())
-                for n, place, times in intervals(ids, sizes):
-                    for a in range(0, len(place), ROWS):
-                        p = place[a : a + ROWS]
-                        parts = [vocabulary.take(pa.array(ids[p + k])) for k in range(n)]
-                        phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if n > 1 else parts[0]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang]).take(pa.array(np.zeros(len(p), np.int64))), phrase.cast(pa.string()), pa.array(times[a : a + ROWS].astype(np.int64))],
-                            ["lang", "phrase", "a"],
-                        )
+        for _, _, h, ids in _read(batches, sizes, sent.value):
+            for n, place, times in intervals(ids, sizes):
+                key = (folded([h[ids[place + k]] for k in range(n)]) << np.uint64(8)).astype(np.int64)
+                more = np.repeat(key + 255, times // 255)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((key + times % 255, more)))], ["packed"])
+
+    packed = shard.select("lang", "vocabulary", "ids").mapInArrow(run, "packed bigint").withColumn("hash", F.shiftright("packed", 8))
+    total = packed.repartition("hash").groupBy("hash").agg(F.sum(F.col("packed").bitwiseAND(F.lit(255))).alias("a"))
+    return total.where(F.col("a") >= least).select("hash")
+
+
+def counted(shard: DataFrame, sizes: range, known: Filter | None, seen: Filter | None, least: int) -> DataFrame:
+    """lang, phrase, a: the n-grams of ``sizes`` that stand at least ``least`` times, if ``known`` holds all that are frequent
+    of the words (for pairs) or of the pairs (for longer ones), and ``seen`` the hashes of all that are."""
+    sent = shard.sparkSession.sparkContext.broadcast((known, seen))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = sent.value
+        for lang, words, h, ids in _read(batches, sizes, known):
+            vocabulary = pa.array(words, pa.binary())
+            for n, place, times in intervals(ids, sizes):
+                if seen is not None:
+                    some = seen.has(folded([h[ids[place + k]] for k in range(n)]))
+                    place, times = place[some], times[some]
+                for a in range(0, len(place), ROWS):
+                    p = place[a : a + ROWS]
+                    parts = [vocabulary.take(pa.array(ids[p + k])) for k in range(n)]
+                    phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if n > 1 else parts[0]
+                    langs = pa.array([lang]).take(pa.array(np.zeros(len(p), np.int64)))
+                    yield pa.RecordBatch.from_arrays([langs, phrase.cast(pa.string()), pa.array(times[a : a + ROWS].astype(np.int64))], ["lang", "phrase", "a"])
 
     found = shard.select("lang", "vocabulary", "ids").mapInArrow(run, "lang string, phrase string, a bigint")
     # a shard has a row for each phrase: without this, Spark would build a table of them before the shuffle too
@@ -268,11 +299,14 @@ def collocations(docs: DataFrame, max_words: int = 4, least: int = 30, covered:
 
     shard = written(shards(docs), "shards")
     total = written(shard.groupBy("lang").agg(F.sum("n").alias("n")), "total")
-    phrases = written(counted(shard, range(1, 2), None, least), "words")
+    phrases = written(counted(shard, range(1, 2), None, None, least), "words")
     known = phrases
     for name, sizes in (("pairs", range(2, 3)), ("longer", range(3, max_words + 1))):
         if len(sizes) and max_words >= sizes[0]:
-            known = written(counted(shard, sizes, frequent_filter(known), least), name)
+            frequent = bloom(known, phrase_hashes)
+            hashed = written(likely(shard, sizes, frequent, least), f"{name}_hashes")
+            seen = bloom(hashed, lambda batch: batch.column("hash").to_numpy().view(np.uint64))
+            known = written(counted(shard, sizes, frequent, seen, least), name)
             phrases = phrases.unionByName(known)
     remove(spark, f"{folder}/shards")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]

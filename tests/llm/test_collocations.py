@@ -69,12 +69,12 @@ def test_small_shards_parts_and_full_filters(spark, monkeypatch):
     parted = collocations.shards(docs, 50)
     total = lambda s: {tuple(r) for r in s.groupBy("lang").sum("n").collect()}
     assert total(whole) == total(parted) and parted.count() > 20
-    words = collocations.counted(parted, range(1, 2), None, 10)
-    full = collocations.frequent_filter(words, 64)
+    words = collocations.counted(parted, range(1, 2), None, None, 10)
+    full = collocations.bloom(words, collocations.phrase_hashes, 64)
     assert full.bits == 64
     for n in (2, 3):
-        counted = [{tuple(r) for r in collocations.counted(s, range(n, n + 1), k, 10).collect()} for s, k in ((whole, full), (parted, full))]
-        assert counted[0] == counted[1] and counted[0]
+        counted = [{tuple(r) for r in collocations.counted(s, range(n, n + 1), full, seen, 10).collect()} for s, seen in ((whole, None), (parted, full), (parted, None))]
+        assert counted[0] == counted[1] == counted[2] and counted[0]
 
 
 def test_suffix_order_and_intervals_match_sorted_suffixes():
@@ -101,11 +101,16 @@ def test_linked_runs():
 
 def test_filter_holds_all_it_was_given(spark):
     rows = [("en", f"w{i}") for i in range(500)] + [("fr", f"a{i} b{i}") for i in range(500)]
-    f = collocations.frequent_filter(spark.createDataFrame(rows, "lang string, phrase string").repartition(4))
-    assert f.has(collocations.hashes("en", [f"w{i}".encode() for i in range(500)])).all()
-    pair = [collocations.hashes("fr", [f"{x}{i}".encode() for i in range(500)]) for x in "ab"]
-    assert f.has(collocations.paired(*pair)).all()
-    assert f.has(collocations.hashes("fr", [f"w{i}".encode() for i in range(500)])).mean() < 0.2
+    f = collocations.bloom(spark.createDataFrame(rows, "lang string, phrase string").repartition(4), collocations.phrase_hashes)
+    of = lambda lang, *names: collocations.folded([collocations.hashes(lang, [f"{x}{i}".encode() for i in range(500)]) for x in names])
+    assert f.has(of("en", "w")).all() and f.has(of("fr", "a", "b")).all() and f.has(of("fr", "w")).mean() < 0.2
+
+
+def test_counts_beyond_a_byte(spark):
+    """Packed counts: 1000 times a pair in one shard, 29 and 30 times others."""
+    rows = [("en", "a b. " * 1000), ("en", "c d. " * 29), ("en", "e f. " * 30)]
+    assert {v[0]: v[1] for v in mined(spark, rows).values()} == {"a b": 1000, "e f": 30}
+    assert {v[0] for v in mined(spark, rows, least=600).values()} == {"a b"}
 
 
 def test_nothing(spark):
