@@ -37,8 +37,8 @@ SPECIAL = b"#$%&*|"
 _CAPITALS = bytes(range(65, 91))
 #: Bytes of different texts that a task holds before it sends them on.
 HELD = 32 << 20
-#: Partitions for each of the input's.
-SPREAD = 4
+#: Bytes of text for each partition of the routed rows.
+ROUTED = 16 << 20
 REPEATED = 1 << FILTERS.index("E")
 
 
@@ -111,7 +111,8 @@ def masks(docs: DataFrame, fingerprint: Column | None = None) -> DataFrame:
     text = F.coalesce("text", F.lit("")).alias("text")
     rows = docs.select(F.col("doc_id").cast("bigint"), text, F.coalesce("lang", F.lit("")).alias("part"))
     rows = rows.withColumn("fingerprint", F.xxhash64("text") if fingerprint is None else fingerprint).rdd
-    parts = SPREAD * max(rows.getNumPartitions(), rows.context.defaultParallelism)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(rows.context.defaultParallelism, size // ROUTED)
     routed = rows.mapPartitions(settle).repartitionAndSortWithinPartitions(parts, partitionFunc=lambda h: h ^ h >> 32)
     out = routed.mapPartitions(resolve)
     return docs.sparkSession.createDataFrame(out, "doc_id bigint, part string, mask int, n bigint", verifySchema=False)
