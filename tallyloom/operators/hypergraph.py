@@ -4,6 +4,8 @@ Edges stay exploded as (edge, node) rows; no edge's members are ever gathered in
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,12 +75,14 @@ def causal_user_edges(nodes: DataFrame) -> DataFrame:
     return pairs.join(several, "v").select(F.col("v").alias("edge_key"), F.lit("user").alias("family"), F.col("u").alias("node_id"), (F.col("u") == F.col("v")).alias("receives"))
 
 
-def causal_sums(nodes: DataFrame, columns: list[str]) -> DataFrame:
+def causal_sums(nodes: DataFrame, columns: list[str], later: bool = False) -> DataFrame:
     """node_id, size and, for each column, its sum over the learner's enrollments begun no later, itself among them.
 
-    nodes: node_id, user_id, start_day and the columns. Running sums by learner and day: no pair is written out."""
+    nodes: node_id, user_id, start_day and the columns; later: over those begun no earlier instead. Running sums by
+    learner and day: no pair is written out, and a learner's rows are summed by all tasks."""
     day = nodes.groupBy("user_id", "start_day").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_{c}") for c in columns))
-    upto = running_sums(day, ["user_id"], [F.asc("start_day")], {"size": "_n", **{c: f"_{c}" for c in columns}}).select("user_id", "start_day", "size", *columns)
+    order = F.desc("start_day") if later else F.asc("start_day")
+    upto = running_sums(day, ["user_id"], [order], {"size": "_n", **{c: f"_{c}" for c in columns}}).select("user_id", "start_day", "size", *columns)
     return nodes.select("node_id", "user_id", "start_day").join(upto, ["user_id", "start_day"]).select("node_id", "size", *columns)
 
 
@@ -140,9 +144,13 @@ class Propagator:
     """Degree-normalised propagation over one graph, whose sizes and degrees are summed once for any number of hops.
 
     Two sums a hop: node to edge, then edge to receiving node. Nodes and edges are never multiplied out; sums are
-    combined before the shuffle, so that an edge of all nodes costs a row per task."""
+    combined before the shuffle, so that an edge of all nodes costs a row per task.
+
+    causal: nodes (node_id, user_id, start_day) whose causal edges, as of ``causal_user_edges``, are added without a row of
+    them: what such an edge gathers is a running sum over its learner's days, forward from senders to the receiver and,
+    in ``back``, from the last day to the first."""
 
-    def __init__(self, graph: DataFrame, weights: dict[str, float] | None = None):
+    def __init__(self, graph: DataFrame, weights: dict[str, float] | None = None, causal: DataFrame | None = None):
         root = lambda c: F.sqrt(F.greatest(c, F.lit(1e-6)))
         w, one = _weight(weights), F.lit(1)
         h = coalesced(graph)
@@ -156,6 +164,21 @@ class Propagator:
             sized = h.join(few, "edge_id").unionByName(h.join(few, "edge_id", "left_anti").join(size, "edge_id"))
         # repeats count in the degree; receiving edges give the receiver's degree
         d = h.groupBy("node_id").agg(F.sum(F.col("h") * w).alias("d"), F.sum(F.when(F.col("receives"), F.col("h") * w)).alias("d_in"))
+        self.causal = None
+        if causal is not None:
+            user = float((weights or {}).get("user", 1.0))
+            own = causal.select("node_id", "user_id", "start_day")
+            # an edge has its receiver's number, and is one if it has another member
+            edge = causal_sums(own, []).select("node_id", "size", (F.col("size") >= 2).cast("double").alias("is_edge"))
+            edge = cut(own.join(edge, "node_id"))
+            sends = causal_sums(edge, ["is_edge"], later=True).select("node_id", F.col("is_edge").alias("edges"))
+            d = edge.join(sends, "node_id").join(d, "node_id", "left").select(
+                "node_id", "user_id", "start_day", "size", "is_edge", (F.coalesce("d", F.lit(0.0)) + user * F.col("edges")).alias("d"),
+                (F.coalesce("d_in", F.lit(0.0)) + user * F.col("is_edge")).alias("d_in"),
+            )
+            d = cut(d)
+            down = F.col("is_edge") * user / F.col("size") / root(F.col("d_in"))
+            self.causal = cut(d.select("node_id", "user_id", "start_day", (one / root(F.col("d"))).alias("up"), down.alias("down")))
         d = d.select("node_id", (one / root(F.col("d"))).alias("out_root"), (one / root(F.col("d_in"))).alias("in_root"))
         self.members = cut(sized.join(d, "node_id").select(
             "edge_id", "node_id", "receives", (F.col("h") * F.col("out_root")).alias("up"),
@@ -164,18 +187,40 @@ class Propagator:
 
     def hop(self, x: DataFrame, columns: list[str]) -> DataFrame:
         """The columns of x (node_id, ...) after one hop; 0 for nodes that receive nothing."""
+        return self._moved(x, columns, False)
+
+    def back(self, g: DataFrame, columns: list[str]) -> DataFrame:
+        """The transpose of ``hop``: from gradients by what a hop returns to gradients by what it was given."""
+        return self._moved(g, columns, True)
+
+    def _moved(self, x: DataFrame, columns: list[str], back: bool) -> DataFrame:
+        first, last = ("down", "up") if back else ("up", "down")
         sums = lambda factor: [F.sum(F.col(factor) * F.col(c)).alias(c) for c in columns]
-        up = self.members.join(x.select("node_id", *columns), "node_id").groupBy("edge_id", "large").agg(*sums("up"))
-        sent = self.members.where("receives")
+        receivers = self.members.where("receives")
+        start, sent = (receivers, self.members) if back else (self.members, receivers)
+        up = start.join(x.select("node_id", *columns), "node_id").groupBy("edge_id", "large").agg(*sums(first))
         if self.broadcast:
             few, own = F.broadcast(up.where("large").drop("large")), up.where("not large").drop("large")
             reached = sent.where("not large").join(own, "edge_id").unionByName(sent.where("large").join(few, "edge_id"))
         else:
             reached = sent.join(up.drop("large"), "edge_id")
-        got = reached.groupBy("node_id").agg(*sums("down"))
+        got = reached.groupBy("node_id").agg(*sums(last))
+        if self.causal is not None:
+            own = self.causal.join(x.select("node_id", *columns), "node_id").select("node_id", "user_id", "start_day", *((F.col(first) * F.col(c)).alias(c) for c in columns))
+            gathered = causal_sums(own, columns, later=back).join(self.causal.select("node_id", last), "node_id")
+            got = got.unionByName(gathered.select("node_id", *((F.col(last) * F.col(c)).alias(c) for c in columns)))
+            got = got.groupBy("node_id").agg(*(F.sum(c).alias(c) for c in columns))
         return x.select("node_id").join(got, "node_id", "left").select("node_id", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in columns))
 
 
+def scenario_propagator(graph: DataFrame, nodes: DataFrame, scenario: Scenario, seed: int = 1, weights: dict[str, float] | None = None) -> Propagator:
+    """Of the scenario's graph; causal edges are never written out. nodes needs user_id and start_day where it is causal."""
+    if not scenario.causal:
+        return Propagator(scenario_graph(graph, nodes, scenario, seed, dense=False), weights)
+    rest = replace(scenario, causal=False, families=tuple(f for f in scenario.families if f != "user"))
+    return Propagator(scenario_graph(graph, nodes, rest, seed, dense=False), weights, nodes)
+
+
 def propagate(x: DataFrame, graph: DataFrame, columns: list[str], weights: dict[str, float] | None = None) -> DataFrame:
     """One hop of ``Propagator``."""
     return Propagator(graph, weights).hop(x, columns)

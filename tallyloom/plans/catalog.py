@@ -411,14 +411,14 @@ def _total(spark, sf, n: DataFrame) -> DataFrame:
     return n.join(t, "enroll_id", "left").select("node_id", F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
-def _propagation(code: str, hops: int, weights: dict | None) -> Query:
+def _propagation(code: str, hops: int, weights: dict | None, back: bool = False) -> Query:
     def run(spark, sf):
         n, h = graph(spark, sf)
         n = started(n)
         x = _total(spark, sf, n)
-        graph_of = H.Propagator(H.scenario_graph(h, n, SCENARIOS[code], dense=False), weights)
+        graph_of = H.scenario_propagator(h, n, SCENARIOS[code], weights=weights)
         for _ in range(hops):
-            x = graph_of.hop(x, ["x"])
+            x = graph_of.back(x, ["x"]) if back else graph_of.hop(x, ["x"])
         return rounded(x)
 
     return run
@@ -436,6 +436,15 @@ for _name, _code, _hops, _weights in (
     _steps = ",".join(_propagate_sql(f"{_BASES[_code]} g", f"{'x0' if i == 0 else f'p{i - 1}'}", _w, f"p{i}") for i in range(_hops))
     SQL[_name] = _select(f"SELECT node_id, round(CAST(x AS DOUBLE), 6) AS x FROM p{_hops - 1}", f"{GRAPH}, {SHUFFLE}, {CAUSAL}, {TOTAL}, {_steps}")
 
+#: The transpose of a hop over causal edges, as training sends gradients back; here applied to the activity counts.
+QUERIES["propagate_causal_back"] = _propagation("UC", 1, WEIGHTS, back=True)
+SQL["propagate_causal_back"] = _select(f"""SELECT n.node_id, round(coalesce(z.x, 0), 6) AS x FROM node n LEFT JOIN (
+  SELECT node_id, sum(h * y) / r AS x FROM b_h JOIN b_y USING (edge_id) JOIN b_d USING (node_id) GROUP BY node_id, r) z USING (node_id)""", f"""{GRAPH}, {SHUFFLE}, {CAUSAL}, {TOTAL},
+b_h AS (SELECT edge_id, family, node_id, receives, count(*) AS h FROM {_BASES["UC"]} GROUP BY ALL),
+b_e AS (SELECT edge_id, family, any_value({_W}) / count(*) AS a FROM {_BASES["UC"]} GROUP BY edge_id, family),
+b_d AS (SELECT node_id, sqrt(greatest(sum({_W}), 1e-6)) AS r, sqrt(greatest(sum({_W}) FILTER (receives), 1e-6)) AS r_in FROM {_BASES["UC"]} GROUP BY 1),
+b_y AS (SELECT edge_id, a * sum(h * x / r_in) AS y FROM b_h JOIN x0 USING (node_id) JOIN b_d USING (node_id) JOIN b_e USING (edge_id) WHERE receives GROUP BY edge_id, a)""")
+
 
 # -- metrics ------------------------------------------------------------------------------------------------------
 

@@ -1,6 +1,7 @@
 import math
 import tarfile
 import zipfile
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -302,3 +303,42 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).first().prob == 0.12345679
     tables.write_csv(df, str(tmp_path / "o"))
     assert spark.read.option("header", True).csv(str(tmp_path / "o")).count() == 1
+
+
+def test_causal_edges_without_rows_propagate_as_with(small):
+    """Forward and back, with weights, ties of days and nodes outside every other edge."""
+    z, graph = small
+    weights = {"course": 0.5, "object": 2.0, "user": 1.5, "self_loop": 0.7}
+    for families in (SCENARIOS["UC"].families, ("user",), ("object", "user")):
+        scenario = replace(SCENARIOS["UC"], families=families)
+        explicit = H.Propagator(H.scenario_graph(graph, z, scenario, dense=False), weights)
+        implicit = H.scenario_propagator(graph, z, scenario, weights=weights)
+        for move in ("hop", "back"):
+            want, got = ({r.node_id: (r.a, r.b) for r in getattr(p, move)(z, ["a", "b"]).collect()} for p in (explicit, implicit))
+            assert set(got) == set(want) and max(abs(x - y) for i in want for x, y in zip(want[i], got[i])) < 1e-9
+
+
+def test_a_hop_and_its_transpose_agree(small):
+    """<hop(x), y> = <x, back(y)>."""
+    z, graph = small
+    p = H.scenario_propagator(graph, z, SCENARIOS["UC"])
+    x, y = ({r.node_id: r[c] for r in z.collect()} for c in ("a", "b"))
+    hop = {r.node_id: r.a for r in p.hop(z, ["a"]).collect()}
+    back = {r.node_id: r.b for r in p.back(z, ["b"]).collect()}
+    assert abs(sum(hop[i] * y[i] for i in y) - sum(x[i] * back[i] for i in x)) < 1e-9
+
+
+def test_a_learner_with_a_third_of_all_enrollments_writes_no_pairs(spark):
+    """20,000 enrollments of one learner: 200 million pairs would be written out. Against running sums in NumPy."""
+    n = 60_000
+    nodes = spark.range(n).selectExpr("id AS node_id", "IF(id % 3 = 0, -1, id % 25000) AS user_id", "CAST(id * 7919 % 365 AS INT) AS start_day", "CAST(id % 11 AS DOUBLE) AS x")
+    none = spark.createDataFrame([], "edge_id bigint, family string, node_id bigint, receives boolean")
+    p = H.scenario_propagator(none, nodes, SCENARIOS["UC"])
+    got = {r.node_id: r.x for r in p.hop(nodes, ["x"]).where("node_id % 3 = 0").collect()}
+    i = np.arange(0, n, 3)
+    day, x = i * 7919 % 365, (i % 11).astype(float)
+    size = np.array([(day <= t).sum() for t in range(365)])
+    sends = np.array([(day >= t).sum() for t in range(365)])  # every edge has a second member: days repeat
+    total = np.array([(x / np.sqrt(sends[day] + 1.0))[day <= t].sum() for t in range(365)])
+    want = (total[day] / size[day] + x / np.sqrt(sends[day] + 1.0)) / np.sqrt(2.0)
+    assert max(abs(got[k] - v) for k, v in zip(i.tolist(), want)) < 1e-9
