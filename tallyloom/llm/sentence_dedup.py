@@ -18,7 +18,8 @@ whole sentences. All of the above then goes by parts.
 
 Defined results: null and empty texts have no sentences; spans may overlap
 themselves (of a word repeated as many sentences the first stays); rows that
-share a doc_id count as the same place; rows without doc_id are kept as they
+share doc_id and text count as the same place, other texts of a doc_id as places of
+their own, in the order of a hash of the text; rows without doc_id are kept as they
 are; other columns pass through.
 """
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -39,7 +40,7 @@ _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?\n"]] = True
 #: Of ``op3_passage_dedup``: words of a span, and within how many a part ends where its hash is the smallest.
 PASSAGE_WORDS, PASSAGE_REACH = 16, 4
-SPAN = "hash bigint, doc_id bigint, start int, stop int"
+SPAN = "hash bigint, doc_id bigint, text_key int, start int, stop int"
 
 
 def sentence_starts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -104,38 +105,45 @@ def spans_of(raw: np.ndarray, at: np.ndarray, sentences: int, least_words: int,
     return h.view(np.int64), text, (s - base).astype(np.int32), (stop - base).astype(np.int32)
 
 
+def text_key() -> Column:
+    """Tells apart the texts of rows that share a doc_id."""
+    return F.shiftright(F.xxhash64(F.coalesce("text", F.lit(""))), 32).cast("int")
+
+
 def spans(docs: DataFrame, sentences: int = 3, least_words: int = 8, reach: int | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
             h, text, start, stop = spans_of(*buffers(batch.column("text")), sentences, least_words, reach)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.array(ids[text]), pa.array(start), pa.array(stop)], ["hash", "doc_id", "start", "stop"]
+                [pa.array(h), pa.array(ids[text]), batch.column("text_key").take(pa.array(text)), pa.array(start), pa.array(stop)],
+                ["hash", "doc_id", "text_key", "start", "stop"],
             )
 
-    known = docs.select(F.col("doc_id").cast("bigint"), "text").where(F.col("doc_id").isNotNull())
+    known = docs.select(F.col("doc_id").cast("bigint"), "text", text_key().alias("text_key")).where(F.col("doc_id").isNotNull())
     return known.mapInArrow(run, SPAN)
 
 
 def repeated(docs: DataFrame, sentences: int = 3, least_words: int = 8, reach: int | None = None) -> DataFrame:
-    """doc_id and runs: the sentence ranges of its spans that stand at an earlier place too."""
+    """doc_id, text_key and runs: the sentence ranges of that text's spans that stand at an earlier place too."""
     found = spans(docs, sentences, least_words, reach)
-    first = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1")
+    first = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_key", "start")).alias("first")).where("n > 1")
     # the repeated hashes are written under another key, so that both sides of the join are shuffled for it and Spark
     # can split a partition that a hot hash makes large
     one = F.lit(1).cast("bigint")
     first = cut(first.select(F.col("hash").bitwiseXOR(one).alias("key"), "first")).select(F.col("key").bitwiseXOR(one).alias("hash"), "first")
-    again = found.join(first, "hash").where(F.struct("doc_id", "start") > F.col("first"))
-    return again.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
+    again = found.join(first, "hash").where(F.struct("doc_id", "text_key", "start") > F.col("first"))
+    return again.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
 
 
 def deduplicate(docs: DataFrame, sentences: int = 3, least_words: int = 8, reach: int | None = None) -> DataFrame:
     """The documents with text cut, and n_sentences and n_removed."""
     kept = [f for f in docs.schema.fields if f.name not in ("n_sentences", "n_removed")]
     free = lambda name: name if name not in docs.columns else free(f"_{name}")
-    own, runs = free("own_id"), free("runs")
-    found = repeated(docs, sentences, least_words, reach).toDF(own, runs)
-    both = docs.select(*(f"`{f.name}`" for f in kept)).join(found, F.col("doc_id").cast("bigint") == F.col(own), "left").drop(own)
+    own, key, runs = free("own_id"), free("own_key"), free("runs")
+    found = repeated(docs, sentences, least_words, reach).toDF(own, key, runs)
+    same = (F.col("doc_id").cast("bigint") == F.col(own)) & (text_key() == F.col(key))
+    both = docs.select(*(f"`{f.name}`" for f in kept)).join(found, same, "left").drop(own, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):

@@ -6,8 +6,9 @@ The score is logistic of ``bias + sum w + sum over pairs <v_i, v_j>``; the pair
 part is computed in linear time and raises texts in which, say, an insult and a
 mention of a group come together beyond what each word adds.
 
-The fit sees at most ``per_class`` labelled rows a class (the documented bound
-of the sample, drawn by a hash of the id; weights undo the drawing). Term counts
+The fit sees about ``per_class`` labelled documents a class and ``4 * per_class``
+at most (the documented bound of the sample, drawn by a hash of the id, a row an
+id; weights undo the drawing). Term counts
 by class over that sample choose the ``n_terms`` hashed terms that tell most.
 All rows are scored over whole texts.
 
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .langid import held_out
+from .sample import labelled
 from .text import buffers, slices, WORD_TABLE
 
 BITS = 22
@@ -145,20 +147,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, n_terms: int
     """labels: doc_id, toxic (0 or 1). per_class: the bound of the labelled sample.
 
     significant: standard errors by which a term's shares in both classes must differ."""
-    known = (
-        labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-        .groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
-        .agg(F.max("toxic").cast("int").alias("toxic"))
-    )
-    counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
-    share = {y: min(1.0, per_class / counts[y]) for y in counts}
+    rows, counts, share = labelled(docs.select("doc_id", "text"), labels, "toxic", per_class, 5)
+    rows = rows.withColumnRenamed("label", "toxic")
     if len(counts) < 2:
         return Model(-40.0 if 1 not in counts else 40.0, {}, np.zeros(0), np.zeros((0, 1)))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
-    drawn = known.where(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
-    # a bounded number of (id, label) pairs: at most about 2 * per_class, so a broadcast stays small at any size
-    drawn = drawn.orderBy(draw, "doc_id").limit(4 * per_class)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
     size = {y: max(1.0, counts[y] * share[y]) for y in counts}
     p0, p1 = F.col("n0") / size[0], F.col("n1") / size[1]
     share_all = (F.col("n0") + F.col("n1") + 1.0) / (size[0] + size[1] + 2.0)

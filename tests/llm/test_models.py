@@ -245,3 +245,16 @@ def test_top_k_huge_components(spark):
     got = topk.top_k(table, table.where("vec_id = 50")).orderBy("rank").collect()
     top = 2**63 - 1  # two scores saturate, and tie
     assert [(r.vec_id, r.score) for r in got] == [(2, top), (3, top), (1, 512 * 256)]
+
+
+def test_toxicity_sees_a_row_an_id(spark, monkeypatch):
+    """A thousand rows an id: the sample at the driver is bounded by the ids that are drawn."""
+    rows = [(i % 8, f"text number {i % 8} row {i} " + ("insult" if i % 2 else "water")) for i in range(8000)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id bigint, toxic int")
+    seen = []
+    plain = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda data, *a, **how: seen.append(len(data)) or plain(data, *a, **how))
+    toxicity.fit(table, labels, per_class=2)
+    toxicity.fit(table, labels, per_class=50)
+    assert seen[0] <= 8 and seen[1] == 8
