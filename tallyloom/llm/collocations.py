@@ -46,7 +46,7 @@ _INSIDE = np.frombuffer(PIECE_TABLE, np.uint8) != 10
 #: Stands between pieces in the list of words; no word has the byte.
 STOP = b"!"
 #: Words of a shard, in all its languages.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 PART = 4 << 20
 MOST_BITS = 1 << 30
 ROWS = 100_000
@@ -191,23 +191,35 @@ def phrase_hashes(batch: pa.RecordBatch) -> np.ndarray:
     return np.concatenate(found)
 
 
-def _read(batches: Iterator[pa.RecordBatch], sizes: range, known: Filter | None) -> Iterator[tuple]:
-    """(lang, words, their hashes, ids cut where no frequent phrase can be) of each shard."""
+def _read(batches: Iterator[pa.RecordBatch], sizes: range, known: Filter | None, seen: Filter | None = None) -> Iterator[tuple]:
+    """(lang, words, their hashes, ids cut where no frequent phrase can be) of each shard. seen: as in ``counted``."""
+    n = sizes[0]
     for batch in batches:
         for row in range(batch.num_rows):
-            lang, blob, ids = (batch.column(c)[row].as_py() for c in ("lang", "vocabulary", "ids"))
-            words, ids = [b"", *blob.split(b" ")] if blob else [b""], np.frombuffer(ids, np.int32)
-            h = hashes(lang, words) if sizes[0] > 1 else None
-            if sizes[0] == 2:
+            lang, blob, ids = batch.column("lang")[row].as_py(), *(batch.column(c)[row].as_buffer() for c in ("vocabulary", "ids"))
+            words, ids = [b"", *blob.to_pybytes().split(b" ")] if blob.size else [b""], np.frombuffer(ids, np.int32)
+            if n == 1:
+                yield lang, words, None, ids
+                continue
+            h = hashes(lang, words)
+            if n == 2:
                 good = known.has(folded([h]))
                 good[0] = False
                 good = good[ids]
-                ids = linked(ids, good[:-1] & good[1:], 2)
-            elif sizes[0] > 2:
+                link = good[:-1] & good[1:]
+            else:
                 link = (ids[:-1] > 0) & (ids[1:] > 0)
                 at = np.flatnonzero(link)
                 link[at] = known.has(folded([h[ids[at]], h[ids[at + 1]]]))
-                ids = linked(ids, link, sizes[0])
+            ids = linked(ids, link, n)
+            if seen is not None and len(ids) > n:  # cut to what the frequent n-grams cover
+                ends = np.append(np.flatnonzero(ids == 0), len(ids))
+                at = np.flatnonzero(ends[np.searchsorted(ends, np.arange(len(ids)))] - np.arange(len(ids)) >= n)
+                at = at[seen.has(folded([h[ids[at + k]] for k in range(n)]))]
+                link = np.zeros(len(ids) - 1, bool)
+                for k in range(n - 1):
+                    link[at + k] = True
+                ids = linked(ids, link, n)
             yield lang, words, h, ids
 
 
@@ -224,8 +236,9 @@ def likely(shard: DataFrame, sizes: range, known: Filter, least: int) -> DataFra
                 more = np.repeat(key + 255, times // 255)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((key + times % 255, more)))], ["packed"])
 
-    packed = shard.select("lang", "vocabulary", "ids").mapInArrow(run, "packed bigint").withColumn("hash", F.shiftright("packed", 8))
-    total = packed.repartition("hash").groupBy("hash").agg(F.sum(F.col("packed").bitwiseAND(F.lit(255))).alias("a"))
+    packed = shard.select("lang", "vocabulary", "ids").mapInArrow(run, "packed bigint")
+    key = F.shiftright("packed", 8)
+    total = packed.repartition(key).groupBy(key.alias("hash")).agg(F.sum(F.col("packed").bitwiseAND(F.lit(255))).alias("a"))
     return total.where(F.col("a") >= least).select("hash")
 
 
@@ -236,7 +249,7 @@ def counted(shard: DataFrame, sizes: range, known: Filter | None, seen: Filter |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = sent.value
-        for lang, words, h, ids in _read(batches, sizes, known):
+        for lang, words, h, ids in _read(batches, sizes, known, seen):
             vocabulary = pa.array(words, pa.binary())
             for n, place, times in intervals(ids, sizes):
                 if seen is not None:
