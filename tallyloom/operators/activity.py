@@ -14,16 +14,20 @@ def is_missing(c: Column) -> Column:
     return c.isNull() | F.lower(F.trim(c)).isin(*MISSING)
 
 
-def course_day(df: DataFrame, courses: DataFrame) -> DataFrame:
-    """Adds start and d, days since the course's start. An event of an unknown course makes the job fail; see ``unknown_courses``."""
-    unknown = F.raise_error(F.concat(F.lit("no start of course "), F.coalesce(F.col("course_id").cast("string"), F.lit("null"))))
-    day = F.coalesce(F.datediff("event_date", "start"), F.when(F.col("start").isNull(), unknown.cast("int")))
-    return df.join(courses.select("course_id", "start"), "course_id", "left").withColumn("d", day)
+def demanded(df: DataFrame, c: str, *said: str | Column) -> DataFrame:
+    """The rows; the job fails where the column is null, whichever columns are read later.
+
+    The filter is never pruned. The column fails too where it is asked for, else a later test of it that is false for null
+    would let Spark drop the rows before the filter."""
+    fails = F.raise_error(F.concat(*(F.lit(x) if isinstance(x, str) else F.coalesce(x.cast("string"), F.lit("null")) for x in said)))
+    checked = df.where(F.when(F.col(c).isNull(), fails.cast("boolean")).otherwise(True))
+    return checked.withColumn(c, F.coalesce(c, fails.cast(df.schema[c].dataType)))
 
 
-def unknown_courses(df: DataFrame, courses: DataFrame) -> DataFrame:
-    """Events whose course is not listed; must be empty."""
-    return df.join(courses, "course_id", "left_anti")
+def course_day(df: DataFrame, courses: DataFrame) -> DataFrame:
+    """Adds start and d, days since the course's start. An event of an unknown course makes the job fail."""
+    both = demanded(df.join(courses.select("course_id", "start"), "course_id", "left"), "start", "no start of course ", F.col("course_id"))
+    return both.withColumn("d", F.datediff("event_date", "start"))
 
 
 def in_window(spec: Spec) -> Column:
@@ -73,7 +77,9 @@ def features(events: DataFrame, labels: DataFrame, spec: Spec) -> DataFrame:
 
     Enrollments without kept events get zeros from the outer join, so that no row is made for them and events are not
     joined with the labels before they are summed."""
-    x = counts(events.where(F.col("action").isin(*spec.actions) & in_window(spec)), spec)
+    # in a weighted log another action is left for ``counts`` to fail on
+    allowed = F.col("action").isNotNull() if spec.weighted else F.col("action").isin(*spec.actions)
+    x = counts(events.where(allowed & in_window(spec)), spec)
     zero = F.lit(0).cast("bigint")
     return labels.select("enroll_id").join(x, "enroll_id", "left").select("enroll_id", *(F.coalesce(n, zero).alias(n) for n in spec.feature_names))
 

@@ -39,7 +39,9 @@ def mooc_raw(spark, sf):
     # a first file says otherwise of all; the last truth counts
     truths = once.select(F.col("e").cast("string").alias("enroll_id"), (1 - label).cast("string").alias("truth"), F.lit(0).alias("seq"))
     truths = truths.unionByName(once.select(F.col("e").cast("string").alias("enroll_id"), label.cast("string").alias("truth"), F.lit(1).alias("seq")))
-    courses = spark.range(10).select(F.concat(F.lit("c"), "id").alias("course_id"), F.concat(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).cast("string"), F.lit(" 08:00:00")).alias("start"))
+    courses = spark.range(10).select(F.concat(F.lit("c"), "id").alias("course_id"), F.concat(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).cast("string"), F.lit(" 08:00:00")).alias("start"), F.col("id").alias("seq"))
+    # a row further up says otherwise of each course; the last counts
+    courses = courses.unionByName(courses.select("course_id", F.lit("2023-01-01").alias("start"), (F.col("seq") - 100).alias("seq")))
     return logs, truths, courses
 
 
@@ -76,7 +78,8 @@ def vle_raw(spark, sf):
     info = o.groupBy(*key).agg(F.max("o_orderkey").alias("o"))
     result = F.when(F.col("o") % 4 == 1, loaders.WITHDRAWN).when(F.col("o") % 4 == 2, "Pass").when(F.col("o") % 4 == 3, "Fail")
     site = F.col("id").cast("string").alias("id_site")
-    sites = spark.range(500).select(site, F.element_at(F.array(*map(F.lit, VLE_TYPES)), (F.col("id") % 18 + 1).cast("int")).alias("activity_type"))
+    sites = spark.range(500).select(site, F.element_at(F.array(*map(F.lit, VLE_TYPES)), (F.col("id") % 18 + 1).cast("int")).alias("activity_type"), F.col("id").alias("seq"))
+    sites = sites.unionByName(sites.select("id_site", F.lit("url").alias("activity_type"), (F.col("seq") - 1000).alias("seq")))
     li = tables.read_table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     clicks = li.select(
         *key, (F.col("l_partkey") % 500).cast("string").alias("id_site"), ((F.col("l_orderkey") + F.col("l_linenumber") * 13) % 60 - 5).cast("string").alias("date"),

@@ -2,11 +2,12 @@
 
 Both return (events, labels). events: node_id, enroll_id, user_id, course_id, label, action, object_id, d and, in the
 weighted log, clicks; an enrollment without any kept event has one row without action. A row that should have a partner
-in another table and has none makes the job fail: the check is part of the row's expression, so it costs no pass."""
+in another table and has none makes the job fail, whichever columns are read: the check is a filter over the joined rows,
+which costs no pass and is never pruned. Of rows with one key the last counts, in the order of their file."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranking import position
@@ -23,28 +24,21 @@ VLE_MEMBERS = (
 WITHDRAWN = "Withdrawn"
 
 
-def required(c: Column, kind: str, *said: str | Column) -> Column:
-    """The value; the job fails where it is null."""
-    message = F.concat(*(F.lit(x) if isinstance(x, str) else F.coalesce(x.cast("string"), F.lit("null")) for x in said))
-    return F.coalesce(c, F.raise_error(message).cast(kind))
-
-
 def mooc(logs: DataFrame, truths: DataFrame, courses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """logs: LOG_COLUMNS as text and seq, the order of the rows; truths: enroll_id, truth, seq; courses: course_id, start.
+    """logs: LOG_COLUMNS as text and seq, the order of the rows; truths: enroll_id, truth, seq; courses: course_id, start, seq.
 
     The last truth and the last course row count; an enrollment's user and course are those of its first log row."""
     truth = truths.groupBy(F.col("enroll_id").cast("bigint").alias("enroll_id")).agg(F.max_by(F.col("truth").cast("int"), "seq").alias("label"))
-    # an enrollment without log rows fails where its user is asked for
     raw = logs.select(F.col("enroll_id").cast("bigint").alias("enroll_id"), F.col("username").cast("bigint").alias("user_id"), "course_id", "action", "object", "time", "seq")
     first = raw.groupBy("enroll_id").agg(F.min_by(F.struct("user_id", "course_id"), "seq").alias("f"))
-    user = required(F.col("f.user_id"), "bigint", "enrollment ", F.col("enroll_id"), " has a label but no log row")
-    labels = truth.join(first, "enroll_id", "left").select("enroll_id", user.alias("user_id"), F.col("f.course_id").alias("course_id"), "label")
+    labels = A.demanded(truth.join(first, "enroll_id", "left"), "f", "enrollment ", F.col("enroll_id"), " has a label but no log row")
+    labels = labels.select("enroll_id", F.col("f.user_id").alias("user_id"), F.col("f.course_id").alias("course_id"), "label")
     nodes = A.nodes(labels)
-    start = courses.groupBy("course_id").agg(F.last("start").alias("start"))
+    start = courses.groupBy("course_id").agg(F.max_by("start", "seq").alias("start"))
     own = raw.where(F.col("action").isin(*MOOC.actions)).join(nodes.select("enroll_id", "node_id", "label"), "enroll_id")
     day = F.datediff(F.to_date(F.substring("time", 1, 10)), F.to_date(F.substring("start", 1, 10)))
-    day = required(day, "int", "no start of course ", F.col("course_id"))
-    events = own.join(start, "course_id", "left").withColumn("d", day).where(A.in_window(MOOC))
+    events = A.demanded(own.join(start, "course_id", "left"), "start", "no start of course ", F.col("course_id"))
+    events = events.withColumn("d", day).where(A.in_window(MOOC))
     events = events.select("node_id", "enroll_id", "user_id", "course_id", "label", "action", F.trim("object").alias("object_id"), "d")
     return A.padded(events, nodes), nodes
 
@@ -52,31 +46,31 @@ def mooc(logs: DataFrame, truths: DataFrame, courses: DataFrame) -> tuple[DataFr
 def read_mooc(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """From prediction_data.tar.gz and course_info.csv in the folder."""
     rows = lambda members, columns: read_archive_csv(spark, f"{folder}/prediction_data.tar.gz", members, columns).withColumn("seq", F.struct("archive_no", "line_no"))
-    courses = spark.read.option("header", True).csv(f"{folder}/course_info.csv").select("course_id", "start")
+    # numbers grow along a part of a file, parts along the file
+    seq = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    courses = spark.read.option("header", True).csv(f"{folder}/course_info.csv").select("course_id", "start", seq.alias("seq"))
     return mooc(rows(MOOC_LOGS, LOG_COLUMNS), rows(MOOC_TRUTHS, ("enroll_id", "truth")), courses)
 
 
 def vle(info: DataFrame, sites: DataFrame, clicks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """info: code_module, code_presentation, id_student, final_result; sites: id_site, activity_type; clicks: the three
-    keys, id_site, date, sum_click. All as text, "?" and "" as null.
+    """info: code_module, code_presentation, id_student, final_result; sites: id_site, activity_type and seq, the order of
+    the rows; clicks: the three keys, id_site, date, sum_click. All others as text, "?" and "" as null.
 
     Enrollments are numbered by their key, since a table has no order of rows; a repeated key fails."""
     key = ["code_module", "code_presentation", "id_student"]
     one = info.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first("final_result").alias("final_result"))
-    fine = F.when(F.col("n") == 1, F.col("n"))
-    one = one.withColumn("n", required(fine, "bigint", "two rows of ", F.concat_ws(" ", *key)))
+    one = A.demanded(one.withColumn("n", F.when(F.col("n") == 1, F.col("n"))), "n", "two rows of ", F.concat_ws(" ", *key))
     numbered = position(one.withColumn("student", F.col("id_student").cast("bigint")), [], ["code_module", "code_presentation", "student"])
-    labels = numbered.where("n = 1").select(
+    labels = numbered.select(
         (F.col("pos") - 1).alias("enroll_id"), (F.col("pos") - 1).alias("node_id"), F.col("student").alias("user_id"),
         F.concat_ws("_", "code_module", "code_presentation").alias("course_id"),
         F.coalesce(F.col("final_result") == WITHDRAWN, F.lit(False)).cast("int").alias("label"), *key,
     )
     early = clicks.withColumn("d", F.col("date").cast("int")).where(A.in_window(VLE))
-    known = early.join(labels, key, "left").withColumn("enroll_id", required(F.col("enroll_id"), "bigint", "clicks of an unknown enrollment ", F.concat_ws(" ", *key)))
-    kind = sites.groupBy("id_site").agg(F.last("activity_type").alias("activity_type"))
-    action = required(F.col("activity_type"), "string", "unknown site ", F.col("id_site"))
-    events = known.join(kind, "id_site", "left").select(
-        "node_id", "enroll_id", "user_id", "course_id", "label", action.alias("action"), F.col("id_site").alias("object_id"), "d",
+    known = A.demanded(early.join(labels, key, "left"), "enroll_id", "clicks of an unknown enrollment ", F.concat_ws(" ", *key))
+    kind = sites.groupBy("id_site").agg(F.max_by("activity_type", "seq").alias("activity_type"))
+    events = A.demanded(known.join(kind, "id_site", "left"), "activity_type", "unknown site ", F.col("id_site")).select(
+        "node_id", "enroll_id", "user_id", "course_id", "label", F.col("activity_type").alias("action"), F.col("id_site").alias("object_id"), "d",
         F.col("sum_click").cast("bigint").alias("clicks"),
     )
     nodes = labels.drop(*key)
@@ -85,8 +79,11 @@ def vle(info: DataFrame, sites: DataFrame, clicks: DataFrame) -> tuple[DataFrame
 
 def read_vle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """From the zip archive, in which all seven members must be."""
-    missing = lambda df: df.select(*(F.when(~F.col(c).isin("", "?"), F.col(c)).alias(c) for c in df.columns))
-    rows = lambda member, *columns: missing(read_archive_csv(spark, path, (member,), columns, VLE_MEMBERS).select(*columns))
+
+    def rows(member: str, *columns: str) -> DataFrame:
+        found = read_archive_csv(spark, path, (member,), columns, VLE_MEMBERS)
+        return found.select(*(F.when(~F.col(c).isin("", "?"), F.col(c)).alias(c) for c in columns), F.struct("archive_no", "line_no").alias("seq"))
+
     key = ("code_module", "code_presentation", "id_student")
     info = rows("studentInfo.csv", *key, "final_result")
     return vle(info, rows("vle.csv", "id_site", "activity_type"), rows("studentVle.csv", *key, "id_site", "date", "sum_click"))

@@ -121,3 +121,53 @@ def test_materialised_and_marked_sinks(spark, tmp_path):
     (part,) = (tmp_path / "c").glob("part-*.csv")
     assert part.read_bytes().startswith("\ufeffs,v".encode()) and sorted(part.read_text("utf-8-sig").split("\n")[1:]) == ["", "a,", "ü ± ✓,2.5"]
     assert tables.split_path("f", 11) == "f/splits/seed=11" and tables.feature_path("f", "x59", 1) == "f/x59/seed=1"
+
+
+def test_the_last_of_repeated_rows_counts_however_rows_are_dealt(spark):
+    """Twenty-eight rows of one course and of one site, over several partitions and in any order."""
+    logs = spark.createDataFrame([("1", "5", "A", "play_video", "v", "2024-02-01", 0)], "enroll_id string, username string, course_id string, action string, object string, time string, seq int")
+    truths = spark.createDataFrame([("1", "0", 0), ("1", "1", 1)], "enroll_id string, truth string, seq int")
+    courses = spark.createDataFrame([("A", f"2024-01-{i + 1:02}", i) for i in range(28)], "course_id string, start string, seq int")
+    info = spark.createDataFrame([("m", "p", "1", "Pass")], "code_module string, code_presentation string, id_student string, final_result string")
+    clicks = spark.createDataFrame([("m", "p", "1", "3", "0", "2")], "code_module string, code_presentation string, id_student string, id_site string, date string, sum_click string")
+    sites = spark.createDataFrame([("3", VLE.actions[i % 18], i) for i in range(28)], "id_site string, activity_type string, seq int")
+    for n in (1, 3, 7, 11):
+        assert [r.d for r in loaders.mooc(logs, truths, courses.repartition(n))[0].collect()] == [4]
+        assert [r.action for r in loaders.vle(info, sites.repartition(n), clicks)[0].collect()] == [VLE.actions[27 % 18]]
+
+
+def test_the_last_line_of_a_course_file_counts(spark, tmp_path):
+    folder = mooc_folder(tmp_path)
+    (tmp_path / "course_info.csv").write_text("id,course_id,start\n" + "".join(f"{i},{c},2024-{i % 12 + 1:02}-01\n" for i in range(500) for c in "ABC") + "".join(f"0,{c},{s}\n" for c, s in START.items()))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        events, _ = loaders.read_mooc(spark, folder)
+        assert {(r.enroll_id, r.d) for r in events.where("action = 'play_video'").collect()} == {(10, 0), (10, 1), (11, 0), (13, 34)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+@pytest.mark.parametrize("columns", [["event_id"], ["start"], ["d"], ["enroll_id", "action"], []])
+def test_an_unknown_course_fails_whatever_is_read(spark, columns):
+    events = spark.createDataFrame([(1, 7, "A", "view", "2024-01-05"), (2, 8, "Q", "view", "2024-01-05")], "event_id int, enroll_id int, course_id string, action string, event_date string")
+    courses = spark.createDataFrame([("A", "2024-01-01")], "course_id string, start string")
+    out = A.course_day(events, courses)
+    with pytest.raises(Exception, match="no start of course Q"):
+        out.select(*columns).collect() if columns else out.count()
+    assert A.course_day(events.where("event_id = 1"), courses).count() == 1
+
+
+@pytest.mark.parametrize("column", ["node_id", "object_id", "clicks"])
+def test_clicks_without_a_partner_fail_whatever_is_read(spark, tmp_path, column):
+    for name, clicks in (("enrollment", ("AAA", "2013J", 8, 1, 1, 1)), ("site 9", ("AAA", "2013J", 7, 9, 1, 1))):
+        with pytest.raises(Exception, match=f"unknown {name}"):
+            loaders.read_vle(spark, vle_zip(tmp_path / f"{column}{name[:4]}.zip", [clicks]))[0].select(column).collect()
+
+
+def test_an_unknown_activity_of_a_weighted_log_fails_in_features(spark):
+    rows = spark.createDataFrame([(1, VLE.actions[0], "3", 2, 5), (1, "other", "3", 40, 5)], "enroll_id int, action string, object_id string, d int, clicks bigint")
+    labels = spark.createDataFrame([(1,), (2,)], "enroll_id int")
+    assert [r.total_clicks for r in A.features(rows, labels, VLE).orderBy("enroll_id").collect()] == [5, 0]
+    with pytest.raises(Exception, match="unknown activity other"):
+        A.features(rows.withColumn("d", rows.d % 35), labels, VLE).collect()
