@@ -27,9 +27,10 @@ import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -223,23 +224,62 @@ def _read(batches: Iterator[pa.RecordBatch], sizes: range, known: Filter | None,
             yield lang, words, h, ids
 
 
-def likely(shard: DataFrame, sizes: range, known: Filter, least: int) -> DataFrame:
+def packed(keys: np.ndarray, times: np.ndarray, low: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, keys, counts) of hashes: the bits above ``low`` name the bucket; the sorted rest is kept as differences, byte
+    by byte of all, and counts go up to 255, since more rows can follow."""
+    order = np.argsort(keys)
+    keys, times = keys[order], times[order]
+    cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    keys, times = keys[cut], np.add.reduceat(times, cut) if len(cut) else times
+    while len(keys):
+        bucket = keys >> np.uint64(low)
+        start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        rest = (keys & np.uint64((1 << low) - 1)).astype(np.uint32)
+        step = np.diff(rest, prepend=np.uint32(0))
+        step[start] = rest[start]
+        count = np.minimum(times, 255).astype(np.uint8)
+        for x, y in zip(start, np.append(start[1:], len(keys))):
+            yield int(bucket[x]), step[x:y].view(np.uint8).reshape(-1, 4).T.tobytes(), count[x:y].tobytes()
+        more = times > 255
+        keys, times = keys[more], times[more] - 255
+
+
+def unpacked(bucket: int, steps: bytes, counts: bytes, low: int) -> tuple[np.ndarray, np.ndarray]:
+    step = np.ascontiguousarray(np.frombuffer(steps, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return np.cumsum(step, dtype=np.uint64) | np.uint64(int(bucket) << low), np.frombuffer(counts, np.uint8).astype(np.int64)
+
+
+def likely(shard: DataFrame, sizes: range, known: Filter, least: int, total: int) -> DataFrame:
     """hash of the n-grams whose hash stands at least ``least`` times: the frequent ones, and others by chance.
 
-    A row packs the 40 bits of a hash with a count up to 255, so that what is shuffled is small; larger counts take several."""
+    Hashes of 40 bits are added up in each task and packed by buckets, of which there are more the more words (``total``)
+    there are, so that what is shuffled is a few bytes a hash and what meets in one group is some million of them."""
     sent = shard.sparkSession.sparkContext.broadcast(known)
+    low = 40 - min(20, max(8, math.ceil(math.log2(max(1, total / (1 << 20))))))
+
+    def pack(held: list) -> Iterator[pa.RecordBatch]:
+        rows = packed(*(np.concatenate(x) for x in zip(*held)), low) if held else iter(())
+        while part := list(islice(rows, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "steps", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for _, _, h, ids in _read(batches, sizes, sent.value):
             for n, place, times in intervals(ids, sizes):
-                key = (folded([h[ids[place + k]] for k in range(n)]) << np.uint64(8)).astype(np.int64)
-                more = np.repeat(key + 255, times // 255)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((key + times % 255, more)))], ["packed"])
+                held.append((folded([h[ids[place + k]] for k in range(n)]), times))
+                size += len(times)
+            if size > 2 * SHARD_WORDS:
+                yield from pack(held)
+                held, size = [], 0
+        yield from pack(held)
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = [unpacked(key[0], s, c, low) for s, c in zip(rows["steps"], rows["counts"])]
+        keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        return pd.DataFrame({"hash": keys[np.bincount(at, np.concatenate([c for _, c in found])) >= least].view(np.int64)})
 
-    packed = shard.select("lang", "vocabulary", "ids").mapInArrow(run, "packed bigint")
-    key = F.shiftright("packed", 8)
-    total = packed.repartition(key).groupBy(key.alias("hash")).agg(F.sum(F.col("packed").bitwiseAND(F.lit(255))).alias("a"))
-    return total.where(F.col("a") >= least).select("hash")
+    rows = shard.select("lang", "vocabulary", "ids").mapInArrow(run, "bucket int, steps binary, counts binary")
+    return rows.groupBy("bucket").applyInPandas(add, "hash bigint")
 
 
 def counted(shard: DataFrame, sizes: range, known: Filter | None, seen: Filter | None, least: int) -> DataFrame:
@@ -263,8 +303,7 @@ def counted(shard: DataFrame, sizes: range, known: Filter | None, seen: Filter |
                     yield pa.RecordBatch.from_arrays([langs, phrase.cast(pa.string()), pa.array(times[a : a + ROWS].astype(np.int64))], ["lang", "phrase", "a"])
 
     found = shard.select("lang", "vocabulary", "ids").mapInArrow(run, "lang string, phrase string, a bigint")
-    # a shard has a row for each phrase: without this, Spark would build a table of them before the shuffle too
-    return found.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    return found.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
 def _joined(words: Column, start: Column | int, length: Column | int) -> Column:
@@ -313,11 +352,11 @@ def collocations(docs: DataFrame, max_words: int = 4, least: int = 30, covered:
     shard = written(shards(docs), "shards")
     total = written(shard.groupBy("lang").agg(F.sum("n").alias("n")), "total")
     phrases = written(counted(shard, range(1, 2), None, None, least), "words")
-    known = phrases
+    known, words = phrases, total.agg(F.sum("n")).first()[0] or 0
     for name, sizes in (("pairs", range(2, 3)), ("longer", range(3, max_words + 1))):
         if len(sizes) and max_words >= sizes[0]:
             frequent = bloom(known, phrase_hashes)
-            hashed = written(likely(shard, sizes, frequent, least), f"{name}_hashes")
+            hashed = written(likely(shard, sizes, frequent, least, words), f"{name}_hashes")
             seen = bloom(hashed, lambda batch: batch.column("hash").to_numpy().view(np.uint64))
             known = written(counted(shard, sizes, frequent, seen, least), name)
             phrases = phrases.unionByName(known)

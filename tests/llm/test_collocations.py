@@ -121,3 +121,19 @@ def test_scores_beyond_64_bits(spark):
     big = 5 * 10**12
     phrases = spark.createDataFrame([("en", "a", big + 1), ("en", "b", 3 * big), ("en", "a b", big)], "lang string, phrase string, a bigint")
     assert [tuple(r) for r in collocations.scored(phrases).collect()] == [("en", "a b", big, big + 1, 3 * big, 2_000_000 * big // (4 * big + 1))]
+
+
+def test_packed_hashes_come_back():
+    rng = np.random.default_rng(6)
+    for low in (20, 32):
+        keys = rng.integers(0, 1 << 40, 5000).astype(np.uint64)
+        keys = np.concatenate((keys, keys[:900], np.array([0, 0, (1 << 40) - 1], np.uint64)))
+        times = rng.integers(1, 700, len(keys))
+        want, got = Counter(), Counter()
+        for k, n in zip(keys.tolist(), times.tolist()):
+            want[k] += n
+        for row in collocations.packed(keys, times, low):
+            for k, n in zip(*(x.tolist() for x in collocations.unpacked(*row, low))):
+                got[k] += n
+        assert got == want
+    assert list(collocations.packed(np.zeros(0, np.uint64), np.zeros(0, np.int64), 32)) == []
