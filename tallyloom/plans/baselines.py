@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import partial, reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import cut, position
+from ..functions.ranking import cut, position, shared_folder
 from ..operators import activity as A
-from ..operators import models
+from ..operators import blocks, models
 from ..spec import EVENTS, SCENARIOS, SEEDS
 from . import catalog as C
 from .catalog import COUNTS, EV, GRAPH, X, _select, query
@@ -130,24 +134,33 @@ def baseline_boosting(spark, sf):
     return models.grid(_scaled(spark, sf), X, "boosting")
 
 
-#: Epochs of the registered runs; ``models.train_grid`` alone has 1000 and stops 200 after the best.
+#: Epochs of the registered runs; ``blocks.train`` alone has 1000 and stops 200 after the best.
 EPOCHS = 40
+GRID_EPOCHS = 3
 
 
-def _runs(spark, sf, codes: tuple[str, ...], seeds: tuple[int, ...], **how):
-    """``models.train_grid`` over the events: features scaled by each seed's training rows, a graph for each scenario and seed."""
+def _inputs(spark, sf, codes: tuple[str, ...], seeds: tuple[int, ...]):
+    """(features scaled by each seed's training rows; what makes the graph of each scenario and seed)."""
     n, h = C.graph(spark, sf)
     n = cut(C.started(n))
     h = cut(h)
-    x = cut(C.x_counts(spark, sf))
+    x = cut(C.x_counts(spark, sf).join(n.select("enroll_id", "node_id"), "enroll_id"))
     split = cut(C.splits(spark, sf).where(F.col("seed").isin(*seeds)))
     z = None
     for s in seeds:
-        own = x.join(split.where(F.col("seed") == s).select("enroll_id", "label", "split"), "enroll_id").join(n.select("enroll_id", "node_id"), "enroll_id")
+        own = x.join(split.where(F.col("seed") == s).select("enroll_id", "label", "split"), "enroll_id")
         own = A.scaled(own, A.scaler(own.where("split = 'train'"), X), X).withColumn("seed", F.lit(s))
         z = own if z is None else z.unionByName(own)
-    graphs = {(c, s): C.H.scenario_graph(h, n, SCENARIOS[c], s) for c in codes for s in seeds}
-    return models.train_grid(cut(z), X, graphs, SCENARIOS, epochs=EPOCHS, hidden=32, rate=1e-2, **how)
+    return cut(z), {(c, s): partial(C.H.scenario_graph, h, n, SCENARIOS[c], s, dense=False) for s in seeds for c in codes}
+
+
+_HOW = {"hidden": 32, "rate": 1e-2, "eval_every": 5}
+
+
+def _runs(spark, sf, codes: tuple[str, ...], seeds: tuple[int, ...], what: int = 0):
+    """``blocks.train`` over the events: result rows, or with what = 1 the predictions."""
+    z, graphs = _inputs(spark, sf, codes, seeds)
+    return reduce(DataFrame.unionByName, [out[what] for out in blocks.train(z, X, graphs, SCENARIOS, epochs=EPOCHS, **_HOW)])
 
 
 @query()
@@ -162,10 +175,19 @@ def hypergraph_seeds(spark, sf):
     return _runs(spark, sf, ("M", "P0", "S1"), SEEDS)
 
 
+@query()
+def hypergraph_grid(spark, sf):
+    """Result rows of all scenarios for all seeds, batch by batch through a results log; few epochs."""
+    z, graphs = _inputs(spark, sf, tuple(SCENARIOS), SEEDS)
+    log = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    return blocks.train_logged(z, X, graphs, SCENARIOS, log, epochs=GRID_EPOCHS, **(_HOW | {"eval_every": GRID_EPOCHS}))
+
+
 @query()
 def hypergraph_predictions(spark, sf):
     """What the main model of each seed predicts of every enrollment."""
-    return _runs(spark, sf, ("M",), SEEDS, predict=True)
+    out = _runs(spark, sf, ("M",), SEEDS, 1)
+    return out.select(F.col("scenario").alias("model"), "seed", "split", "enroll_id", "label", "prob")
 
 
 @query()
