@@ -12,8 +12,8 @@ frequent than its words and its pairs. Shards are cut at words, then at pairs,
 that a Bloom filter of the frequent ones does not hold; of what is left, hashes
 are counted first, and only phrases whose hash is frequent are then counted by
 their text. Filters are sized by what they hold, at most ``MOST_BITS`` bits,
-whatever the input; where one is full, more infrequent phrases are counted and
-shuffled, none is lost. Counts, scores and the phrases dropped are exact.
+whatever the input; one that would tell little is filled, so that more infrequent
+phrases are counted and shuffled, none is lost. Counts, scores and the phrases dropped are exact.
 
 Defined results: null text is empty; null language is ``und``; repeated rows
 count as often as they stand there; a language without a candidate has no rows;
@@ -46,8 +46,10 @@ PIECE_TABLE = bytes(b + 32 if 65 <= b <= 90 else 10 if chr(b) in ".,;:!?\n\x0b\x
 _INSIDE = np.frombuffer(PIECE_TABLE, np.uint8) != 10
 #: Stands between pieces in the list of words; no word has the byte.
 STOP = b"!"
-#: Words of a shard, in all its languages.
-SHARD_WORDS = 1_000_000
+#: Words of a shard, in all its languages, and hashes of phrases that a task holds before it packs them: both with their
+#: temporary arrays take some 100 bytes each in a Python worker.
+SHARD_WORDS = 500_000
+PACK_HASHES = 1_000_000
 PART = 4 << 20
 MOST_BITS = 1 << 30
 ROWS = 100_000
@@ -166,8 +168,14 @@ class Filter:
 
 
 def bloom(df: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], most_bits: int = MOST_BITS) -> Filter:
-    """A filter of the hashes of df's rows; some 16 bits a row, ``most_bits`` at most. The driver gets the bits, not the rows."""
-    out = Filter(min(most_bits, 1 << max(10, math.ceil(math.log2(16 * df.count() + 1)))))
+    """A filter of the hashes of df's rows; some 16 bits a row, ``most_bits`` at most. The driver gets the bits, not the rows.
+
+    With fewer than two bits a row it would hold nearly half of all others, and holds everything instead."""
+    n = df.count()
+    out = Filter(min(most_bits, 1 << max(10, math.ceil(math.log2(16 * n + 1)))))
+    if out.bits < 2 * n:
+        out.words[:] = ~np.uint64(0)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,7 +276,7 @@ def likely(shard: DataFrame, sizes: range, known: Filter, least: int, total: int
             for n, place, times in intervals(ids, sizes):
                 held.append((folded([h[ids[place + k]] for k in range(n)]), times))
                 size += len(times)
-            if size > 2 * SHARD_WORDS:
+            if size > PACK_HASHES:
                 yield from pack(held)
                 held, size = [], 0
         yield from pack(held)
