@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranking import cut
+
 
 def _hash(*parts: Column | int | str) -> Column:
     return F.md5(F.concat_ws("|", *(p if isinstance(p, Column) else F.lit(p) for p in parts)).cast("binary"))
@@ -40,15 +42,30 @@ def neighbourhoods(links: DataFrame, fans: tuple[int, ...] = (3, 90), seed: int
     return out
 
 
+def _drawn(n: int, seed: int, draw: Column) -> Column:
+    """The target, of 1 to n, of a draw for a link (src, dst)."""
+    return F.conv(F.substring(_hash(seed, F.col("src"), F.col("dst"), draw), 1, 8), 16, 10).cast("bigint") % n + 1
+
+
 def negatives(links: DataFrame, n: int, each: int = 3, seed: int = 1, draws: int = 16) -> DataFrame:
     """src, dst, nth, negative: for each link the first ``each`` different targets, of 1 to n, that its source has no link with.
 
     Targets are drawn by hash and rejected by a join with the links; of ``draws`` draws a source that is linked with nearly
-    all targets may get fewer."""
-    known = links.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    number = F.conv(F.substring(_hash(seed, F.col("src"), F.col("dst"), F.col("draw")), 1, 8), 16, 10).cast("bigint") % n + 1
-    drawn = known.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("negative", number)
+    all targets may get fewer. Where the first ``each`` draws differ and none is a link, they are the result; only for the
+    other links, few unless sources are linked with many targets, all ``draws`` are made and shuffled."""
+    known = cut(links.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    linked = known.select("src", F.col("dst").alias("negative"))
+    few = [_drawn(n, seed, F.lit(k)) for k in range(1, min(each, draws) + 1)]
+    tried = known.select("src", "dst", F.posexplode(F.array(*few)).alias("at", "negative"))
+    hit = tried.join(linked, ["src", "negative"], "left_semi").select("src", "dst")
+    repeated = known.where(F.size(F.array_distinct(F.array(*few))) < len(few))
+    rest = cut(hit.unionByName(repeated).distinct())
+    good = known.join(rest, ["src", "dst"], "left_anti")
+    whole = good.select("src", "dst", F.posexplode(F.array(*few)).alias("at", "negative"))
+    whole = whole.select("src", "dst", (F.col("at") + 1).alias("nth"), "negative")
+    drawn = rest.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("negative", _drawn(n, seed, F.col("draw")))
     first = drawn.groupBy("src", "dst", "negative").agg(F.min("draw").alias("draw"))
-    free = first.join(known.select("src", F.col("dst").alias("negative")), ["src", "negative"], "left_anti")
+    free = first.join(linked, ["src", "negative"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("src", "dst").orderBy("draw"))
-    return free.withColumn("nth", nth).where(F.col("nth") <= each).select("src", "dst", "nth", "negative")
+    more = free.withColumn("nth", nth).where(F.col("nth") <= each).select("src", "dst", "nth", "negative")
+    return whole.unionByName(more)

@@ -46,3 +46,21 @@ def test_negatives_are_drawn_by_hash_and_never_links(spark):
 def test_a_hot_node_is_cut_before_the_shuffle(spark):
     plan = sampling.fan_out(rows(spark, LINKS), "dst", "src", 90, 1, 2)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_only_links_with_rejected_draws_are_drawn_further(spark):
+    """With many targets nearly no link needs more than its first three draws, so that few rows are shuffled; the rest gets all 16."""
+    links = [(s, d) for s in range(40) for d in range(1 + s % 5, 2000, 97)]
+    known, want = set(links), []
+    for s, d in links:
+        seen = []
+        for draw in range(1, 17):
+            x = int(rank(3, s, d, draw)[:8], 16) % 2000 + 1
+            if (s, x) not in known and x not in seen:
+                seen.append(x)
+        want += [(s, d, i, x) for i, x in enumerate(seen[:3], 1)]
+    out = sampling.negatives(rows(spark, links), 2000, seed=3)
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+    drawn = [len(set(int(rank(3, s, d, k)[:8], 16) % 2000 + 1 for k in (1, 2, 3)) - {x for y, x in known if y == s}) for s, d in links]
+    plan = out._jdf.queryExecution().toString()
+    assert 0 < sum(x < 3 for x in drawn) < len(links) / 10 and plan.count("sequence(1, 16") >= 1 and "posexplode" in plan.lower()
