@@ -26,6 +26,7 @@ import math
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 from itertools import count, islice
 
@@ -53,6 +54,23 @@ PACK_HASHES = 1_000_000
 PART = 4 << 20
 MOST_BITS = 1 << 30
 ROWS = 100_000
+#: Rows of an Arrow batch of texts and of shards, which are some 3 MB each at most: Spark's own 10,000 would hold all shards
+#: of a task at once, in the executor's direct memory and again in the Python worker.
+TEXT_BATCH, SHARD_BATCH = 1000, 4
+#: Shards are written in pages by size, not by a hundred rows, and without a dictionary of values that never repeat.
+PAGES = {"parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python tasks of jobs that run meanwhile get batches of at most ``rows`` rows; then the session's own number counts again."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(own)) if int(own) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
 
 
 def shards(docs: DataFrame, most: int = SHARD_WORDS) -> DataFrame:
@@ -353,20 +371,24 @@ def collocations(docs: DataFrame, max_words: int = 4, least: int = 30, covered:
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/phrases-{uuid.uuid4().hex}"
 
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
+    def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+        df.write.options(**options).parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    shard = written(shards(docs), "shards")
+    with small_batches(spark, TEXT_BATCH):
+        shard = written(shards(docs), "shards", **PAGES)
     total = written(shard.groupBy("lang").agg(F.sum("n").alias("n")), "total")
-    phrases = written(counted(shard, range(1, 2), None, None, least), "words")
+    with small_batches(spark, SHARD_BATCH):
+        phrases = written(counted(shard, range(1, 2), None, None, least), "words")
     known, words = phrases, total.agg(F.sum("n")).first()[0] or 0
     for name, sizes in (("pairs", range(2, 3)), ("longer", range(3, max_words + 1))):
         if len(sizes) and max_words >= sizes[0]:
             frequent = bloom(known, phrase_hashes)
-            hashed = written(likely(shard, sizes, frequent, least, words), f"{name}_hashes")
+            with small_batches(spark, SHARD_BATCH):
+                hashed = written(likely(shard, sizes, frequent, least, words), f"{name}_hashes")
             seen = bloom(hashed, lambda batch: batch.column("hash").to_numpy().view(np.uint64))
-            known = written(counted(shard, sizes, frequent, seen, least), name)
+            with small_batches(spark, SHARD_BATCH):
+                known = written(counted(shard, sizes, frequent, seen, least), name)
             phrases = phrases.unionByName(known)
     remove(spark, f"{folder}/shards")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tallyloom.llm import collocations
 
@@ -77,6 +78,24 @@ def test_small_shards_parts_and_full_filters(spark, monkeypatch):
         assert counted[0] == counted[1] == counted[2] and counted[0]
 
 
+def test_tasks_get_small_batches(spark, monkeypatch):
+    """Texts and shards come in batches of a few rows, whatever number the session has, which is left as it was."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    own = spark.conf.get(name)
+    for step in ("shards", "likely", "counted"):
+        f = getattr(collocations, step)
+        monkeypatch.setattr(collocations, step, lambda *a, f=f, step=step: (seen.setdefault(step, set()).add(spark.conf.get(name)), f(*a))[1])
+    mined(spark, some_rows(3, 20), 1)
+    assert seen == {"shards": {"1000"}, "likely": {"4"}, "counted": {"4"}} and spark.conf.get(name) == own
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    with collocations.small_batches(spark, 4):
+        assert [r.n for r in spark.range(0, 10, 1, 1).mapInArrow(sizes, "n bigint").collect()] == [4, 4, 2]
+
+
 def test_suffix_order_and_intervals_match_sorted_suffixes():
     rng = np.random.default_rng(2)
     for _ in range(30):
