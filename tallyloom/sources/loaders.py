@@ -22,6 +22,8 @@ VLE_MEMBERS = (
     "courses.csv", "assessments.csv", "vle.csv", "studentInfo.csv", "studentRegistration.csv", "studentAssessment.csv", "studentVle.csv",
 )
 WITHDRAWN = "Withdrawn"
+#: Enrollments that meet in one task with their log rows: joins and sums by enrollment there hold some 10 KB each.
+TASK_ENROLLMENTS = 20_000
 
 
 def mooc(logs: DataFrame, truths: DataFrame, courses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -34,8 +36,11 @@ def mooc(logs: DataFrame, truths: DataFrame, courses: DataFrame) -> tuple[DataFr
     labels = A.demanded(truth.join(first, "enroll_id", "left"), "f", "enrollment ", F.col("enroll_id"), " has a label but no log row")
     labels = labels.select("enroll_id", F.col("f.user_id").alias("user_id"), F.col("f.course_id").alias("course_id"), "label")
     nodes = A.nodes(labels)
+    # by their number and not by bytes, of which a task gets the more the larger the log is
+    tasks = -(-nodes.count() // TASK_ENROLLMENTS) or 1
+    nodes = nodes.repartition(tasks, "enroll_id")
     start = courses.groupBy("course_id").agg(F.max_by("start", "seq").alias("start"))
-    own = raw.where(F.col("action").isin(*MOOC.actions)).join(nodes.select("enroll_id", "node_id", "label"), "enroll_id")
+    own = raw.where(F.col("action").isin(*MOOC.actions)).repartition(tasks, "enroll_id").join(nodes.select("enroll_id", "node_id", "label"), "enroll_id")
     day = F.datediff(F.to_date(F.substring("time", 1, 10)), F.to_date(F.substring("start", 1, 10)))
     events = A.demanded(own.join(start, "course_id", "left"), "start", "no start of course ", F.col("course_id"))
     events = events.withColumn("d", day).where(A.in_window(MOOC))

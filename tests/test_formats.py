@@ -5,9 +5,11 @@ import tarfile
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.operators import activity as A
 from tallyloom.operators import hypergraph as H
+from tallyloom.plans import formats
 from tallyloom.sources import loaders, tables
 from tallyloom.spec import MOOC, VLE
 
@@ -171,3 +173,15 @@ def test_an_unknown_activity_of_a_weighted_log_fails_in_features(spark):
     assert [r.total_clicks for r in A.features(rows, labels, VLE).orderBy("enroll_id").collect()] == [5, 0]
     with pytest.raises(Exception, match="unknown activity other"):
         A.features(rows.withColumn("d", rows.d % 35), labels, VLE).collect()
+
+
+def test_log_rows_meet_in_tasks_of_few_enrollments(spark, sf_dir, monkeypatch):
+    """More enrollments take more tasks and not larger ones; the rows stay the same."""
+    logs, truths, courses = formats.mooc_raw(spark, sf_dir)
+    of = lambda: {tuple(r) for r in loaders.mooc(logs, truths, courses)[0].drop("node_id").collect()}
+    whole = of()
+    monkeypatch.setattr(loaders, "TASK_ENROLLMENTS", 20)
+    few = loaders.mooc(logs, truths, courses)[0]
+    at = few.groupBy(F.spark_partition_id()).agg(F.countDistinct("enroll_id").alias("n")).collect()
+    assert sum(r.n for r in at) == few.select("enroll_id").distinct().count() and max(r.n for r in at) < 60
+    assert of() == whole
