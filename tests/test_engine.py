@@ -14,6 +14,7 @@ from tallyloom.operators import hypergraph as H
 from tallyloom.operators import metrics as M
 from tallyloom.operators import models
 from tallyloom.operators import report as R
+from tallyloom.plans import catalog
 from tallyloom.sources import tables
 from tallyloom.spec import SCENARIOS, Spec, scenario_codes
 
@@ -342,3 +343,12 @@ def test_a_learner_with_a_third_of_all_enrollments_writes_no_pairs(spark):
     total = np.array([(x / np.sqrt(sends[day] + 1.0))[day <= t].sum() for t in range(365)])
     want = (total[day] / size[day] + x / np.sqrt(sends[day] + 1.0)) / np.sqrt(2.0)
     assert max(abs(got[k] - v) for k, v in zip(i.tolist(), want)) < 1e-9
+
+
+def test_scenarios_with_one_graph_are_counted_once(spark, sf_dir, monkeypatch):
+    """Sixteen scenarios of three graphs: as it stands, dealt anew, causal."""
+    made, real = [], H.scenario_graph
+    monkeypatch.setattr(H, "scenario_graph", lambda g, n, s, *a, **how: (made.append((s.shuffle, s.causal)), real(g, n, s, *a, **how))[1])
+    found = catalog.QUERIES["scenario_graphs"](spark, sf_dir)
+    assert sorted(made) == [(False, False), (False, True), (True, False)]
+    assert {r.code for r in found.collect()} == {c for c, s in SCENARIOS.items() if s.families}
